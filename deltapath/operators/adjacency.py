@@ -1,17 +1,17 @@
 """Edges laid out once for many frontier expansions (the join at the heart of every loop).
 
 Each round of a message-passing loop joins a frontier ``(key, payload)`` to
-the adjacency rows of its keys.  Re-shuffling the whole edge table every round
-would dominate the cost, so the table is hash-partitioned once by
-``(key, salt)`` and checkpointed; afterwards only the frontier moves:
+the adjacency rows of its keys.  The rows are materialised once (checkpointed,
+so no round recomputes their lineage) and then:
 
 * frontier rows <= ``broadcast_rows`` (an exact count the loop already has):
-  broadcast hash join, the edge partitions are streamed in place and the
-  key's skew does not matter;
-* larger frontiers: shuffled hash join on ``(key, salt)`` that reuses the
-  edge layout, so only the frontier is shuffled.
+  broadcast hash join; the edge partitions are streamed where they are, so
+  the skew of the key does not matter and nothing of the edges is shuffled;
+* larger frontiers: a shuffled hash join on ``(key, salt)`` against a layout
+  hash-partitioned by ``(key, salt)`` that is built (once) on first need, so
+  each round shuffles only the frontier.
 
-Skew: a key whose degree exceeds ``total / partitions`` (a "hot" key, e.g. a
+Skew: a key whose degree exceeds ``rows / partitions`` (a "hot" key, e.g. a
 hub holding a third of all edges) is spread over ``ceil(degree / threshold)``
 salt buckets by a hash of the row's other end, and its frontier row is
 replicated once per bucket.  There are fewer hot keys than partitions, so the
@@ -21,12 +21,11 @@ hot-key table that is broadcast has a proven size bound.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, persist
+from ..plans.lineage import cut
 from ..session import num_partitions as _num_partitions
 
 # Frontiers up to this many rows are broadcast (a (BIGINT, DOUBLE) row is ~16 bytes).
@@ -35,14 +34,26 @@ DEFAULT_BROADCAST_ROWS = 1_000_000
 DEFAULT_MIN_HOT_ROWS = 100_000
 
 
-@dataclass
 class Adjacency:
-    layout: DataFrame          # rows of the table + ``salt``, hash-partitioned by (key, salt)
-    hot: DataFrame             # (key, n_salt) for keys spread over several buckets; < partitions rows
-    key: str
-    rows: int
-    partitions: int
-    broadcast_rows: int
+    def __init__(
+        self,
+        base: DataFrame,
+        key: str,
+        spread: str,
+        rows: int,
+        partitions: int,
+        broadcast_rows: int,
+        min_hot_rows: int,
+    ) -> None:
+        self.base = base
+        self.key = key
+        self.spread = spread
+        self.rows = rows
+        self.partitions = partitions
+        self.broadcast_rows = int(broadcast_rows)
+        self.min_hot_rows = int(min_hot_rows)
+        self._layout: DataFrame | None = None
+        self._hot: DataFrame | None = None
 
     @classmethod
     def build(
@@ -54,38 +65,45 @@ class Adjacency:
         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
         min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     ) -> "Adjacency":
-        spark = table.sparkSession
-        n = _num_partitions(spark, partitions)
-        base = persist(table)
-        rows = base.count()
-        threshold = max(int(math.ceil(rows / n)) if rows else 1, int(min_hot_rows), 1)
+        n = _num_partitions(table.sparkSession, partitions)
+        base = cut(table)
+        return cls(base, key, spread, base.count(), n, broadcast_rows, min_hot_rows)
+
+    @property
+    def threshold(self) -> int:
+        return max(int(math.ceil(self.rows / self.partitions)) if self.rows else 1, self.min_hot_rows, 1)
+
+    def _ensure_layout(self) -> None:
+        if self._layout is not None:
+            return
+        thr = self.threshold
         hot = (
-            base.groupBy(key)
+            self.base.groupBy(self.key)
             .agg(F.count(F.lit(1)).alias("deg"))
-            .where(F.col("deg") > F.lit(threshold))
-            .select(key, F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("n_salt"))
+            .where(F.col("deg") > F.lit(thr))
+            .select(self.key, F.ceil(F.col("deg") / F.lit(thr)).cast("int").alias("n_salt"))
         )
-        hot = cut(hot.coalesce(1))
+        self._hot = cut(hot.coalesce(1))  # fewer rows than partitions
         salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(F.col(spread)), F.col("n_salt")).cast("int")
+            F.pmod(F.xxhash64(F.col(self.spread)), F.col("n_salt")).cast("int")
         )
-        salted = base.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("n_salt")
-        layout = cut(salted.repartition(n, key, "salt"))
-        base.unpersist(blocking=False)
-        return cls(layout, hot, key, rows, n, int(broadcast_rows))
+        salted = self.base.join(F.broadcast(self._hot), self.key, "left").withColumn("salt", salt).drop("n_salt")
+        self._layout = cut(salted.repartition(self.partitions, self.key, "salt"))
 
     def expand(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
         """Join ``frontier`` (must carry column ``self.key``) to its adjacency rows."""
         if frontier_rows <= self.broadcast_rows:
-            return self.layout.drop("salt").join(F.broadcast(frontier), self.key, "inner")
+            return self.base.join(F.broadcast(frontier), self.key, "inner")
+        self._ensure_layout()
         replicas = F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - F.lit(1))
         salted = (
-            frontier.join(F.broadcast(self.hot), self.key, "left")
+            frontier.join(F.broadcast(self._hot), self.key, "left")
             .withColumn("salt", F.explode(replicas))
             .drop("n_salt")
         )
-        return self.layout.join(salted.hint("shuffle_hash"), [self.key, "salt"], "inner").drop("salt")
+        return self._layout.join(salted.hint("shuffle_hash"), [self.key, "salt"], "inner").drop("salt")
 
     def release(self) -> None:
-        self.layout.unpersist(blocking=False)
-        self.hot.unpersist(blocking=False)
+        for df in (self.base, self._layout, self._hot):
+            if df is not None:
+                df.unpersist(blocking=False)

@@ -52,3 +52,9 @@ class Generations:
         for df in self._held:
             df.unpersist(blocking=False)
         self._held.clear()
+
+    def release_except(self, keep: DataFrame) -> None:
+        for df in self._held:
+            if df is not keep:
+                df.unpersist(blocking=False)
+        self._held.clear()

@@ -42,26 +42,25 @@ class RunStats:
 
 
 def initial_dist(vertices: DataFrame, source: int, partitions: int) -> DataFrame:
-    """``(v, d, parent)`` for every vertex, hash-partitioned by ``v``."""
+    """``(v, d, parent, fresh)`` for every vertex, hash-partitioned by ``v``.
+
+    ``fresh`` marks the vertices whose ``d`` decreased in the last round: they
+    are the next frontier.  (A flag rather than a round number keeps every
+    round's plan -- and its generated code -- identical.)
+    """
+    is_source = F.col("v") == F.lit(source)
     return (
         with_source(vertices, source)
         .select(
             "v",
-            F.when(F.col("v") == F.lit(source), F.lit(0.0)).alias("d"),
+            F.when(is_source, F.lit(0.0)).alias("d"),
             F.lit(None).cast("bigint").alias("parent"),
+            is_source.alias("fresh"),
         )
         .repartition(partitions, "v")
     )
 
 
-def improvements(candidates: DataFrame, dist: DataFrame) -> DataFrame:
-    """Strictly better ``(v, d, parent)`` rows among per-destination best candidates."""
-    old = dist.select("v", F.col("d").alias("old_d"))
-    joined = candidates.join(old, "v", "inner")
-    better = F.col("old_d").isNull() | (F.col("d") < F.col("old_d"))
-    return joined.where(better).select("v", "d", "parent")
-
-
 def best_candidates(expanded: DataFrame) -> DataFrame:
     """From ``(src, dst, weight, d)`` rows: min message per destination -> ``(v, d, parent)``."""
     reached = expanded.where(F.col("d").isNotNull())
@@ -71,58 +70,58 @@ def best_candidates(expanded: DataFrame) -> DataFrame:
     return best.select("v", F.col("m.d").alias("d"), F.col("m.parent").alias("parent"))
 
 
-def merge_dist(dist: DataFrame, better: DataFrame) -> DataFrame:
-    """Receivers take the improved row, everyone else keeps theirs (same partitioning)."""
-    upd = better.select("v", F.col("d").alias("new_d"), F.col("parent").alias("new_parent"))
-    return dist.join(upd.hint("shuffle_hash"), "v", "left").select(
+def apply_candidates(dist: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Strict improvements replace ``d``/``parent`` and become fresh; one co-partitioned left join."""
+    cand = candidates.select("v", F.col("d").alias("c_d"), F.col("parent").alias("c_parent"))
+    better = F.col("c_d").isNotNull() & (F.col("d").isNull() | (F.col("c_d") < F.col("d")))
+    return dist.join(cand.hint("shuffle_hash"), "v", "left").select(
         "v",
-        F.coalesce(F.col("new_d"), F.col("d")).alias("d"),
-        F.when(F.col("new_d").isNotNull(), F.col("new_parent")).otherwise(F.col("parent")).alias("parent"),
+        F.when(better, F.col("c_d")).otherwise(F.col("d")).alias("d"),
+        F.when(better, F.col("c_parent")).otherwise(F.col("parent")).alias("parent"),
+        better.alias("fresh"),
     )
 
 
+def frontier_of(dist: DataFrame) -> DataFrame:
+    return dist.where(F.col("fresh")).select("v", "d")
+
+
 def relax(
     adjacency: Adjacency,
     dist: DataFrame,
-    frontier: DataFrame,
     frontier_rows: int,
     max_rounds: int | None = None,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
 ) -> DataFrame:
-    """Run relaxation rounds from ``frontier`` (``(v, d)``) until nothing improves.
+    """Relax from the fresh vertices of ``dist`` until nothing improves.
 
     ``dist`` must be hash-partitioned by ``v`` with ``adjacency.partitions``
-    partitions and already cut from its lineage.  Returns the final ``dist``
-    (checkpointed).
+    partitions and already cut from its lineage.  One action per round (the
+    count of the new frontier, which also materialises the new ``dist``);
+    every ``checkpoint_interval`` rounds ``dist`` is written to the shared
+    checkpoint folder.  Returns the final ``dist`` (checkpointed).
     """
     stats = stats if stats is not None else RunStats()
     gens = Generations()
     gens.hold(dist)
-    rounds = 0
+    done = 0
     key = adjacency.key
-    while frontier_rows > 0 and (max_rounds is None or rounds < max_rounds):
-        expanded = adjacency.expand(frontier.select(F.col("v").alias(key), "d"), frontier_rows)
-        # The frontier is cut every round (it is small next to ``dist``), so the
-        # plans of successive ``dist`` generations nest linearly, not exponentially.
-        better = cut(improvements(best_candidates(expanded), dist))
-        frontier_rows = better.count()
-        rounds += 1
-        stats.frontier_sizes.append(frontier_rows)
-        if frontier_rows == 0:
-            better.unpersist(blocking=False)
-            break
-        merged = merge_dist(dist, better)
-        if rounds % checkpoint_interval == 0:
-            merged = cut(merged)
+    while frontier_rows > 0 and (max_rounds is None or done < max_rounds):
+        frontier = frontier_of(dist).select(F.col("v").alias(key), "d")
+        expanded = adjacency.expand(frontier, frontier_rows)
+        nxt = apply_candidates(dist, best_candidates(expanded))
+        done += 1
+        if done % checkpoint_interval == 0:
+            nxt = cut(nxt)
         else:
-            merged = persist(merged)
-        gens.hold(better)
-        dist = gens.hold(merged)
-        frontier = better.select("v", "d")
-    stats.rounds = rounds
-    final = cut(dist)
-    gens.release()
+            nxt = persist(nxt)
+        frontier_rows = frontier_of(nxt).count()
+        stats.frontier_sizes.append(frontier_rows)
+        dist = gens.hold(nxt)
+    stats.rounds = done
+    final = dist if done and done % checkpoint_interval == 0 else cut(dist)
+    gens.release_except(final)
     return final
 
 
@@ -142,11 +141,10 @@ def sssp_state(
     n = num_partitions(spark, partitions)
     prepared = prepare_edges(edges, validate=validate)
     adjacency = Adjacency.build(prepared, "src", "dst", n, broadcast_rows, min_hot_rows)
-    dist = cut(initial_dist(vertices_from_edges(adjacency.layout), source, n))
-    frontier = dist.where(F.col("v") == F.lit(source)).select("v", "d")
-    out = relax(adjacency, dist, frontier, 1, max_rounds, checkpoint_interval, stats)
+    dist = cut(initial_dist(vertices_from_edges(adjacency.base), source, n))
+    out = relax(adjacency, dist, 1, max_rounds, checkpoint_interval, stats)
     adjacency.release()
-    return out
+    return out.select("v", "d", "parent")
 
 
 def sssp(edges: DataFrame, source: int = 0, **kwargs) -> DataFrame:
