@@ -1,0 +1,17 @@
+from .updates import (
+    DistanceMaintainer,
+    console_sink,
+    file_update_stream,
+    kafka_update_stream,
+    maintain_distances,
+    parse_update_lines,
+)
+
+__all__ = [
+    "DistanceMaintainer",
+    "console_sink",
+    "file_update_stream",
+    "kafka_update_stream",
+    "maintain_distances",
+    "parse_update_lines",
+]
