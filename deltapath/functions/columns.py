@@ -71,6 +71,11 @@ def message(sender_distance: Column, weight: Column) -> Column:
     return sender_distance + weight
 
 
-def best_message(msg: Column, sender: Column) -> Column:
-    """Aggregate expression: smallest message, ties to the smallest sender id."""
-    return F.min(F.struct(msg.alias("d"), sender.alias("parent")))
+def best_message(msg: Column, sender: Column) -> tuple[Column, Column]:
+    """Aggregates: smallest message and a sender that sent it.
+
+    ``min`` and ``min_by`` have fixed-width buffers, so Spark uses a hash
+    aggregate with a map-side partial step (a ``min`` over a struct would
+    force a sort-based aggregate).
+    """
+    return F.min(msg).alias("d"), F.min_by(sender, msg).alias("parent")

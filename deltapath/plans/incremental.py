@@ -27,7 +27,7 @@ from ..operators.changes import edge_delta, update_edge_batch, upsert_edges
 from ..operators.graph import prepare_edges, vertices_from_edges, with_source
 from ..operators.messages import memo_table
 from ..session import num_partitions
-from .lineage import Generations, cut, persist
+from .lineage import Generations, cut, persist, write_frontier
 from .sssp import (
     DEFAULT_CHECKPOINT_INTERVAL,
     RunStats,
@@ -86,7 +86,7 @@ def update_sssp(
     state = cut(
         base.join(hit, ["v", "parent"], "left").select("v", "d", "parent", is_hit.alias("gone"), is_hit.alias("fresh"))
     )
-    front_rows = state.where(F.col("fresh")).count()
+    front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
     inv_rows = front_rows
     gens = Generations()
     gens.hold(state)
@@ -97,7 +97,6 @@ def update_sssp(
         if children is None:
             tree = base.where(F.col("parent").isNotNull()).select("parent", "v")
             children = Adjacency.build(tree, "parent", "v", n, broadcast_rows, min_hot_rows)
-        front = state.where(F.col("fresh")).select(F.col("v").alias("parent"))
         kids = children.expand(front, front_rows).select("v").distinct().select("v", F.lit(True).alias("kid"))
         new_kid = F.coalesce(F.col("kid"), F.lit(False)) & ~F.col("gone")
         nxt = state.join(kids.hint("shuffle_hash"), "v", "left").select(
@@ -105,9 +104,9 @@ def update_sssp(
         )
         steps += 1
         nxt = cut(nxt) if steps % checkpoint_interval == 0 else persist(nxt)
-        front_rows = nxt.where(F.col("fresh")).count()
-        inv_rows += front_rows
         state = gens.hold(nxt)
+        front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
+        inv_rows += front_rows
     stats.extra["invalidated"] = inv_rows
     if children is not None:
         children.release()
@@ -141,9 +140,7 @@ def update_sssp(
     light = lowered.select("src", "dst", F.col("new_w").alias("weight"))
     offers = into_inv.unionByName(light).join(valid, "src", "inner")
     seeded = cut(apply_candidates(dist1, best_candidates(offers)))
-    fresh_rows = seeded.where(F.col("fresh")).count()
-    stats.extra["seeds"] = fresh_rows
-    out = relax(adjacency, seeded, fresh_rows, max_rounds, checkpoint_interval, stats)
+    out = relax(adjacency, seeded, None, max_rounds, checkpoint_interval, stats)
     for df in (delta, base, dist1):
         df.unpersist(blocking=False)
     adjacency.release()

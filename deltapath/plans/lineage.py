@@ -9,14 +9,38 @@ with the executor that holds them.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import checkpoint_dir, scratch_path
+
+_AQE = "spark.sql.adaptive.enabled"
+
+
+@contextmanager
+def static_plan(spark: SparkSession):
+    """Plan with adaptive execution off, so the output partitioning is known.
 
-from ..session import checkpoint_dir
+    An adaptive plan reports its partitioning as unknown until it has run, so
+    a cached or checkpointed loop state planned adaptively loses its
+    hash-partitioning and would be re-shuffled by every later join.  Loop
+    states are planned statically (their joins use explicit strategies:
+    count-checked broadcasts and salted shuffled hash joins); the setting is
+    restored right after planning.
+    """
+    prev = spark.conf.get(_AQE)
+    spark.conf.set(_AQE, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_AQE, prev)
 
 
 def persist(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    with static_plan(df.sparkSession):
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -29,7 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
     """
     checkpoint_dir(df.sparkSession)
     cached = persist(df)
-    out = cached.checkpoint(eager=True)
+    with static_plan(df.sparkSession):
+        out = cached.checkpoint(eager=True)
     cached.unpersist(blocking=False)
     # Keep a cached copy of the checkpointed rows so later rounds do not
     # re-read the files; the files stay as the recovery point.
@@ -58,3 +83,19 @@ class Generations:
             if df is not keep:
                 df.unpersist(blocking=False)
         self._held.clear()
+
+
+def write_frontier(df: DataFrame, name: str = "frontier") -> tuple[DataFrame, int]:
+    """Write a loop frontier as a parquet table in the shared folder; read it back.
+
+    The read-back table is a new leaf: a round's join then never sees the loop
+    state on both sides (a self-join, which Spark resolves by re-instancing one
+    side and so bypasses its cache and recomputes its lineage).  Writing it is
+    also the job that materialises the new loop state.  Returns the table and
+    its row count.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.parquet(path)
+    return out, out.count()

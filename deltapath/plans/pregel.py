@@ -19,7 +19,7 @@ from ..functions.columns import message
 from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency
 from ..operators.graph import validate_edges
 from ..session import num_partitions
-from .lineage import Generations, cut, persist
+from .lineage import Generations, cut, persist, write_frontier
 from .sssp import DEFAULT_CHECKPOINT_INTERVAL, RunStats
 
 
@@ -53,12 +53,13 @@ def pregel(
     state = cut(
         initial.select("v", "value", F.col("value").isNotNull().alias("fresh")).repartition(n, "v")
     )
-    active = state.where(F.col("fresh")).count()
     gens = Generations()
     gens.hold(state)
+    frontier, active = write_frontier(
+        state.where(F.col("fresh")).select(F.col("v").alias("src"), F.col("value").alias("s_value"))
+    )
     done = 0
     while active > 0 and (max_rounds is None or done < max_rounds):
-        frontier = state.where(F.col("fresh")).select(F.col("v").alias("src"), F.col("value").alias("s_value"))
         expanded = adjacency.expand(frontier, active)
         combined = expanded.groupBy(F.col("dst").alias("v")).agg(
             reduce(send(F.col("s_value"), F.col("weight"))).alias("msg")
@@ -69,9 +70,11 @@ def pregel(
         nxt = nxt.select("v", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("fresh"))
         done += 1
         nxt = cut(nxt) if done % checkpoint_interval == 0 else persist(nxt)
-        active = nxt.where(F.col("fresh")).count()
-        stats.frontier_sizes.append(active)
         state = gens.hold(nxt)
+        frontier, active = write_frontier(
+            state.where(F.col("fresh")).select(F.col("v").alias("src"), F.col("value").alias("s_value"))
+        )
+        stats.frontier_sizes.append(active)
     stats.rounds = done
     final = state if done and done % checkpoint_interval == 0 else cut(state)
     gens.release_except(final)

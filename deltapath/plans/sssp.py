@@ -29,9 +29,9 @@ from ..functions.columns import best_message, message
 from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency
 from ..operators.graph import prepare_edges, vertices_from_edges, with_source
 from ..session import num_partitions
-from .lineage import Generations, cut, persist
+from .lineage import Generations, cut, persist, write_frontier
 
-DEFAULT_CHECKPOINT_INTERVAL = 4
+DEFAULT_CHECKPOINT_INTERVAL = 8
 
 
 @dataclass
@@ -64,10 +64,8 @@ def initial_dist(vertices: DataFrame, source: int, partitions: int) -> DataFrame
 def best_candidates(expanded: DataFrame) -> DataFrame:
     """From ``(src, dst, weight, d)`` rows: min message per destination -> ``(v, d, parent)``."""
     reached = expanded.where(F.col("d").isNotNull())
-    best = reached.groupBy(F.col("dst").alias("v")).agg(
-        best_message(message(F.col("d"), F.col("weight")), F.col("src")).alias("m")
-    )
-    return best.select("v", F.col("m.d").alias("d"), F.col("m.parent").alias("parent"))
+    msg = message(F.col("d"), F.col("weight"))
+    return reached.groupBy(F.col("dst").alias("v")).agg(*best_message(msg, F.col("src")))
 
 
 def apply_candidates(dist: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -89,7 +87,7 @@ def frontier_of(dist: DataFrame) -> DataFrame:
 def relax(
     adjacency: Adjacency,
     dist: DataFrame,
-    frontier_rows: int,
+    frontier_rows: int | None = None,
     max_rounds: int | None = None,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
@@ -97,28 +95,25 @@ def relax(
     """Relax from the fresh vertices of ``dist`` until nothing improves.
 
     ``dist`` must be hash-partitioned by ``v`` with ``adjacency.partitions``
-    partitions and already cut from its lineage.  One action per round (the
-    count of the new frontier, which also materialises the new ``dist``);
-    every ``checkpoint_interval`` rounds ``dist`` is written to the shared
-    checkpoint folder.  Returns the final ``dist`` (checkpointed).
+    partitions and already cut from its lineage.  Per round: one job writes
+    the new frontier (and so materialises the new ``dist``), a cheap one
+    counts it; every ``checkpoint_interval`` rounds ``dist`` is checkpointed
+    to the shared folder.  Returns the final ``dist`` (checkpointed).
     """
     stats = stats if stats is not None else RunStats()
     gens = Generations()
     gens.hold(dist)
-    done = 0
     key = adjacency.key
-    while frontier_rows > 0 and (max_rounds is None or done < max_rounds):
-        frontier = frontier_of(dist).select(F.col("v").alias(key), "d")
-        expanded = adjacency.expand(frontier, frontier_rows)
+    frontier, rows = write_frontier(frontier_of(dist).select(F.col("v").alias(key), "d"))
+    done = 0
+    while rows > 0 and (max_rounds is None or done < max_rounds):
+        expanded = adjacency.expand(frontier, rows)
         nxt = apply_candidates(dist, best_candidates(expanded))
         done += 1
-        if done % checkpoint_interval == 0:
-            nxt = cut(nxt)
-        else:
-            nxt = persist(nxt)
-        frontier_rows = frontier_of(nxt).count()
-        stats.frontier_sizes.append(frontier_rows)
+        nxt = cut(nxt) if done % checkpoint_interval == 0 else persist(nxt)
         dist = gens.hold(nxt)
+        frontier, rows = write_frontier(frontier_of(dist).select(F.col("v").alias(key), "d"))
+        stats.frontier_sizes.append(rows)
     stats.rounds = done
     final = dist if done and done % checkpoint_interval == 0 else cut(dist)
     gens.release_except(final)
