@@ -10,9 +10,12 @@ from deltapath.operators import graph as G
 
 
 def hub_graph(spark):
-    # vertex 1 is a hub with a third of all edges
+    # vertex 1 is a hub with a third of all edges; the graph is three levels deep
     hub = spark.range(2, 3002).select(F.lit(1).cast("bigint").alias("src"), F.col("id").alias("dst"), (F.col("id") % 5 + 1).cast("double").alias("weight"))
-    chain = spark.range(2, 6002).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), F.lit(1.0).alias("weight"))
+    kids = spark.range(0, 6000).select(
+        (F.col("id") % 3000 + 2).alias("src"), (F.col("id") + 100000).alias("dst"), (F.col("id") % 3 + 1).cast("double").alias("weight")
+    )
+    chain = kids
     root = spark.range(1).select(F.lit(0).cast("bigint").alias("src"), F.lit(1).cast("bigint").alias("dst"), F.lit(1.0).alias("weight"))
     return root.unionByName(hub).unionByName(chain)
 
