@@ -17,7 +17,7 @@ from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS,
 from ..operators.changes import edge_delta
 from ..operators.graph import prepare_edges
 from ..session import num_partitions
-from .lineage import cut, persist
+from .lineage import cut, persist, write_frontier
 from .sssp import DEFAULT_CHECKPOINT_INTERVAL, RunStats
 
 DEFAULT_MAX_HOPS = 10
@@ -115,48 +115,46 @@ def update_hop_distances(
     stats = stats if stats is not None else RunStats()
     e_old = persist(prepare_edges(old_edges))
     e_new = persist(prepare_edges(new_edges))
-    delta = persist(edge_delta(e_old, e_new).select("src", "dst"))
+    delta, _ = write_frontier(edge_delta(e_old, e_new).select("src", "dst"), "hop-delta")
     both = e_old.select("src", "dst").unionByName(e_new.select("src", "dst"))
     hops = persist(hops.select("v", "k", "d"))
     prev_old = _source_stage(spark, source)
     prev_new = prev_old
-    changed = spark.range(0).select(F.lit(0).cast("bigint").alias("v"))
+    changed, n_changed = None, 0
     stages: list[DataFrame] = []
-    held: list[DataFrame] = [e_old, e_new, delta, hops]
+    held: list[DataFrame] = [e_old, e_new, hops]
     for k in range(1, max_hops + 1):
         old_k = hops.where(F.col("k") == F.lit(k)).select("v", "d")
         senders = prev_old.select("v").unionByName(prev_new.select("v")).distinct()
-        via_delta = delta.join(senders.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v"))
-        via_changed = both.join(changed.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v"))
-        # Cut every stage: ``changed`` feeds the next stage and is used twice,
-        # so uncut plans would double in size per stage.
-        affected = cut(via_delta.unionByName(via_changed).distinct())
-        n_aff = affected.count()
-        held.append(affected)
+        affected = delta.join(senders.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v"))
+        if n_changed:
+            via_changed = both.join(changed.withColumnRenamed("v", "src"), "src", "left_semi")
+            affected = affected.unionByName(via_changed.select(F.col("dst").alias("v")))
+        # Small per-stage tables are written to the shared folder and read back:
+        # each is then a leaf, so stage plans do not nest across stages.
+        affected, n_aff = write_frontier(affected.distinct(), "hop-affected")
         if n_aff == 0:
             new_k = old_k
-            changed = spark.range(0).select(F.lit(0).cast("bigint").alias("v"))
+            changed, n_changed = None, 0
         else:
             aff = F.broadcast(affected) if n_aff <= broadcast_rows else affected
             in_edges = e_new.join(aff.withColumnRenamed("v", "dst"), "dst", "left_semi")
-            recomputed = (
+            recomputed = persist(
                 in_edges.join(prev_new.withColumnRenamed("v", "src").withColumnRenamed("d", "s_d"), "src", "inner")
                 .groupBy(F.col("dst").alias("v"))
                 .agg(F.min(F.col("s_d") + F.col("weight")).alias("d"))
             )
+            held.append(recomputed)
             kept = old_k.join(aff, "v", "left_anti")
-            new_k = kept.unionByName(recomputed)
+            new_k, _ = write_frontier(kept.unionByName(recomputed), "hop-stage")
             before = old_k.join(aff, "v", "left_semi").select("v", F.col("d").alias("old_d"))
             cmp = recomputed.join(before, "v", "full_outer")
-            changed = cmp.where(~F.col("d").eqNullSafe(F.col("old_d"))).select("v")
-        new_k = cut(new_k)
-        changed = cut(changed)
-        held.extend([new_k, changed])
+            changed, n_changed = write_frontier(cmp.where(~F.col("d").eqNullSafe(F.col("old_d"))).select("v"), "hop-changed")
         stats.frontier_sizes.append(n_aff)
         stages.append(new_k.select("v", F.lit(k).alias("k"), "d"))
         prev_old, prev_new = old_k, new_k
     stats.rounds = max_hops
-    result = cut(_union_stages(stages))
+    result, _ = write_frontier(_union_stages(stages), "hop-result")
     for df in held:
         df.unpersist(blocking=False)
     return result
