@@ -55,22 +55,19 @@ def hop_distances(
             break
         expanded = adjacency.expand(stage.select(F.col("v").alias("src"), "d"), rows)
         nxt = expanded.groupBy(F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("weight")).alias("d"))
-        nxt = cut(nxt) if k % checkpoint_interval == 0 else persist(nxt)
-        rows = nxt.count()
+        # Each stage is written to the shared folder and read back as a leaf:
+        # the final union then holds ten independent scans, not ten nested plans.
+        stage, rows = write_frontier(nxt, "hop-stage")
         stats.frontier_sizes.append(rows)
         stats.rounds = k
-        stages.append(nxt.select("v", F.lit(k).alias("k"), "d"))
-        stage = nxt
+        if rows:
+            stages.append(stage.select("v", F.lit(k).alias("k"), "d"))
+    adjacency.release()
     if not stages:
-        out = spark.range(0).select(
+        return spark.range(0).select(
             F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("k"), F.lit(0.0).alias("d")
         )
-        adjacency.release()
-        return out
-    result = cut(_union_stages(stages))
-    for s in stages:
-        s.unpersist(blocking=False)
-    adjacency.release()
+    result, _ = write_frontier(_union_stages(stages), "hop-result")
     return result
 
 

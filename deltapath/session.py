@@ -8,7 +8,6 @@ private scratch folder, as tests do.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -65,14 +64,3 @@ def num_partitions(spark: SparkSession, override: int | None = None) -> int:
     if override:
         return int(override)
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def is_local_path(path: str) -> bool:
-    return path.startswith("/") or path.startswith("file:")
-
-
-def ensure_local_dir(path: str) -> None:
-    if path.startswith("file:"):
-        path = path[len("file:"):]
-    if path.startswith("/"):
-        os.makedirs(path, exist_ok=True)
