@@ -70,13 +70,6 @@ def update_sssp(
     lowered = delta.where(F.col("new_w").isNotNull() & (F.col("old_w").isNull() | (F.col("new_w") < F.col("old_w"))))
 
     p = prev.select("v", "d", "parent")
-    base = cut(
-        with_source(vertices_from_edges(e_new), source)
-        .join(p, "v", "left")
-        .select("v", "d", "parent")
-        .repartition(n, "v")
-    )
-    n_vertices = base.count()
 
     # Phase 1: invalidate the parent subtrees hanging from raised or deleted edges.
     # ``gone`` marks invalidated vertices, ``fresh`` the ones added last step
@@ -84,10 +77,16 @@ def update_sssp(
     hit = raised.select(F.col("src").alias("parent"), F.col("dst").alias("v"), F.lit(True).alias("hit"))
     is_hit = F.coalesce(F.col("hit"), F.lit(False)) & (F.col("v") != F.lit(source))
     state = cut(
-        base.join(hit, ["v", "parent"], "left").select("v", "d", "parent", is_hit.alias("gone"), is_hit.alias("fresh"))
+        with_source(vertices_from_edges(e_new), source)
+        .join(p, "v", "left")
+        .join(hit, ["v", "parent"], "left")
+        .select("v", "d", "parent", is_hit.alias("gone"), is_hit.alias("fresh"))
+        .repartition(n, "v")
     )
+    base = state
     front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
     inv_rows = front_rows
+    n_vertices = state.count() if front_rows else 0
     gens = Generations()
     gens.hold(state)
     children = None
@@ -121,7 +120,7 @@ def update_sssp(
             new_edges, source, max_rounds, validate, partitions, broadcast_rows, min_hot_rows, checkpoint_interval, stats
         )
 
-    dist1 = cut(
+    dist1 = persist(
         state.select(
             "v",
             F.when(F.col("gone"), F.lit(None).cast("double")).otherwise(F.col("d")).alias("d"),
