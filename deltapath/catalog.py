@@ -39,12 +39,12 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
-def _ev(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Materialised (g_ev, raw update stream)."""
     t = _t(spark, sf_dir)
     base, upd = X.g_ev_parts(t)
     edges = cut(base.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    return edges, cut(upd)
+    return edges, (cut(upd) if with_updates else None)
 
 
 def _latest(upd: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def sssp_tree(spark, sf_dir):
 
 
 def sssp_events(spark, sf_dir):
-    edges, _ = _ev(spark, sf_dir)
+    edges, _ = _ev(spark, sf_dir, with_updates=False)
     return _dist(S.sssp_state(edges, SOURCE))
 
 
@@ -324,7 +324,7 @@ def stream_updates(spark, sf_dir):
 
 
 def stream_sssp(spark, sf_dir):
-    edges, _ = _ev(spark, sf_dir)
+    edges, _ = _ev(spark, sf_dir, with_updates=False)
     folder = _write_update_files(spark, sf_dir)
     state_path = scratch_path(spark, "stream-state")
     ckpt = scratch_path(spark, "stream-ckpt")

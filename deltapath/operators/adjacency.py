@@ -25,7 +25,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, persist, write_frontier
 from ..session import num_partitions as _num_partitions
 
 # Frontiers up to this many rows are broadcast (a (BIGINT, DOUBLE) row is ~16 bytes).
@@ -66,8 +66,10 @@ class Adjacency:
         min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     ) -> "Adjacency":
         n = _num_partitions(table.sparkSession, partitions)
-        base = cut(table)
-        return cls(base, key, spread, base.count(), n, broadcast_rows, min_hot_rows)
+        # Materialised once as a parquet table in the shared folder (columnar,
+        # durable, counted on the write); rounds then stream it from cache.
+        written, rows = write_frontier(table, "adjacency")
+        return cls(persist(written), key, spread, rows, n, broadcast_rows, min_hot_rows)
 
     @property
     def threshold(self) -> int:
