@@ -21,7 +21,7 @@ from .plans import hops as H
 from .plans import incremental as I
 from .plans import pregel as P
 from .plans import sssp as S
-from .plans.lineage import cut
+from .plans.lineage import cut, persist
 from .session import scratch_path
 from .sources import fixtures as X
 from .sources import generators, text
@@ -40,11 +40,11 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Materialised (g_ev, raw update stream)."""
+    """Cached (g_ev, raw update stream); their lineage is a deterministic scan of the tables."""
     t = _t(spark, sf_dir)
     base, upd = X.g_ev_parts(t)
-    edges = cut(base.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
-    return edges, (cut(upd) if with_updates else None)
+    edges = persist(base.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
+    return edges, (persist(upd) if with_updates else None)
 
 
 def _latest(upd: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def init_state(spark, sf_dir):
 
 
 def _ps_state(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    edges = cut(X.g_ps(_t(spark, sf_dir)))
+    edges = persist(X.g_ps(_t(spark, sf_dir)))
     return edges, _dist(S.sssp_state(edges, SOURCE))
 
 
@@ -138,7 +138,7 @@ def _one_step(spark, sf_dir) -> dict:
     """One memo step on G_EV: old fixpoint, new edges (upserted), changed messages."""
     edges, upd = _ev(spark, sf_dir)
     old = cut(_dist(S.sssp_state(edges, SOURCE)))
-    new_edges = cut(C.upsert_edges(edges, upd))
+    new_edges = persist(C.upsert_edges(edges, upd))
     state = G.merge_vertices(new_edges, old)
     memo = M.memo_table(edges, old)
     changed = M.changed_messages(M.candidate_messages(new_edges, old), memo)
@@ -175,7 +175,7 @@ def affected_sources(spark, sf_dir):
 
 
 def pregel_min(spark, sf_dir):
-    edges = cut(X.g_ps(_t(spark, sf_dir)))
+    edges = persist(X.g_ps(_t(spark, sf_dir)))
     initial = G.init_state(G.vertices_from_edges(edges), SOURCE).withColumnRenamed("d", "value")
     return P.pregel(edges, initial).withColumnRenamed("value", "d")
 
@@ -254,7 +254,7 @@ def stage_message_counts(spark, sf_dir):
 
 
 def stage_messages(spark, sf_dir):
-    edges = cut(X.g_ps(_t(spark, sf_dir)))
+    edges = persist(X.g_ps(_t(spark, sf_dir)))
     return H.stage_messages(edges, H.hop_distances(edges, SOURCE, MAX_HOPS), SOURCE, MAX_HOPS)
 
 
@@ -293,7 +293,7 @@ def sink_distances(spark, sf_dir):
 
 
 def sink_state(spark, sf_dir):
-    edges = cut(X.g_tree(_t(spark, sf_dir)))
+    edges = persist(X.g_tree(_t(spark, sf_dir)))
     state = S.sssp_state(edges, SOURCE)
     path = scratch_path(spark, "state")
     K.write_state(path, G.reset_flags(_dist(state)), edges, M.memo_table(edges, _dist(state)))

@@ -17,8 +17,8 @@ from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS,
 from ..operators.changes import edge_delta
 from ..operators.graph import prepare_edges
 from ..session import num_partitions
-from .lineage import cut, persist, write_frontier
-from .sssp import DEFAULT_CHECKPOINT_INTERVAL, RunStats
+from .lineage import persist, write_frontier
+from .sssp import RunStats
 
 DEFAULT_MAX_HOPS = 10
 
@@ -39,7 +39,6 @@ def hop_distances(
     partitions: int | None = None,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
-    checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
 ) -> DataFrame:
     """``(v, k, d)`` for k = 1..max_hops: min weight over walks of exactly k edges."""
