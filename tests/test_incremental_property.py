@@ -100,3 +100,16 @@ def test_hop_update_equals_full(edges, updates):
     inc = H.update_hop_distances(H.hop_distances(e, 0, 6), e, new, 0, 6)
     full = H.hop_distances(new, 0, 6)
     assert sorted(map(tuple, inc.collect())) == sorted(map(tuple, full.collect()))
+
+
+@pytest.mark.parametrize("seed", [11])
+def test_disturbed_matches_full_memo_compare(edges, seed):
+    rng = random.Random(seed)
+    old_rows = random_graph(rng, 20, 60)
+    new_rows = mixed_batch(rng, old_rows, 20, 10)
+    old, new = edges(old_rows), edges(new_rows)
+    d_old = S.sssp(old, 0)
+    d_new = S.sssp(new, 0)
+    fast = {r["v"] for r in I.disturbed_vertices(old, d_old, new, d_new).collect()}
+    full = {r["dst"] for r in I.changed_memo(old, d_old, new, d_new).collect()}
+    assert fast == full
