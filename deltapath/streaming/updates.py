@@ -67,6 +67,13 @@ def console_sink(stream: DataFrame, rows: int = 10, trigger: str = DEFAULT_TRIGG
     return w.start()
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its (shared) file system."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 @dataclass
 class DistanceMaintainer:
     """``foreachBatch`` handler that keeps ``(edges, dist)`` versions under ``state_path``."""
@@ -79,10 +86,9 @@ class DistanceMaintainer:
         return f"{self.state_path}/_commits"
 
     def committed(self, spark: SparkSession) -> DataFrame | None:
-        try:
-            return spark.read.json(self._log_path())
-        except Exception:  # no commit yet
+        if not _exists(spark, self._log_path()):
             return None
+        return spark.read.json(self._log_path())
 
     def latest(self, spark: SparkSession) -> tuple[int, DataFrame, DataFrame] | None:
         log = self.committed(spark)
