@@ -76,7 +76,8 @@ def pregel(
         )
         stats.frontier_sizes.append(active)
     stats.rounds = done
-    final = state if done and done % checkpoint_interval == 0 else cut(state)
-    gens.release_except(final)
+    # Cached and materialised by the last frontier write; lineage bounded by
+    # the last checkpoint and the written frontier tables.
+    gens.release_except(state)
     adjacency.release()
-    return final.select("v", "value")
+    return state.select("v", "value")

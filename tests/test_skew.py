@@ -44,3 +44,13 @@ def test_pregel_with_salting(spark):
     init = G.init_state(G.vertices_from_edges(e), 0).withColumnRenamed("d", "value")
     got = as_dict(P.pregel(e, init, broadcast_rows=0, min_hot_rows=100), value="value")
     assert got == as_dict(S.sssp(e, 0))
+
+
+def test_pregel_generic_reachability(spark, edges):
+    e = edges([(0, 1, 3), (1, 2, 4), (5, 6, 1), (2, 0, 1)])
+    init = spark.createDataFrame([(v, 1.0 if v == 0 else None) for v in (0, 1, 2, 5, 6)], "v bigint, value double")
+    got = as_dict(
+        P.pregel(e, init, send=lambda value, weight: value, reduce=F.max, update=lambda old, msg: F.greatest(old, msg)),
+        value="value",
+    )
+    assert got == {0: 1.0, 1: 1.0, 2: 1.0, 5: None, 6: None}
