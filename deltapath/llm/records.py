@@ -93,7 +93,7 @@ class WordEncoder:
         seen: set[bytes] = set().union(*words) if words else set()
         if len(self.memo) + len(seen) > MEMO_WORDS:
             self.memo.clear()
-        new = list(seen - self.memo.keys())
+        new = list(seen.difference(self.memo))
         if new:
             self._learn(new)
         get = self.memo.__getitem__
