@@ -27,6 +27,7 @@ texts are one record.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -50,52 +51,89 @@ FOOT = struct.Struct("<I")
 PREFIX = struct.Struct("<BBq")
 INDEX_SCHEMA = "shard int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 RECORD_SCHEMA = "shard int, file string, seq long, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
-#: Distinct words of which a task keeps the ids (about 100 MB); beyond it, it starts anew.
-MEMO_WORDS = 400_000
+#: Distinct words of which a task keeps the ids (about 200 MB).
+MEMO_WORDS = 800_000
 ROWS_PER_SHARD = 50_000
 
 
+def drops_white_space(spec: dict) -> bool:
+    """Whether a tokenizer file splits words by a pattern and drops what lies between them, white space included."""
+    pre = spec["pre_tokenizer"] or {}
+    first = (pre.get("pretokenizers") or [pre])[0]
+    return first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "\\s" in first["pattern"].get("Regex", "")
+
+
 class WordEncoder:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
-    Words are cut at ASCII white space, which the tokenizer drops, and which
-    neither its normaliser nor its pre-tokenizer looks across; so a text's ids
-    are its words' ids in order.  New words of a batch go to the library as
-    one text, and its offsets tell which word each id belongs to.
+    Words are cut at ASCII white space where the tokenizer drops that: neither
+    its normaliser nor its pattern looks across, so a text's ids are its
+    words' ids in order.  ASCII punctuation behind a letter or digit is a match of its own
+    for the pattern too, and letter case is dropped by the normaliser.  New
+    words go to the library a few hundred at a time, with a mark between them.
+    Other tokenizers get every text as it is.
     """
 
+    TAIL = b".,;:!?#$%&*"
+    MARK = "\x01"
+
     def __init__(self, tokenizer_json: str, width: int) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = f"<u{width}"
+        self.kind = np.dtype(f"<u{width}")
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        spec = json.loads(tokenizer_json)
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        self.by_word = drops_white_space(spec) and len(mark) == 1
+        self.mark = mark[0] if self.by_word else -1
+        self.lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+
+    def _whole(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in got]
 
     def _learn(self, new: list[bytes]) -> None:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        for at in range(0, len(new), 4096):
-            part = [w.decode() for w in new[at : at + 4096]]
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, self.kind)
-            lens = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            starts = np.fromiter((a for a, _ in got.offsets), np.int64, len(ids))
-            cuts = np.searchsorted(starts, np.cumsum(lens))
-            data, size, a = ids.tobytes(), ids.itemsize, 0
-            for word, b in zip(new[at : at + 4096], cuts.tolist()):
-                self.memo[word] = data[a * size : b * size]
-                a = b
+        memo, mark, size = self.memo, self.MARK.encode(), self.kind.itemsize
+        odd = [w for w in new if mark in w or any(t in w for t in self.added)]
+        memo.update(zip(odd, self._whole(odd)))
+        rest = [w for w in new if w not in memo]
+        if not rest:
+            return
+        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
+        texts = [(b" \x01 ".join(g) + b" \x01").decode() for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(got.ids, np.int64)
+            ends = np.flatnonzero(ids == self.mark) * size
+            data = ids.astype(self.kind).tobytes()
+            memo.update((w, data[a:z]) for w, a, z in zip(group, [0, *(ends[:-1] + size).tolist()], ends.tolist(), strict=True))
+
+    def _know(self, seen: set[bytes]) -> None:
+        """Have the ids of all words in the memo; what wasn't met since it was last full is dropped."""
+        if len(self.memo) > MEMO_WORDS // 2:
+            self.older, self.memo = self.memo, {}
+        memo, older = self.memo, self.older
+        new = seen.difference(memo)
+        met = new.intersection(older)
+        memo.update((w, older[w]) for w in met)
+        new.difference_update(met)
+        stems = {w: s for w in new if (s := w.rstrip(self.TAIL)) != w and s[-1:].isalnum()}
+        parts = {x for w, s in stems.items() for x in (s, w[len(s) :])}
+        self._learn([*parts.union(new.difference(stems)).difference(memo)])
+        memo.update((w, memo[s] + memo[w[len(s) :]]) for w, s in stems.items())
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]  # bytes.split cuts at ASCII white space alone
-        seen: set[bytes] = set().union(*words) if words else set()
-        if len(self.memo) + len(seen) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(seen.difference(self.memo))
-        if new:
-            self._learn(new)
+        if not self.by_word:
+            return self._whole(texts)
+        lower = lambda t: t if any(x in t.lower() for x in self.added) else t.lower()
+        # bytes.split and bytes.lower know ASCII alone
+        words = [(lower(t) if self.lowers else t).split() for t in texts]
+        self._know(set().union(*words))
         get = self.memo.__getitem__
         return [b"".join(map(get, w)) for w in words]
 
@@ -247,7 +285,7 @@ def read_records(index: DataFrame, out_dir: str) -> DataFrame:
     files = index.groupBy("shard", "file").agg(F.sum("n_tokens").alias("__n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("shard", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    spread = files.select("shard", "file").repartition("file")
+    spread = files.select("shard", "file").repartition(num_partitions(index.sparkSession), "shard")
     records = spread.mapInArrow(lambda batches: read_files(batches, out_dir), RECORD_SCHEMA)
     return records.join(F.broadcast(bases), "shard").select(
         "doc_id",
