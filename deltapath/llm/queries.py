@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import records
+from . import bpe, quotient, records
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,16 @@ def op1_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.op1(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotient.dedup_rows(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_binary_records": op1_binary_records,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op9_exact_dedup": op9_exact_dedup,
 }

@@ -1,3 +1,16 @@
 """DuckDB SQL of the operators' queries that SQL can express."""
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op9_exact_dedup"] = r"""
+WITH n AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n_cp, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS sha
+    FROM documents
+)
+SELECT doc_id,
+       first_value(doc_id) OVER (PARTITION BY sha ORDER BY n_cp DESC, doc_id) AS keep_id,
+       count(*) OVER (PARTITION BY sha) AS group_size,
+       doc_id = first_value(doc_id) OVER (PARTITION BY sha ORDER BY n_cp DESC, doc_id) AS kept,
+       sha AS text_sha256
+FROM n
+"""
