@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quotient, records
+from . import bpe, mixing, quotient, records, secret_scan
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotient.dedup_rows(read_table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_binary_records": op1_binary_records,
     "op3_byte_bpe": op3_byte_bpe,
     "op6_source_mix": op6_source_mix,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
