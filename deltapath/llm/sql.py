@@ -14,3 +14,22 @@ SELECT doc_id,
        sha AS text_sha256
 FROM n
 """
+
+ORACLE["op4_line_dedup"] = r"""
+WITH parts AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), lines AS (
+    SELECT doc_id, source, unnest(ls) AS line, generate_subscripts(ls, 1) AS nr FROM parts
+), boilerplate AS (
+    SELECT line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+    GROUP BY line HAVING count(DISTINCT coalesce('s' || source, '')) >= 6
+), marked AS (
+    SELECT l.doc_id, l.nr, l.line, b.line IS NOT NULL AS gone FROM lines l LEFT JOIN boilerplate b ON l.line = b.line
+), left_over AS (
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+           coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (WHERE NOT gone), '') AS text
+    FROM marked GROUP BY doc_id
+)
+SELECT p.doc_id, CASE WHEN p.text = '' THEN 0 ELSE l.n_lines END AS n_lines, l.n_removed, length(l.text) AS n_chars, sha256(l.text) AS text_sha256
+FROM parts p JOIN left_over l ON p.doc_id = l.doc_id
+"""
