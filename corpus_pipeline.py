@@ -1,15 +1,64 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, source mix, token ids.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame.  All but
+the last return rows with the columns of ``docs``; the last returns a row for
+each document that is left (a document that the mix takes twice has two rows).
+``run`` writes every stage as Parquet and reads it again, so a stage that is
+lost is never computed from the first one anew.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from deltapath.llm import bagminhash, bpe, mixing, quality_rules, quotient
+from deltapath.llm.common import read_table, written
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_good(docs)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of equal texts."""
+    return quotient.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return bagminhash.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it."""
+    return mixing.take_mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row."""
+    return bpe.encode_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("source_mix", mixture),
+    ("byte_bpe", tokens),
+]
+
+#: SQL can't express near duplicates and byte-level BPE; tests/llm compares run() with a brute-force version.
 ORACLE_SQL: str | None = None
-STAGES: list = []
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
