@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import write_frontier
 from .common import WS_CLASS, words_of, written
 
 #: Frequent words of each language, lower case.
@@ -42,6 +43,8 @@ CHAR_DISTANCE = 0.15
 WORD_DISTANCE = 0.35
 #: Languages of which the references may be broadcast.
 MAX_LANGUAGES = 10_000
+#: Rejected rows (16 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
 #: Character classes in the order of the histogram; small consonants and digits make the last place.
 CLASSES = {
     "upper": r"\p{Lu}",
@@ -182,11 +185,14 @@ def judge(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that are kept.
 
-    The references come from a first pass over all documents; the verdict on
-    a row is then made where the row is, so no text is shuffled.
+    Texts are read once for the counts and once to be passed on: rows are told
+    apart by doc_id and a hash of text and language, and the rejected ones are
+    left out by a join (broadcast if their counted number allows).
     """
-    names = docs.columns
-    refs = references(written(base_counts(docs), "counts"))
-    wide = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), docs["doc_id"], docs["lang"], docs["text"])
-    kept = with_verdicts(base_counts(wide, wide["__row"]), refs).where("kept")
-    return kept.select(*[F.col("__row").getField(c).alias(c) for c in names])
+    print_ = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["lang"].cast("string"))
+    counts = written(base_counts(docs, print_.alias("__row")), "counts")
+    judged = with_verdicts(counts, references(counts))
+    rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__print")).distinct()
+    rejected, n = write_frontier(rejected, "rejected")
+    drop = F.broadcast(rejected) if n <= BROADCAST_ROWS else rejected
+    return docs.join(drop, (print_ == F.col("__print")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
