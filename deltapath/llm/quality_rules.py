@@ -35,6 +35,7 @@ COMMON_WORDS = {
     "es": "de la que el en y a los del se las por un para con no una su al lo como más es".split(),
 }
 N_COMMON = max(map(len, COMMON_WORDS.values()))
+LONGEST = max(len(w.encode()) for words in COMMON_WORDS.values() for w in words)
 MIN_WORDS = 50
 MAX_REPEATED = 50  # percent of words in repeated windows
 HIST_CHARS = 200
@@ -51,7 +52,7 @@ CLASSES = {
     "vowel": "[aeiou]",
     "accented": r"[\P{ASCII}&&[^\p{Lu}]]",
     "stop": r"[.,;:!?'\x22()\-]",
-    "symbol": r"[#*$%&|<>{}\[\]~^=_@+/\\]",
+    "symbol": r"[#*$%&|<>]",
     "space": f"[{WS_CLASS}]",
 }
 
@@ -79,6 +80,7 @@ def base_counts(docs: DataFrame, *keep: Column) -> DataFrame:
         {
             "__w": words_of(F.col("__t")),
             "__l": F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{WS_CLASS}]")),
+            "__k": F.array(*[_count(F.col("__t"), c) for c in CLASSES.values()]),
             "__own": F.coalesce(F.try_element_at(own, F.col("lang")), F.array().cast("array<string>")),
         }
     )
@@ -87,19 +89,18 @@ def base_counts(docs: DataFrame, *keep: Column) -> DataFrame:
         {
             "n_words": F.size("__w").cast("long"),
             "__g": F.when(F.size("__w") >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), F.size("__w") - 3), window))),
-            "__c": F.filter(F.split(F.lower("__t"), r"[^\p{L}]+"), lambda x: F.array_contains(F.col("__own"), x)),
+            "__c": F.filter(F.split(F.lower("__t"), r"[^\p{L}]+"), lambda x: (F.octet_length(x) <= LONGEST) & F.array_contains(F.col("__own"), x)),
         }
     )
-    symbols = _count(F.col("__t"), r"[#*$%&|<>]")
-    classes = [_count(F.col("__t"), c) for c in CLASSES.values()]
+    place = list(CLASSES).index
     rows = rows.select(
         *[F.col(c) for c in rows.columns if not c.startswith("__") or c == "__row"],
-        classes[-1].alias("__spaces"),
+        F.col("__k")[place("space")].alias("__spaces"),
         F.char_length("__t").cast("long").alias("__n"),
-        symbols.alias("n_symbols"),
+        F.col("__k")[place("symbol")].alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(repeated_words(F.col("__w"), F.col("__g")), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*classes).alias("__k"),
+        "__k",
         F.size("__c").cast("long").alias("__nc"),
         F.transform("__own", lambda c: F.size(F.filter(F.col("__c"), lambda x: x == c)).cast("long")).alias("__ck"),
     )
@@ -144,13 +145,11 @@ def summed(counts: DataFrame) -> DataFrame:
     )
 
 
-def js_distance(p: Column, q: Column) -> Column:
-    """Jensen-Shannon distance of two arrays of counts; null if one of them is all zero."""
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    share = lambda x: F.transform(x, lambda y: y / total(x))
+def js_distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of an array of counts that sum up to ``total`` from an array of shares; null if either is all zero."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
-    each = F.zip_with(share(p), share(q), lambda a, b: part(a, b) + part(b, a))
-    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(total(each) / 2, F.lit(0.0))))
+    each = F.zip_with(counts, shares, lambda c, b: part(c / total, b) + part(b, c / total))
+    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
 
 
 def _noise(n: Column, k: int) -> Column:
@@ -160,19 +159,23 @@ def _noise(n: Column, k: int) -> Column:
 
 def with_verdicts(counts: DataFrame, refs: DataFrame, keep_histograms: bool = False) -> DataFrame:
     """``counts`` with the two distances and ``kept``."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
     n = refs.count()  # a row per language
-    refs = refs.withColumnRenamed("lang", "__lang")
+    refs = refs.select(F.col("lang").alias("__lang"), "ref_chars", "ref_common", total("ref_chars").alias("__rc"), total("ref_common").alias("__rw"))
+    shares = lambda c, t: F.when(F.col(t) > 0, F.transform(c, lambda y: y / F.col(t)))
+    refs = written(refs.select("__lang", shares("ref_chars", "__rc").alias("ref_chars"), shares("ref_common", "__rw").alias("ref_common")), "shares")
     rows = counts.join(F.broadcast(refs) if n <= MAX_LANGUAGES else refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
-    chars = F.aggregate("chars", F.lit(0).cast("long"), lambda a, x: a + x)
+    rows = rows.withColumns({"__nc": total("chars"), "__nw": total("common")})
+    chars = F.col("__nc")
     rows = rows.withColumns(
         {
-            "char_distance": F.when(chars >= HIST_CHARS, js_distance(F.col("chars"), F.col("ref_chars"))),
-            "word_distance": F.when((F.col("n_words") >= HIST_WORDS) & F.col("lang").isin(*COMMON_WORDS), js_distance(F.col("common"), F.col("ref_common"))),
+            "char_distance": F.when(chars >= HIST_CHARS, js_distance(F.col("chars"), chars, F.col("ref_chars"))),
+            "word_distance": F.when((F.col("n_words") >= HIST_WORDS) & F.col("lang").isin(*COMMON_WORDS), js_distance(F.col("common"), F.col("__nw"), F.col("ref_common"))),
         }
     )
     far = F.coalesce(F.col("char_distance") > CHAR_DISTANCE + _noise(chars, len(CLASSES) + 1), F.lit(False))
     odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE + _noise(F.col("n_words"), N_COMMON + 1), F.lit(False))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & ~far & ~odd).drop("__lang", "ref_chars", "ref_common")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~far & ~odd).drop("__lang", "ref_chars", "ref_common", "__nc", "__nw")
     return rows if keep_histograms else rows.drop("chars", "common")
 
 
