@@ -198,4 +198,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rejected = judged.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__row").alias("__print")).distinct()
     rejected, n = write_frontier(rejected, "rejected")
     drop = F.broadcast(rejected) if n <= BROADCAST_ROWS else rejected
-    return docs.join(drop, (print_ == F.col("__print")) & docs["doc_id"].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return docs.join(drop, (print_ == drop["__print"]) & docs["doc_id"].cast("long").eqNullSafe(drop["__id"]), "left_anti")

@@ -1,0 +1,23 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(__file__))
+
+from conftest_llm import DOCS, SCHEMA, odd_rows  # noqa: E402
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.read.parquet(DOCS)
