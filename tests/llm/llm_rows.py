@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long, size long, __row string, h long"
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -37,3 +39,18 @@ def odd_rows() -> list[tuple]:
 
 def texts_of(df) -> dict:
     return {r["doc_id"]: r["text"] or "" for r in df.select("doc_id", "text").collect()}
+
+
+@pytest.fixture
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture
+def docs(spark):
+    return spark.read.parquet(DOCS)
