@@ -219,8 +219,7 @@ def sssp_tree(spark, sf_dir):
 
 
 def sssp_events(spark, sf_dir):
-    edges, _ = _ev(spark, sf_dir, with_updates=False)
-    return _dist(S.sssp_state(edges, SOURCE))
+    return _dist(S.sssp_state(X.g_transitions(_t(spark, sf_dir)), SOURCE))
 
 
 def hop_count(spark, sf_dir):
@@ -316,7 +315,7 @@ def stream_updates(spark, sf_dir):
     stream = U.file_update_stream(spark, folder)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")  # a replayed batch replaces its rows
 
     q = stream.writeStream.foreachBatch(append).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -85,7 +85,7 @@ class Adjacency:
             .where(F.col("deg") > F.lit(thr))
             .select(self.key, F.ceil(F.col("deg") / F.lit(thr)).cast("int").alias("n_salt"))
         )
-        self._hot = cut(hot.coalesce(1))  # fewer rows than partitions
+        self._hot = cut(hot)  # fewer rows than partitions
         salt = F.when(F.col("n_salt").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64(F.col(self.spread)), F.col("n_salt")).cast("int")
         )

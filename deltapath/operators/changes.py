@@ -78,6 +78,17 @@ def affected_sources(updates: DataFrame, vertices: DataFrame) -> DataFrame:
     return srcs.join(vertices.select("v"), "v", "left_semi")
 
 
+def batch_delta(edges: DataFrame, updates: DataFrame, insert: bool) -> DataFrame:
+    """Like :func:`edge_delta`, from a batch of updates: only its keys are looked up in ``edges``.
+
+    ``insert``: keys that ``edges`` lacks are new edges (else they are ignored).
+    """
+    latest = latest_updates(updates).select("src", "dst", F.col("weight").alias("new_w"))
+    old = edges.select("src", "dst", F.col("weight").alias("old_w"))
+    joined = latest.join(old, ["src", "dst"], "left" if insert else "inner")
+    return joined.where(~F.col("old_w").eqNullSafe(F.col("new_w"))).select("src", "dst", "old_w", "new_w")
+
+
 def edge_delta(old_edges: DataFrame, new_edges: DataFrame) -> DataFrame:
     """Keys whose weight differs -> ``(src, dst, old_w, new_w)``; NULL = absent on that side."""
     o = old_edges.select("src", "dst", F.col("weight").alias("old_w"))

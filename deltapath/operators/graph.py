@@ -54,8 +54,7 @@ def prepare_edges(edges: DataFrame, validate: bool = True, collapse: bool = True
 
 def vertices_from_edges(edges: DataFrame) -> DataFrame:
     """Distinct endpoints of all edges -> ``(v)``."""
-    ends = edges.select(F.col("src").alias("v")).unionByName(edges.select(F.col("dst").alias("v")))
-    return ends.distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
 def with_source(vertices: DataFrame, source: int) -> DataFrame:

@@ -13,8 +13,9 @@ earlier update), the old and the new edges.  Two phases:
    ones, plus every lighter or new edge out of a valid vertex; from there the
    ordinary relaxation loop runs until nothing improves.
 
-Batches that only lower or insert edges skip phase 1.  If the invalidated set
-exceeds ``rebuild_share`` of the vertices, a full recompute is cheaper.
+Batches that only lower or insert edges skip phase 1.  The changed edges come
+from the caller's batch (``delta``) where it has one, so the two edge tables
+need not be compared.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency
-from ..operators.changes import edge_delta, update_edge_batch, upsert_edges
+from ..operators.changes import batch_delta, edge_delta, update_edge_batch, upsert_edges
 from ..operators.graph import prepare_edges, vertices_from_edges, with_source
 from ..operators.messages import memo_table
 from ..session import num_partitions
@@ -34,12 +35,8 @@ from .sssp import (
     apply_candidates,
     best_candidates,
     relax,
-    sssp_state,
 )
 
-DEFAULT_REBUILD_SHARE = 0.3
-
-
 def _maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
 
@@ -49,23 +46,27 @@ def update_sssp(
     old_edges: DataFrame,
     new_edges: DataFrame,
     source: int = 0,
-    max_rounds: int | None = None,
     validate: bool = True,
     partitions: int | None = None,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
-    rebuild_share: float = DEFAULT_REBUILD_SHARE,
     stats: RunStats | None = None,
+    delta: DataFrame | None = None,
 ) -> DataFrame:
-    """New ``(v, d, parent)`` for ``new_edges`` from ``prev`` computed on ``old_edges``."""
+    """New ``(v, d, parent)`` for ``new_edges`` from ``prev`` computed on ``old_edges``.
+
+    ``delta`` holds the edges that differ, ``(src, dst, old_w, new_w)``.  A
+    caller that gives it vouches that ``new_edges`` has one valid row per
+    ``(src, dst)``; without it the two edge tables are prepared and compared.
+    """
     spark = new_edges.sparkSession
     n = num_partitions(spark, partitions)
     stats = stats if stats is not None else RunStats()
-    e_old = prepare_edges(old_edges, validate=False)
-    adjacency = Adjacency.build(prepare_edges(new_edges, validate), "src", "dst", n, broadcast_rows, min_hot_rows)
+    unique = new_edges.select("src", "dst", "weight") if delta is not None else prepare_edges(new_edges, validate)
+    adjacency = Adjacency.build(unique, "src", "dst", n, broadcast_rows, min_hot_rows)
     e_new = adjacency.base
-    delta = persist(edge_delta(e_old, e_new))
+    delta = persist(edge_delta(prepare_edges(old_edges, validate=False), e_new) if delta is None else delta)
     raised = delta.where(F.col("old_w").isNotNull() & (F.col("new_w").isNull() | (F.col("new_w") > F.col("old_w"))))
     lowered = delta.where(F.col("new_w").isNotNull() & (F.col("old_w").isNull() | (F.col("new_w") < F.col("old_w"))))
 
@@ -86,13 +87,11 @@ def update_sssp(
     base = state
     front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
     inv_rows = front_rows
-    n_vertices = state.count() if front_rows else 0
     gens = Generations()
     gens.hold(state)
     children = None
     steps = 0
-    limit = rebuild_share * max(n_vertices, 1)
-    while front_rows > 0 and inv_rows <= limit:
+    while front_rows > 0:
         if children is None:
             tree = base.where(F.col("parent").isNotNull()).select("parent", "v")
             children = Adjacency.build(tree, "parent", "v", n, broadcast_rows, min_hot_rows)
@@ -110,16 +109,6 @@ def update_sssp(
     if children is not None:
         children.release()
 
-    if inv_rows > limit:
-        stats.extra["rebuilt"] = True
-        gens.release()
-        for df in (delta, base):
-            df.unpersist(blocking=False)
-        adjacency.release()
-        return sssp_state(
-            new_edges, source, max_rounds, validate, partitions, broadcast_rows, min_hot_rows, checkpoint_interval, stats
-        )
-
     dist1 = persist(
         state.select(
             "v",
@@ -139,7 +128,7 @@ def update_sssp(
     light = lowered.select("src", "dst", F.col("new_w").alias("weight"))
     offers = into_inv.unionByName(light).join(valid, "src", "inner")
     seeded = cut(apply_candidates(dist1, best_candidates(offers)))
-    out = relax(adjacency, seeded, None, max_rounds, checkpoint_interval, stats)
+    out = relax(adjacency, seeded, checkpoint_interval, stats)
     for df in (delta, base, dist1):
         df.unpersist(blocking=False)
     adjacency.release()
@@ -151,14 +140,18 @@ def sssp_after_update(prev: DataFrame, edges: DataFrame, updates: DataFrame, sou
 
     Returns ``(new_edges, new_state)``.
     """
-    new_edges = update_edge_batch(prepare_edges(edges), updates)
-    return new_edges, update_sssp(prev, edges, new_edges, source, **kw)
+    old = prepare_edges(edges)
+    delta = batch_delta(old, updates, insert=False)
+    new_edges = update_edge_batch(old, updates)
+    return new_edges, update_sssp(prev, edges, new_edges, source, delta=delta, **kw)
 
 
 def sssp_after_upsert(prev: DataFrame, edges: DataFrame, updates: DataFrame, source: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
     """Update known edges and insert unknown ones, then update distances."""
-    new_edges = upsert_edges(prepare_edges(edges), updates)
-    return new_edges, update_sssp(prev, edges, new_edges, source, **kw)
+    old = prepare_edges(edges)
+    delta = batch_delta(old, updates, insert=True)
+    new_edges = upsert_edges(old, updates)
+    return new_edges, update_sssp(prev, edges, new_edges, source, delta=delta, **kw)
 
 
 def changed_memo(old_edges: DataFrame, old_dist: DataFrame, new_edges: DataFrame, new_dist: DataFrame) -> DataFrame:

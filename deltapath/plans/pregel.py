@@ -23,6 +23,10 @@ from .lineage import Generations, cut, persist, write_frontier
 from .sssp import DEFAULT_CHECKPOINT_INTERVAL, RunStats
 
 
+class NotConverged(RuntimeError):
+    """A round limit was reached while vertices were still active."""
+
+
 def _least(old: Column, msg: Column) -> Column:
     return F.least(old, msg)
 
@@ -40,10 +44,13 @@ def pregel(
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
+    allow_partial: bool = False,
 ) -> DataFrame:
     """Run to a fixpoint from ``initial(v, value)``; rows with a value start active.
 
-    Returns ``(v, value)`` for every vertex of ``initial``.
+    Returns ``(v, value)`` for every vertex of ``initial``.  If vertices are
+    still active after ``max_rounds``, :class:`NotConverged` is raised, unless
+    the caller asks for the state as it is (``allow_partial``).
     """
     spark = edges.sparkSession
     n = num_partitions(spark, partitions)
@@ -76,6 +83,8 @@ def pregel(
         )
         stats.frontier_sizes.append(active)
     stats.rounds = done
+    if active > 0 and not allow_partial:
+        raise NotConverged(f"{active} vertices still active after {done} rounds")
     # Cached and materialised by the last frontier write; lineage bounded by
     # the last checkpoint and the written frontier tables.
     gens.release_except(state)

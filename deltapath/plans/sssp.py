@@ -87,8 +87,6 @@ def frontier_of(dist: DataFrame) -> DataFrame:
 def relax(
     adjacency: Adjacency,
     dist: DataFrame,
-    frontier_rows: int | None = None,
-    max_rounds: int | None = None,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
 ) -> DataFrame:
@@ -107,7 +105,7 @@ def relax(
     key = adjacency.key
     frontier, rows = write_frontier(frontier_of(dist).select(F.col("v").alias(key), "d"))
     done = 0
-    while rows > 0 and (max_rounds is None or done < max_rounds):
+    while rows > 0:
         expanded = adjacency.expand(frontier, rows)
         nxt = apply_candidates(dist, best_candidates(expanded))
         done += 1
@@ -126,7 +124,6 @@ def relax(
 def sssp_state(
     edges: DataFrame,
     source: int = 0,
-    max_rounds: int | None = None,
     validate: bool = True,
     partitions: int | None = None,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -140,7 +137,7 @@ def sssp_state(
     prepared = prepare_edges(edges, validate=validate)
     adjacency = Adjacency.build(prepared, "src", "dst", n, broadcast_rows, min_hot_rows)
     dist = cut(initial_dist(vertices_from_edges(adjacency.base), source, n))
-    out = relax(adjacency, dist, 1, max_rounds, checkpoint_interval, stats)
+    out = relax(adjacency, dist, checkpoint_interval, stats)
     adjacency.release()
     return out.select("v", "d", "parent")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import persist
+from ..session import num_partitions
 from .tables import Tables
 
 # Fixed id offsets of the hierarchy graph: regions 1.., nations 10..,
@@ -26,6 +27,8 @@ TREE_CUSTOMER_OFFSET = 100000
 TREE_ORDER_OFFSET = 10000000
 # Updates are the transition events above this share of the largest event id.
 UPDATE_CUT_NUM, UPDATE_CUT_DEN = 9, 10
+# Events of one range of the event graph.
+RANGE_ROWS = 500_000
 
 
 def _e(src, dst, w) -> list:
@@ -49,12 +52,17 @@ def g_tree(t: Tables) -> DataFrame:
 
 def g_ps(t: Tables) -> DataFrame:
     c = F.col
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", "l_linenumber")
+    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity")
     forward = li.select(*_e(c("l_partkey") * 2 + 1, c("l_suppkey") * 2, c("l_quantity")))
-    back = li.where(c("l_linenumber") == 1).select(*_e(c("l_suppkey") * 2, c("l_partkey") * 2 + 1, c("l_quantity")))
+    back = li.select(*_e(c("l_suppkey") * 2, c("l_partkey") * 2 + 1, c("l_quantity")))
     return forward.unionByName(back).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
+def range_count(events: DataFrame) -> int:
+    """Ranges for ``next_in_time``: as many as the session shuffles into, more where a range would exceed ``RANGE_ROWS``."""
+    return max(num_partitions(events.sparkSession), -(-events.count() // RANGE_ROWS))
+
+
 def next_in_time(events: DataFrame, partitions: int) -> DataFrame:
     """Each event with the user of the next event of the same day (by ``ts, event_id``).
 
@@ -101,10 +109,10 @@ def next_in_time(events: DataFrame, partitions: int) -> DataFrame:
     )
 
 
-def transitions(t: Tables, partitions: int = 8) -> DataFrame:
+def transitions(t: Tables, partitions: int | None = None) -> DataFrame:
     """``(event_id, src, dst, weight)`` for consecutive events of different users within a day."""
     c = F.col
-    nx = next_in_time(t.events, partitions)
+    nx = next_in_time(t.events, partitions or range_count(t.events))
     return nx.where(c("next_user").isNotNull() & (c("user_id") != c("next_user"))).select(
         "event_id",
         c("user_id").cast("bigint").alias("src"),
@@ -120,7 +128,7 @@ def update_cut(t: Tables):
     ).scalar()
 
 
-def g_ev_parts(t: Tables, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
+def g_ev_parts(t: Tables, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(base transitions, update transitions as ``(src, dst, weight, seq)``)."""
     tr = transitions(t, partitions)
     cut = update_cut(t)
@@ -131,12 +139,17 @@ def g_ev_parts(t: Tables, partitions: int = 8) -> tuple[DataFrame, DataFrame]:
     return base, upd
 
 
-def g_ev(t: Tables, partitions: int = 8) -> DataFrame:
+def g_ev(t: Tables, partitions: int | None = None) -> DataFrame:
     base, _ = g_ev_parts(t, partitions)
     return base.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
 
 
-def update_stream(t: Tables, partitions: int = 8) -> DataFrame:
+def g_transitions(t: Tables, partitions: int | None = None) -> DataFrame:
+    """The graph of all transitions, those of the update stream included."""
+    return transitions(t, partitions).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+
+
+def update_stream(t: Tables, partitions: int | None = None) -> DataFrame:
     """Raw weight updates in arrival order: ``(src, dst, weight, seq)``."""
     _, upd = g_ev_parts(t, partitions)
     return upd

@@ -74,6 +74,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
 
 
+#: Older versions of the state are deleted.
+KEEP_VERSIONS = 3
+
+
 @dataclass
 class DistanceMaintainer:
     """``foreachBatch`` handler that keeps ``(edges, dist)`` versions under ``state_path``."""
@@ -81,6 +85,14 @@ class DistanceMaintainer:
     state_path: str
     source: int = 0
     options: dict = field(default_factory=dict)
+    #: Checkpoint folder of the streaming query; it tells this query's batch numbers from another one's.
+    checkpoint: str | None = None
+
+    def _query_id(self, spark: SparkSession) -> str:
+        """Id of the streaming query: the same at each restart from its checkpoint, a new one for a new checkpoint."""
+        if self.checkpoint is None:
+            return ""
+        return json.loads(spark.read.text(f"{self.checkpoint}/metadata").first()["value"])["id"]
 
     def _log_path(self) -> str:
         return f"{self.state_path}/_commits"
@@ -112,17 +124,19 @@ class DistanceMaintainer:
         e0 = spark.read.parquet(f"{self.state_path}/edges/version=0")
         dist = sssp_state(e0.select("src", "dst", "weight"), self.source, **self.options)
         dist.write.mode("overwrite").parquet(f"{self.state_path}/dist/version=0")
-        self._commit(spark, 0, -1)
+        self._commit(spark, 0, -1, "")
 
-    def _commit(self, spark: SparkSession, version: int, batch_id: int) -> None:
-        rec = json.dumps({"version": version, "batch_id": batch_id})
+    def _commit(self, spark: SparkSession, version: int, batch_id: int, query: str) -> None:
+        rec = json.dumps({"version": version, "batch_id": batch_id, "query": query})
         spark.range(1).select(F.lit(rec).alias("value")).coalesce(1).write.mode("append").text(self._log_path())
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         log = self.committed(spark)
-        if log is not None and log.where(F.col("batch_id") == F.lit(batch_id)).limit(1).count() > 0:
-            return  # replay of a committed batch
+        query = self._query_id(spark)
+        done = (F.col("batch_id") == F.lit(batch_id)) & (F.col("query") == F.lit(query))
+        if log is not None and log.where(done).limit(1).count() > 0:
+            return  # replay of a batch that this query has committed
         version, edges, dist = self.latest(spark)
         latest = batch.groupBy("src", "dst").agg(F.max_by(F.struct("weight", "seq"), "seq").alias("u")).select(
             "src", "dst", F.col("u.weight").alias("u_w"), F.col("u.seq").alias("u_seq")
@@ -140,11 +154,24 @@ class DistanceMaintainer:
         nv = version + 1
         new_edges.write.mode("overwrite").parquet(f"{self.state_path}/edges/version={nv}")
         e_new = spark.read.parquet(f"{self.state_path}/edges/version={nv}")
+        # The changed edges, from the batch's keys alone: the stored tables aren't compared.
+        changed = latest.join(edges, ["src", "dst"], "left").where(
+            (F.col("seq").isNull() | (F.col("u_seq") > F.col("seq"))) & ~F.col("weight").eqNullSafe(F.col("u_w"))
+        )
+        delta = changed.select("src", "dst", F.col("weight").alias("old_w"), F.col("u_w").alias("new_w"))
         new_dist = update_sssp(
-            dist, edges.select("src", "dst", "weight"), e_new.select("src", "dst", "weight"), self.source, **self.options
+            dist, edges.select("src", "dst", "weight"), e_new.select("src", "dst", "weight"), self.source, delta=delta, **self.options
         )
         new_dist.write.mode("overwrite").parquet(f"{self.state_path}/dist/version={nv}")
-        self._commit(spark, nv, batch_id)
+        self._commit(spark, nv, batch_id, query)
+        self._forget(spark, nv - KEEP_VERSIONS)
+
+    def _forget(self, spark: SparkSession, version: int) -> None:
+        """Delete a version that is too old to be read by a query that began before the last commits."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for part in ("edges", "dist") if version >= 0 else ():
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.state_path}/{part}/version={version}")
+            path.getFileSystem(conf).delete(path, True)
 
 
 def maintain_distances(
@@ -157,7 +184,7 @@ def maintain_distances(
     **options,
 ):
     """Start the streaming query that keeps distances current; returns (query, maintainer)."""
-    maintainer = DistanceMaintainer(state_path, source, options)
+    maintainer = DistanceMaintainer(state_path, source, options, checkpoint_location)
     if maintainer.latest(base_edges.sparkSession) is None:
         maintainer.initialize(base_edges)
     trig = trigger or {"processingTime": DEFAULT_TRIGGER}

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import as_dict
+from deltapath.catalog import QUERIES
+from deltapath.oracle import ORACLE
 from deltapath.session import scratch_path
 from deltapath.sources.tables import TABLES
 from deltapath.streaming.updates import DistanceMaintainer
@@ -29,6 +31,22 @@ def test_stream_batch_replay_is_idempotent(spark, edges, updates):
     assert as_dict(dist2)[1] == 1.0
 
 
+def test_batch_of_a_new_checkpoint_is_not_taken_for_a_replay(spark, edges, updates, tmp_path):
+    state = scratch_path(spark, "t-stream")
+    folders = []
+    for name in ("first", "second"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "metadata").write_text('{"id":"%s"}' % name)
+        folders.append(f"file://{tmp_path}/{name}")
+    a, b = (DistanceMaintainer(state, 0, {}, f) for f in folders)
+    a.initialize(edges([(0, 1, 5)]))
+    a(updates([(0, 1, 1, 10)]), 0)
+    b(updates([(0, 1, 3, 11)]), 0)  # batch 0 of another query
+    b(updates([(0, 1, 9, 12)]), 0)  # replay
+    _, _, dist = b.latest(spark)
+    assert as_dict(dist)[1] == 3.0
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["v", "d"]
@@ -56,4 +74,4 @@ def test_query_matches_oracle(spark, duck, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
