@@ -15,9 +15,10 @@ Signatures are banded.  Texts with the same words are one node.  In each
 bucket of a band all nodes are compared with the bucket's least node by their
 true multiset overlap; links of at least ``SIMILARITY`` make components.  In
 buckets that still hold several components, nodes of different components are
-compared block by block through their signatures, and pairs that may be
-similar are verified too.  So no link is lost, no bucket is expanded into all
-its pairs, and no bucket has a size limit.
+compared block by block: first by their signatures, then, where these allow
+it, by their bags, inside the task; only links that join components leave it.
+So no link between components is lost, no pairs are written out, and no
+bucket has a size limit.
 
 Texts of under five words are one shingle of all their words; texts without
 words are classes of their own each.  Null texts count as empty.  Rows with a
@@ -47,6 +48,9 @@ SLOTS = BANDS * ROWS
 LEAST_ESTIMATE = 0.64
 #: Members of a star that are verified by one task's group, and nodes of a block.
 GROUP = 256
+BLOCK_BYTES = 4 << 20
+#: Sets of nodes up to so many are compared as a whole.
+LARGE = 16_384
 BROADCAST_ROWS = 200_000
 SIGN_SCHEMA = "node long, bands array<long>, marks binary"
 _A, _B, _C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
@@ -194,54 +198,122 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(lambda b: verify_rows(b, least), "u long, v long, similarity double")
 
 
-def compare_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, h, i, j, left, node, component, marks) by block pair: pairs of different components that may be similar."""
-    held: dict = {"key": None}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held["key"] is None:
-            return
-        sides = [[r for r in held["rows"] if r[0] == side] for side in (True, False)]
-        if held["key"][2] == held["key"][3]:
-            sides[1] = sides[0]
-        if not sides[0] or not sides[1]:
-            return
-        node, comp, mark = zip(*[(np.array([r[1] for r in x]), np.array([r[2] for r in x]), np.stack([r[3] for r in x])) for x in sides])
-        u, v = [], []
-        for i in range(len(node[0])):
-            alike = (mark[0][i] == mark[1]).mean(axis=1) >= LEAST_ESTIMATE
-            for j in np.flatnonzero(alike & (comp[0][i] != comp[1])):
-                a, b = int(node[0][i]), int(node[1][j])
-                u.append(max(a, b))
-                v.append(min(a, b))
-        yield pa.record_batch({"node": pa.array(u, pa.int64()), "star": pa.array(v, pa.int64())})
-
-    for batch in batches:
-        for r in batch.to_pylist():
-            key = (r["band"], r["h"], r["i"], r["j"])
-            if key != held["key"]:
-                yield from flush()
-                held = {"key": key, "rows": []}
-            held["rows"].append((r["left"], r["node"], r["component"], np.frombuffer(r["marks"], "<u2")))
-    yield from flush()
+def _expanded(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A bag as a sorted set: every shingle once for each of its levels."""
+    first = np.repeat(np.cumsum(w) - w, w)
+    with np.errstate(over="ignore"):
+        return np.sort(mix64(np.repeat(h, w) + (np.arange(len(first)) - first).astype(np.uint64) * _B))
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not len(b):
+        return 0
+    return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
+
+
+class _Joined:
+    """Which components have been joined within a pair of blocks."""
 
+    def __init__(self) -> None:
+        self.lead: dict[int, int] = {}
 
-def _block_candidates(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (node, star) of different components in a common bucket whose signatures are alike.
+    def root(self, c: int) -> int:
+        while self.lead.get(c, c) != c:
+            c = self.lead[c]
+        return c
 
-    ``members``: (band, h, node, component) of the buckets that hold several
-    components.  A bucket's nodes are dealt into blocks; each pair of blocks is
-    a group of its own.
+
+def compare_pair(rows: list[tuple], same_block: bool, least: float) -> list[tuple[int, int, float]]:
+    """Links between two blocks that join different components; rows: (left, node, component, bands, marks, text).
+
+    Pairs that share a band and may be similar by their signatures are
+    compared by their true bags, unless their components are joined already.
+    """
+    left = [r for r in rows if r[0]]
+    right = left if same_block else [r for r in rows if not r[0]]
+    if not left or not right:
+        return []
+    bands, marks = np.stack([r[3] for r in right]), np.stack([r[4] for r in right])
+    component = np.array([r[2] for r in right])
+    sets: dict[int, np.ndarray] = {}
+
+    def bag(r: tuple) -> np.ndarray:
+        if r[1] not in sets:
+            h, _, w = bags(*shingles(Texts(pa.array([r[5]]))))
+            sets[r[1]] = _expanded(h, w)
+        return sets[r[1]]
+
+    joined, out = _Joined(), []
+    for i, r in enumerate(left):
+        may = (component != r[2]) & (bands == r[3]).any(axis=1) & ((marks == r[4]).mean(axis=1) >= LEAST_ESTIMATE)
+        if same_block:
+            may[: i + 1] = False
+        for j in np.flatnonzero(may).tolist():
+            other = right[j]
+            u, v = joined.root(r[2]), joined.root(other[2])
+            if u == v:
+                continue
+            a, b = bag(r), bag(other)
+            if min(len(a), len(b)) < least * max(len(a), len(b)):
+                continue
+            both = _common(a, b)
+            sim = both / (len(a) + len(b) - both)
+            if sim >= least:
+                joined.lead[u] = v
+                out.append((r[1], other[1], sim))
+    return out
+
+
+def compare_blocks(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (key, i, j, left, node, component, bands, marks, text), block pair by block pair: the links between components."""
+
+    def linked(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+        found = compare_pair(rows, key[1] == key[2], least)
+        u, v, s = zip(*found) if found else ((), (), ())
+        return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "similarity": pa.array(s, pa.float64())})
+
+    at, rows = None, []
+    for batch in slices(batches, 4 << 20):
+        for r in batch.to_pylist():
+            key = (r["key"], r["i"], r["j"])
+            if key != at:
+                if rows:
+                    yield linked(at, rows)
+                at, rows = key, []
+            rows.append((r["left"], r["node"], r["component"], np.array(r["bands"], np.int64), np.frombuffer(r["marks"], "<u2"), r["text"]))
+    if rows:
+        yield linked(at, rows)
+
+
+def _block_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (u, v, similarity) between different components that meet in a bucket.
+
+    ``rest``: (band, h, node, component) of the buckets that hold several
+    components.  Buckets that share nodes are compared as one set of nodes,
+    so that a pair which meets in many bands is compared once; a set of over
+    ``LARGE`` nodes is compared bucket by bucket instead.  Either way nodes
+    are dealt into blocks, and each pair of blocks is a group of its own.
     """
-    size = members.groupBy("band", "h").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("n"))
-    rows = members.join(size, ["band", "h"]).join(signed.select("node", "marks"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+    rest = written(rest, "rest")
+    least_node = rest.groupBy("band", "h").agg(F.min("node").alias("v"))
+    sets = components(rest.join(least_node, ["band", "h"]).select(F.col("node").alias("u"), "v"))
+    whole = rest.join(sets.withColumnRenamed("component", "key"), "node").select("band", "h", "key", "node", "component")
+    size = whole.select("key", "node").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    keyed = whole.join(size, "key").withColumn("key", F.when(F.col("n") > LARGE, F.xxhash64("band", "h")).otherwise(F.col("key")))
+    rows = keyed.select("key", "node", "component").distinct().join(signed, "node").join(texts, "node")
+    rows = written(rows.select("key", "node", "component", "bands", "marks", "text"), "compared")
+    bytes_ = F.sum(F.octet_length("text") + 500)
+    blocks = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, bytes_ / BLOCK_BYTES)).cast("int").alias("n"))
+    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     left = rows.select("*", F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j")).withColumn("i", F.col("block")).withColumn("left", F.lit(True))
     right = rows.where("block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i")).withColumn("j", F.col("block")).withColumn("left", F.lit(False))
-    names = ["band", "h", "i", "j", "left", "node", "component", "marks"]
+    names = ["key", "i", "j", "left", "node", "component", "bands", "marks", "text"]
     both = left.select(names).unionByName(right.select(names))
-    dealt = both.repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
-    return dealt.mapInArrow(compare_blocks, "node long, star long").distinct()
+    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(lambda b: compare_blocks(b, least), "u long, v long, similarity double")
 
 
 def node_rows(docs: DataFrame, *keep) -> DataFrame:
@@ -272,13 +344,10 @@ def node_classes(docs: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame,
     mixed, n_mixed = write_frontier(mixed, "mixed")
     if n_mixed:
         rest = labelled.join(_bounded(mixed, n_mixed), ["band", "h"], "left_semi")
-        more = _block_candidates(rest, signed).join(pairs, ["node", "star"], "left_anti")
-        more, n_more = write_frontier(more, "more")
-        if n_more:
-            further, n_further = write_frontier(verified(more, near, least), "further")
-            if n_further:
-                links = links.unionByName(further)
-                found = written(components(links.select("u", "v")), "components")
+        further, n_further = write_frontier(_block_links(rest, signed, near, least), "further")
+        if n_further:
+            links = links.unionByName(further)
+            found = written(components(links.select("u", "v")), "components")
     return found, found.count(), links
 
 
@@ -289,7 +358,8 @@ def _order(doc_id: str = "doc_id"):
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size, n_links), a row per document; a class is named by its first ``doc_id``.
 
-    ``n_links`` counts the verified links of the document's text to other texts.
+    ``n_links`` counts the links of the document's text that made its class;
+    links inside a component that is joined already are not looked for.
     """
     found, n_found, links = node_classes(docs, least)
     rows = written(node_rows(docs).select("doc_id", "node"), "nodes")

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from conftest_llm import SCHEMA, odd_rows, prose, texts_of
+from llm_rows import SCHEMA, docs, none, odd, odd_rows, prose, texts_of  # noqa: F401
 
 from deltapath.llm import bagminhash, line_dedup, quotient
 from deltapath.llm.common import Texts

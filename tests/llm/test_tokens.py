@@ -7,7 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
-from conftest_llm import odd_rows, texts_of
+from llm_rows import docs, none, odd, odd_rows, texts_of  # noqa: F401
 from tokenizers import Tokenizer
 
 from deltapath.llm import bpe, records
