@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import write_frontier
@@ -42,6 +42,8 @@ HIST_CHARS = 200
 HIST_WORDS = 80
 CHAR_DISTANCE = 0.15
 WORD_DISTANCE = 0.35
+#: Steps of the distance by which the nearest half is found.
+STEPS = 512
 #: Languages of which the references may be broadcast.
 MAX_LANGUAGES = 10_000
 #: Rejected rows (16 bytes each) that may be broadcast.
@@ -126,12 +128,25 @@ def references(counts: DataFrame) -> DataFrame:
     """(lang, ref_chars, ref_common) of the corpus.
 
     A first reference sums up the documents that pass the base rules, a second
-    one those of them that are near the first, so that junk in the corpus
-    doesn't shift what documents are compared with.
+    one the half of them that is nearest to the first, so that junk in the
+    corpus doesn't shift what documents are compared with.
     """
-    first = written(summed(counts.where(~F.col("base_failed"))), "references")
-    near = with_verdicts(counts, first, keep_histograms=True).where("kept")
-    return written(summed(near), "references")
+    passing = counts.where(~F.col("base_failed"))
+    first = written(summed(passing), "references")
+    judged = with_verdicts(passing, first, keep_histograms=True).withColumn("__bin", F.floor(F.col("char_distance") * STEPS))
+    bins = judged.where("__bin is not null").groupBy("lang", "__bin").agg(F.count(F.lit(1)).alias("n"))  # up to STEPS + 1 rows a language
+    of_lang = Window.partitionBy("lang")
+    bins = bins.withColumns({"upto": F.sum("n").over(of_lang.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(of_lang)})
+    cut = written(bins.where("2 * upto >= all").groupBy("lang").agg(F.min("__bin").alias("__cut")).withColumnRenamed("lang", "__l"), "cuts")
+    near = judged.join(_few(cut, cut.count()), F.col("lang").eqNullSafe(F.col("__l")) & (F.col("__bin") <= F.col("__cut")), "left_semi")
+    second = written(summed(near), "references")
+    have = second.select(F.col("lang").alias("__l"))
+    rest = first.join(have, F.col("lang").eqNullSafe(F.col("__l")), "left_anti")  # languages of short documents only
+    return written(second.unionByName(rest), "references")
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MAX_LANGUAGES else df
 
 
 def summed(counts: DataFrame) -> DataFrame:
@@ -149,7 +164,7 @@ def js_distance(counts: Column, total: Column, shares: Column) -> Column:
     """Jensen-Shannon distance of an array of counts that sum up to ``total`` from an array of shares; null if either is all zero."""
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     each = F.zip_with(counts, shares, lambda c, b: part(c / total, b) + part(b, c / total))
-    return F.when(total > 0, F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
+    return F.when((total > 0) & shares.isNotNull(), F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))))
 
 
 def _noise(n: Column, k: int) -> Column:
@@ -164,7 +179,7 @@ def with_verdicts(counts: DataFrame, refs: DataFrame, keep_histograms: bool = Fa
     refs = refs.select(F.col("lang").alias("__lang"), "ref_chars", "ref_common", total("ref_chars").alias("__rc"), total("ref_common").alias("__rw"))
     shares = lambda c, t: F.when(F.col(t) > 0, F.transform(c, lambda y: y / F.col(t)))
     refs = written(refs.select("__lang", shares("ref_chars", "__rc").alias("ref_chars"), shares("ref_common", "__rw").alias("ref_common")), "shares")
-    rows = counts.join(F.broadcast(refs) if n <= MAX_LANGUAGES else refs, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    rows = counts.join(_few(refs, n), F.col("lang").eqNullSafe(F.col("__lang")), "left")
     rows = rows.withColumns({"__nc": total("chars"), "__nw": total("common")})
     chars = F.col("__nc")
     rows = rows.withColumns(
