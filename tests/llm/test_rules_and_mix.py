@@ -70,10 +70,10 @@ def test_keep_good_equals_judge(spark, docs, odd):
 
 def test_targets():
     got = mixing.targets([("a", 100), ("b", 1000), (None, 900), ("c", 10)])
-    # Weights a 5, b 2, c 1, null 5; a and c stop at twice their size.
-    assert got["a"] == 200 and got["c"] == 20
-    left = 1.5 * 2010 - 220
-    assert abs(got["b"] - left * 2 / 7) < 1e-9 and abs(got[None] - left * 5 / 7) < 1e-9
+    # Weights a 5, b 2, c 1, null 5; all but b stop at twice their size, b gets what is left.
+    assert got == {"a": 200, "c": 20, None: 1800, "b": 1.5 * 2010 - 2020}
+    even = mixing.targets([("a", 1000), ("b", 1000), ("c", 1000)])
+    assert even["a"] == 2000 and abs(even["b"] - 2500 * 2 / 3) < 1e-9 and abs(even["c"] - 2500 / 3) < 1e-9
     assert mixing.targets([]) == {}
 
 
