@@ -49,6 +49,8 @@ LEAST_ESTIMATE = 0.64
 #: Members of a star that are verified by one task's group, and nodes of a block.
 GROUP = 256
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that a task works on at once; what it holds is about 60 times that.
+SLICE = 1 << 20
 #: Sets of nodes up to so many are compared as a whole.
 LARGE = 16_384
 BROADCAST_ROWS = 200_000
@@ -138,7 +140,7 @@ def band_hashes(times: np.ndarray) -> np.ndarray:
 
 def sign_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text): band hashes, and 16 bits of each slot for estimates."""
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, SLICE):
         t = Texts(batch.column("text"))
         times = signatures(t)
         some = np.flatnonzero(~np.isinf(times[:, 0]))
@@ -164,7 +166,7 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 def verify_rows(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Rows (star, part, node, text), the star's own row before those of its group: links of at least ``least``."""
     star, bag = None, None
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, SLICE):
         t = Texts(batch.column("text"))
         h, of, w = bags(*shingles(t))
         cut = np.searchsorted(of, np.arange(t.n + 1))
@@ -276,7 +278,7 @@ def compare_blocks(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[
         return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
     at, rows = None, []
-    for batch in slices(batches, 4 << 20):
+    for batch in slices(batches, SLICE, 256):
         for r in batch.to_pylist():
             key = (r["key"], r["i"], r["j"])
             if key != at:
