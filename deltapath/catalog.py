@@ -236,8 +236,10 @@ def sssp_after_update(spark, sf_dir):
 def sssp_after_insert(spark, sf_dir):
     edges, upd = _ev(spark, sf_dir)
     prev = S.sssp_state(edges, SOURCE)
-    new_edges = C.create_edges(edges, C.unknown_updates(edges, upd).select("src", "dst", "weight"))
-    return _dist(I.update_sssp(prev, edges, new_edges, SOURCE))
+    added = C.unknown_updates(edges, upd).select("src", "dst", "weight")
+    new_edges = C.create_edges(edges, added)
+    delta = added.select("src", "dst", F.lit(None).cast("double").alias("old_w"), F.col("weight").alias("new_w"))
+    return _dist(I.update_sssp(prev, edges, new_edges, SOURCE, delta=delta))
 
 
 def hop_distances(spark, sf_dir):
@@ -266,11 +268,20 @@ def hop_distances_after_update(spark, sf_dir):
 
 # --- run metrics --------------------------------------------------------------------------
 
-def _disturbed(spark, sf_dir) -> DataFrame:
+def _disturbed_state(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     edges, upd = _ev(spark, sf_dir)
     prev = S.sssp_state(edges, SOURCE)
     new_edges, state = I.sssp_after_upsert(prev, edges, upd, SOURCE)
-    return I.disturbed_vertices(edges, _dist(prev), new_edges, _dist(state))
+    delta = C.batch_delta(edges, upd, insert=True)
+    return _dist(state), I.disturbed_vertices(edges, _dist(prev), new_edges, _dist(state), delta)
+
+
+def _disturbed(spark, sf_dir) -> DataFrame:
+    return _disturbed_state(spark, sf_dir)[1]
+
+
+def disturbed_flags(spark, sf_dir):
+    return I.disturbed_flags(*_disturbed_state(spark, sf_dir))
 
 
 def disturbed_vertices(spark, sf_dir):
@@ -296,8 +307,12 @@ def sink_state(spark, sf_dir):
     state = S.sssp_state(edges, SOURCE)
     path = scratch_path(spark, "state")
     K.write_state(path, G.reset_flags(_dist(state)), edges, M.memo_table(edges, _dist(state)))
-    _, _, memo = K.read_state(spark, path, with_memo=True)
-    return memo
+    saved, edges, memo = K.read_state(spark, path, with_memo=True)
+    return (
+        saved.select(F.lit("state").alias("kind"), F.col("v").alias("a"), F.lit(None).cast("bigint").alias("b"), F.col("d").alias("x"))
+        .unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("weight").alias("x")))
+        .unionByName(memo.select(F.lit("memo").alias("kind"), F.col("dst").alias("a"), F.col("src").alias("b"), F.col("msg").alias("x")))
+    )
 
 
 # --- streaming -----------------------------------------------------------------------------
@@ -378,6 +393,7 @@ QUERIES: dict[str, Query] = {
     "stage_messages": stage_messages,
     "hop_distances_after_update": hop_distances_after_update,
     "disturbed_vertices": disturbed_vertices,
+    "disturbed_flags": disturbed_flags,
     "count_disturbed": count_disturbed,
     "sink_distances": sink_distances,
     "sink_state": sink_state,

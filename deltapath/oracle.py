@@ -239,9 +239,17 @@ ORACLE: dict[str, str] = {
     ),
     "hop_distances_after_update": sql(["h_g_ev_upd"], "SELECT v, k, d FROM h_g_ev_upd WHERE k >= 1"),
     "disturbed_vertices": sql(["disturbed"], "SELECT v FROM disturbed"),
+    "disturbed_flags": sql(
+        ["dist_g_ev_all", "disturbed"],
+        "SELECT s.v, s.d, CASE WHEN x.v IS NULL THEN 0 ELSE 1 END AS disturbed FROM dist_g_ev_all s LEFT JOIN disturbed x ON x.v = s.v",
+    ),
     "count_disturbed": sql(["disturbed"], "SELECT count(*) AS n FROM disturbed"),
     "sink_distances": sql(["dist_g_tree"], "SELECT v, d FROM dist_g_tree"),
-    "sink_state": sql(["memo_g_tree"], "SELECT dst, src, msg FROM memo_g_tree"),
+    "sink_state": sql(
+        ["dist_g_tree", "g_tree", "memo_g_tree"],
+        """SELECT 'state' AS kind, v AS a, NULL::BIGINT AS b, d AS x FROM dist_g_tree
+  UNION ALL SELECT 'edge', src, dst, w FROM g_tree UNION ALL SELECT 'memo', dst, src, msg FROM memo_g_tree""",
+    ),
     "stream_updates": sql(["upd_raw"], "SELECT src, dst, w AS weight, seq FROM upd_raw"),
     "stream_sssp": sql(["dist_g_ev_all"], "SELECT v, d FROM dist_g_ev_all"),
 }

@@ -51,12 +51,22 @@ def kafka_update_stream(spark: SparkSession, bootstrap_servers: str, topic: str
         .option("subscribe", topic)
         .load()
     )
+    return parse_kafka_rows(raw)
+
+
+def parse_kafka_rows(raw: DataFrame, explicit_seq: bool = False, strict: bool = False) -> DataFrame:
+    """Rows of Kafka shape (value, partition, offset) -> ``(src, dst, weight, seq)``.
+
+    ``seq`` is the place in Kafka's order, or with ``explicit_seq`` the line's
+    fourth token; the two are never mixed.  A malformed line is left out, so
+    that it can't stop a stream; ``strict`` makes it an error.
+    """
     lines = raw.select(
         F.col("value").cast("string").alias("value"),
         (F.col("partition").cast("bigint") * F.lit(1 << 40) + F.col("offset")).alias("kafka_seq"),
     )
-    seq_token = F.try_element_at(F.split(F.col("value"), " "), F.lit(4)).try_cast("bigint")
-    return lines.select(*parse_edge_line(F.col("value")), F.coalesce(seq_token, F.col("kafka_seq")).alias("seq"))
+    parsed = lines.select(*parse_edge_line(F.col("value"), strict=strict, with_seq=explicit_seq), *([] if explicit_seq else [F.col("kafka_seq").alias("seq")]))
+    return parsed if strict else parsed.dropna()
 
 
 def console_sink(stream: DataFrame, rows: int = 10, trigger: str = DEFAULT_TRIGGER, checkpoint: str | None = None):

@@ -3,9 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
+from deltapath.operators import changes as C
 from deltapath.operators import sinks as K
+from deltapath.plans import incremental as I
+from deltapath.plans import sssp as S
 from deltapath.session import scratch_path
 from deltapath.sources import generators, text
+from deltapath.streaming.updates import parse_kafka_rows
 
 
 def test_edge_text_roundtrip_and_extra_tokens(spark):
@@ -25,6 +29,31 @@ def test_malformed_line_fails_in_strict_mode(spark, line):
     assert len(lenient) == 1
 
 
+def test_kafka_rows(spark):
+    raw = spark.createDataFrame(
+        [(bytearray(b"0 1 2.5"), 0, 7), (bytearray(b"0 1 3.5 99"), 1, 2), (bytearray(b"not an update"), 0, 8), (None, 0, 9)],
+        "value binary, partition int, offset bigint",
+    )
+    assert sorted(map(tuple, parse_kafka_rows(raw).collect())) == [(0, 1, 2.5, 7), (0, 1, 3.5, (1 << 40) + 2)]
+    assert list(map(tuple, parse_kafka_rows(raw, explicit_seq=True).collect())) == [(0, 1, 3.5, 99)]
+    with pytest.raises(Exception, match="malformed edge line"):
+        parse_kafka_rows(raw, strict=True).collect()
+
+
+def test_single_update_as_a_string(edges):
+    got = sorted(map(tuple, C.update_edge(edges([(0, 1, 5), (1, 2, 1)]), "0 1 2.5").collect()))
+    assert got == [(0, 1, 2.5), (1, 2, 1.0)]
+
+
+def test_resume_from_a_saved_state(spark, edges, updates):
+    path = scratch_path(spark, "t-state")
+    e = edges([(0, 1, 5), (1, 2, 1)])
+    K.write_state(path, S.sssp_state(e, 0), e)
+    state, saved = K.read_state(spark, path)
+    _, new = I.sssp_after_upsert(state, saved, updates([(0, 1, 2, 1), (2, 3, 4, 2)]), 0)
+    assert {r.v: r.d for r in new.collect()} == {0: 0.0, 1: 2.0, 2: 3.0, 3: 7.0}
+
+
 def test_update_text_keeps_seq(spark):
     path = scratch_path(spark, "t-upd")
     u = spark.createDataFrame([(0, 1, 2.0, 5)], "src bigint, dst bigint, weight double, seq bigint")
