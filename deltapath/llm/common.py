@@ -8,7 +8,6 @@ columns are selected and renamed first.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -52,10 +51,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WS_CLASS}]+"), lambda w: w != "")
 
 
-def crc32_text(value: int | None) -> int:
-    return zlib.crc32(str(value).encode())
-
-
 class Texts:
     """The texts of a batch as one byte buffer with offsets."""
 

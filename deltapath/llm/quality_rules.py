@@ -64,7 +64,7 @@ def _count(text: Column, char: str) -> Column:
     return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{char}+", ""))).cast("long")
 
 
-def repeated_words(words: Column, windows: Column) -> Column:
+def repeated_words(windows: Column) -> Column:
     """Words in 3-word windows that occur twice or more; ``windows``: sorted (h, i) of the windows."""
     twin = lambda k: (windows[k - 1]["h"] == windows[k]["h"])
     again = F.filter(windows, lambda x, k: ((k > 0) & twin(F.greatest(k, F.lit(1)))) | ((k < F.size(windows) - 1) & twin(F.least(k + 1, F.size(windows) - 1))))
@@ -101,7 +101,7 @@ def base_counts(docs: DataFrame, *keep: Column) -> DataFrame:
         F.char_length("__t").cast("long").alias("__n"),
         F.col("__k")[place("symbol")].alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(repeated_words(F.col("__w"), F.col("__g")), F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.coalesce(repeated_words(F.col("__g")), F.lit(0)).cast("long").alias("n_repeat_words"),
         "__k",
         F.size("__c").cast("long").alias("__nc"),
         F.transform("__own", lambda c: F.size(F.filter(F.col("__c"), lambda x: x == c)).cast("long")).alias("__ck"),

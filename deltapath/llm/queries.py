@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bagminhash, bpe, gam, licenses, line_dedup, mixing, quality_rules, quotient, records, secret_scan
 from .common import read_table
