@@ -5,8 +5,10 @@ words of its language are compared with the references of that language by
 Jensen-Shannon distance (base 2, so between 0 and 1).  The references are the
 summed histograms of all documents of the language that pass the base rules,
 or a table that the caller gives.  Short documents are not judged: a histogram
-needs ``MIN_CHARS`` characters or ``MIN_WORDS`` words, and the distance that
-sampling alone gives is allowed for.
+needs ``HIST_CHARS`` characters or ``HIST_WORDS`` words, and the distance that
+sampling alone gives is allowed for.  The bound of the word distance is a share
+of the distance that a text without any common word has from the reference, so
+such a text is rejected as soon as it is long enough to be judged.
 
 All of it is DataFrame expressions: one pass over the texts writes a small
 table of counts, from which references and verdicts are made.
@@ -41,7 +43,8 @@ MAX_REPEATED = 50  # percent of words in repeated windows
 HIST_CHARS = 200
 HIST_WORDS = 80
 CHAR_DISTANCE = 0.15
-WORD_DISTANCE = 0.35
+#: Share of the reference's distance from a text without common words.
+WORD_SHARE = 0.6
 #: Steps of the distance by which the nearest half is found.
 STEPS = 512
 #: Languages of which the references may be broadcast.
@@ -172,13 +175,22 @@ def _noise(n: Column, k: int) -> Column:
     return F.sqrt((k - 1) / (8 * math.log(2) * F.greatest(n, F.lit(1))))
 
 
+def word_bound(shares: Column, most: Column, n: Column) -> Column:
+    """Greatest word distance that is kept: ``WORD_SHARE`` of ``most`` and what a sample of ``n`` words of the
+    reference gives, added as squares.  A place gives its share at most, however small the sample."""
+    each = F.transform(shares, lambda p: F.least(p, (1 - p) / (8 * math.log(2) * F.greatest(n, F.lit(1)))))
+    return F.sqrt(F.pow(WORD_SHARE * most, F.lit(2)) + F.aggregate(each, F.lit(0.0), lambda a, x: a + x))
+
+
 def with_verdicts(counts: DataFrame, refs: DataFrame, keep_histograms: bool = False) -> DataFrame:
     """``counts`` with the two distances and ``kept``."""
     total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
     n = refs.count()  # a row per language
     refs = refs.select(F.col("lang").alias("__lang"), "ref_chars", "ref_common", total("ref_chars").alias("__rc"), total("ref_common").alias("__rw"))
     shares = lambda c, t: F.when(F.col(t) > 0, F.transform(c, lambda y: y / F.col(t)))
-    refs = written(refs.select("__lang", shares("ref_chars", "__rc").alias("ref_chars"), shares("ref_common", "__rw").alias("ref_common")), "shares")
+    refs = refs.select("__lang", shares("ref_chars", "__rc").alias("ref_chars"), shares("ref_common", "__rw").alias("ref_common"))
+    no_common = F.array(*[F.lit(0)] * N_COMMON, F.lit(1))
+    refs = written(refs.withColumn("__most", js_distance(no_common, F.lit(1), F.col("ref_common"))), "shares")
     rows = counts.join(_few(refs, n), F.col("lang").eqNullSafe(F.col("__lang")), "left")
     rows = rows.withColumns({"__nc": total("chars"), "__nw": total("common")})
     chars = F.col("__nc")
@@ -189,8 +201,8 @@ def with_verdicts(counts: DataFrame, refs: DataFrame, keep_histograms: bool = Fa
         }
     )
     far = F.coalesce(F.col("char_distance") > CHAR_DISTANCE + _noise(chars, len(CLASSES) + 1), F.lit(False))
-    odd = F.coalesce(F.col("word_distance") > WORD_DISTANCE + _noise(F.col("n_words"), N_COMMON + 1), F.lit(False))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & ~far & ~odd).drop("__lang", "ref_chars", "ref_common", "__nc", "__nw")
+    odd = F.coalesce(F.col("word_distance") > word_bound(F.col("ref_common"), F.col("__most"), F.col("__nw")), F.lit(False))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & ~far & ~odd).drop("__lang", "ref_chars", "ref_common", "__most", "__nc", "__nw")
     return rows if keep_histograms else rows.drop("chars", "common")
 
 

@@ -1,6 +1,7 @@
 """Quality rules, mixing and the classifier against brute force."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -51,6 +52,26 @@ def test_junk_is_rejected_and_prose_is_kept(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [*range(30), 400]
 
 
+def test_texts_without_common_words_are_rejected_by_words_alone(spark):
+    common = [w for w in quality_rules.COMMON_WORDS["en"] if len(w) > 1]
+    plain = "stone river walk light green paper under seven".split()
+
+    def text(seed, words, share):
+        r = random.Random(seed)
+        return " ".join(r.choice(common) if r.random() < share else r.choice(plain) + r.choice(["", "er", "ing"]) for _ in range(words))
+
+    good = [(i, text(i, 80 + 40 * (i % 10), 0.4)) for i in range(40)]
+    salad = [(100 + n, text(n, n, 0.0)) for n in (100, 200, 300, 500)]
+    german = "stein weg der die und licht mit haus auf garten ist im dem nicht wald ein wasser".split()
+    foreign = [(1000 + n, " ".join(random.Random(n + i).choice(german) for i in range(n))) for n in (100, 300)]
+    df = spark.createDataFrame([(i, t, "en", "a", 1, 0.5, 7, 3, "row", 1) for i, t in good + salad + foreign], SCHEMA)
+    got = {r.doc_id: r for r in quality_rules.judge(df).collect()}
+    bad = [i for i, _ in salad + foreign]
+    assert not any(got[i].base_failed for i in bad)
+    assert all(got[i].char_distance <= quality_rules.CHAR_DISTANCE for i in bad)  # not for their characters
+    assert sorted(i for i, r in got.items() if r.kept) == list(range(40))
+
+
 def test_js_distance(spark):
     from pyspark.sql import functions as F
 
