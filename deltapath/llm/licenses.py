@@ -8,7 +8,11 @@ fingerprints with their places; hits of a document on nearby diagonals make a
 candidate, which a banded alignment of the whole template decides: reported
 are the share of the template's characters that match and the span.
 
-Of overlapping matches the one with the most matched characters is reported.
+Licenses that differ by a word or a version have nearly the same notices.  A
+template's name is given only if its distinguishing words stand in the text
+(``DISTINCT``), else the name of its family.  Of overlapping matches the one
+with the most matched characters is reported, where a match without its words
+counts ``LEAST_COVERAGE`` of its characters.
 Null and empty texts have no match; texts of any length are scanned whole;
 repeated rows each have their own result; empty tables give empty results and
 other columns play no part.
@@ -16,6 +20,7 @@ other columns play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import RollingHash, Texts, id_text, slices
-from .license_texts import TEMPLATES
+from .license_texts import DISTINCT, TEMPLATES
 
 GRAM, WINDOW = 9, 6
 LEAST_COVERAGE = 0.8
@@ -117,14 +122,34 @@ def align(template: np.ndarray, region: np.ndarray, band: int) -> tuple[int, int
     return matched, first, last
 
 
+def distinct(words: str) -> re.Pattern[bytes]:
+    """Words one behind the other, whatever stands between them but letters and digits; ``3`` and ``3.0`` are one version, ``3.1`` is another."""
+
+    def one(word: str) -> str:
+        if word == "version":
+            return "(?:version|ver|v)"
+        major, _, minor = word.partition(".")
+        if not major.isdigit():
+            return re.escape(word)
+        return (rf"{major}\.{minor}" if minor.strip("0") else rf"{major}(?:\.0)?") + r"(?![0-9]|\.[0-9]*[1-9])"
+
+    return re.compile(rb"(?<![0-9A-Za-z])" + r"[\W_]*".join(map(one, words.lower().split())).encode(), re.IGNORECASE)
+
+
 class LicenseIndex:
     """Inverted index of the templates' fingerprints."""
 
     def __init__(self, templates: dict[str, str]) -> None:
-        self.names = sorted(templates)
+        given = sorted(templates)
+        # Words that a template of this name doesn't hold itself are none of its own.
+        words = {name: [distinct(w) for w in DISTINCT[name][0]] for name in given if name in DISTINCT}
+        self.words = {k: words[name] for k, name in enumerate(given) if name in words and all(w.search(templates[name].encode()) for w in words[name])}
+        families = sorted({DISTINCT[given[k]][1] for k in self.words})
+        self.family = {k: len(given) + families.index(DISTINCT[given[k]][1]) for k in self.words}
+        self.names = given + families
         self.chars: list[np.ndarray] = []
         entries: dict[int, list[tuple[int, int]]] = {}
-        for k, name in enumerate(self.names):
+        for k, name in enumerate(given):
             chars, _, first = normal(Texts(pa.array([templates[name]])))
             self.chars.append(chars[GAP:-GAP])
             for place, h in zip(*fingerprints(chars)):
@@ -146,14 +171,18 @@ class LicenseIndex:
         for i, p, x in zip(text.tolist(), place.tolist(), h.tolist()):
             for k, at in self.entries[x]:
                 hits.setdefault((i, k), []).append(p - at)
-        found: dict[int, list[tuple[int, int, int, int, float]]] = {}
+        found: dict[int, list[tuple[float, int, int, int, float]]] = {}
         for (i, k), diagonals in hits.items():
             begin = int(first[i])
             end = int(first[i + 1]) - GAP if i + 1 < t.n else len(chars) - GAP
             for matched, a, z in self._matches(chars, begin, end, k, sorted(set(diagonals))):
                 start = int(origin[a] - t.offs[i])
                 stop = int(origin[z - 1] - t.offs[i]) + 1
-                found.setdefault(i, []).append((matched, start, stop, k, matched / len(self.chars[k])))
+                share = matched / len(self.chars[k])
+                if self._has_words(k, t.buf[t.offs[i] + start : min(t.offs[i] + stop + 4, t.offs[i + 1])].tobytes(), stop - start):
+                    found.setdefault(i, []).append((matched, start, stop, k, share))
+                else:
+                    found.setdefault(i, []).append((LEAST_COVERAGE * matched, start, stop, self.family[k], share))
         for i, spans in found.items():
             kept: list[tuple[int, int, int, float]] = []
             for _, start, stop, k, share in sorted(spans, key=lambda s: (-s[0], s[1], -s[4], s[3])):
@@ -162,6 +191,10 @@ class LicenseIndex:
             out[i] = sorted(kept)
         return out
 
+    def _has_words(self, k: int, text: bytes, end: int) -> bool:
+        """Whether the template's distinguishing words stand in the span of ``end`` bytes; ``text`` goes on a little, for the end of a version."""
+        return all(any(m.end() <= end + 2 for m in w.finditer(text)) for w in self.words.get(k, ()))
+
     def _matches(self, chars: np.ndarray, begin: int, end: int, k: int, diagonals: list[int]) -> Iterator[tuple[int, int, int]]:
         template = self.chars[k]
         n = len(template)

@@ -99,6 +99,43 @@ def test_changed_license_is_aligned():
     assert found[1:] == [[], [], []]
 
 
+def test_related_licenses_have_their_own_names():
+    index = licenses.LicenseIndex(TEMPLATES)
+    gpl = TEMPLATES["gpl-header"]
+    want = {
+        gpl: "gpl-header",
+        gpl.replace("General", "Lesser General"): "lgpl-3.0-header",
+        gpl.replace("General", "Affero General"): "agpl-3.0-header",
+        gpl.replace("version 3", "version 2"): "gpl-2.0-header",
+        gpl.replace("version 3", "version 4"): "gnu-license",
+        gpl.replace("General", "Other General"): "gnu-license",
+        "This work is licensed under the GNU General Public License, version 2.": "gpl-2.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.0.": "gpl-3.0-notice",
+        "This work is licensed under the GNU General Public License, version 3.1.": "gnu-license",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "lgpl-2.1-notice",
+        "GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007": "agpl-3.0-title",
+        "Licensed under CC BY-ND 4.0.": "cc-by-nd-4.0-notice",
+        "Licensed under CC BY-SA 3.0.": "cc-by-sa-3.0-notice",
+        "Licensed under CC BY 4.0.": "cc-by-4.0-notice",
+        "Licensed under CC BY-SA 1.0.": "creative-commons-license",
+        "Licensed under CC0 1.0.": "cc0-1.0-notice",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.": "cc-by-nc-3.0-statement",
+        "Licensed under the Apache License, Version 1.1.": "apache-license",
+        "Released under the BSD 3-Clause License.": "bsd-3-clause-notice",
+        "Released under the ZPL License.": "license-notice",
+    }
+    texts = ["Some words before. " + t + " Some words behind." for t in want]
+    got = [[index.names[k] for _, _, k, _ in x] for x in index.scan(Texts(pa.array(texts)))]
+    assert got == [[name] for name in want.values()]
+
+
+def test_every_template_is_found_by_its_own_name():
+    index = licenses.LicenseIndex(TEMPLATES)
+    names = list(TEMPLATES)
+    got = index.scan(Texts(pa.array([TEMPLATES[n] for n in names])))
+    assert [[(index.names[k], share) for _, _, k, share in x] for x in got] == [[(n, 1.0)] for n in names]
+
+
 def test_winnowing_keeps_a_fingerprint_of_every_common_stretch():
     r = random.Random(6)
     shared = "".join(r.choice("abcdefghij") for _ in range(licenses.GRAM + licenses.WINDOW - 1))
