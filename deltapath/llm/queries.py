@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, bpe, gam, licenses, line_dedup, mixing, quality_rules, quotient, records, secret_scan
+from . import bagminhash, bpe, gam, licenses, line_dedup, merkle, mixing, quality_rules, quotient, records, runs, secret_scan, shingle_join
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(read_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read_table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components_of(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_binary_records": op1_binary_records,
     "op2_quality_rules": op2_quality_rules,
@@ -64,4 +76,7 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_shingle_join": op13_shingle_join,
 }
