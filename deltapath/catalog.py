@@ -22,6 +22,7 @@ from .plans import incremental as I
 from .plans import pregel as P
 from .plans import sssp as S
 from .plans.lineage import cut, persist
+from .plans.live import Change, LiveDistances
 from .session import scratch_path
 from .sources import fixtures as X
 from .sources import generators, text
@@ -39,10 +40,10 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
-def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True) -> tuple[DataFrame, DataFrame | None]:
+def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True, late: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """Cached (g_ev, raw update stream); their lineage is a deterministic scan of the tables."""
     t = _t(spark, sf_dir)
-    base, upd = X.g_ev_parts(t)
+    base, upd = X.g_ev_parts(t, late=late)
     edges = persist(base.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     return edges, (persist(upd) if with_updates else None)
 
@@ -77,8 +78,7 @@ def scan_updates(spark, sf_dir):
 
 
 def nary_tree(spark, sf_dir):
-    n = _t(spark, sf_dir).orders.count()
-    return generators.nary_tree(spark, n, TREE_DEGREE)
+    return generators.tree_over(_t(spark, sf_dir).orders, "o_orderkey", TREE_DEGREE)
 
 
 # --- graph construction ---------------------------------------------------------------
@@ -134,9 +134,9 @@ def min_message(spark, sf_dir):
     return M.min_message(M.memo_table(edges, dist), SOURCE)
 
 
-def _one_step(spark, sf_dir) -> dict:
-    """One memo step on G_EV: old fixpoint, new edges (upserted), changed messages."""
-    edges, upd = _ev(spark, sf_dir)
+def _one_step(spark, sf_dir, late: bool = False) -> dict:
+    """One memo step: fixpoint before the updates (``late``: the late batch), new edges (upserted), changed messages."""
+    edges, upd = _ev(spark, sf_dir, late=late)
     old = cut(_dist(S.sssp_state(edges, SOURCE)))
     new_edges = persist(C.upsert_edges(edges, upd))
     state = G.merge_vertices(new_edges, old)
@@ -156,7 +156,7 @@ def merge_memo(spark, sf_dir):
 
 
 def vertex_step(spark, sf_dir):
-    return _one_step(spark, sf_dir)["stepped"]
+    return _one_step(spark, sf_dir, late=True)["stepped"]
 
 
 def merge_state(spark, sf_dir):
@@ -170,7 +170,7 @@ def active_frontier(spark, sf_dir):
 
 
 def affected_sources(spark, sf_dir):
-    edges, upd = _ev(spark, sf_dir)
+    edges, upd = _ev(spark, sf_dir, late=True)
     return C.affected_sources(upd, G.vertices_from_edges(edges))
 
 
@@ -228,18 +228,13 @@ def hop_count(spark, sf_dir):
 
 def sssp_after_update(spark, sf_dir):
     edges, upd = _ev(spark, sf_dir)
-    prev = S.sssp_state(edges, SOURCE)
-    _, state = I.sssp_after_update(prev, edges, upd, SOURCE)
-    return _dist(state)
+    return LiveDistances.build(edges, SOURCE).update(upd).after.distances()
 
 
 def sssp_after_insert(spark, sf_dir):
     edges, upd = _ev(spark, sf_dir)
-    prev = S.sssp_state(edges, SOURCE)
     added = C.unknown_updates(edges, upd).select("src", "dst", "weight")
-    new_edges = C.create_edges(edges, added)
-    delta = added.select("src", "dst", F.lit(None).cast("double").alias("old_w"), F.col("weight").alias("new_w"))
-    return _dist(I.update_sssp(prev, edges, new_edges, SOURCE, delta=delta))
+    return LiveDistances.build(edges, SOURCE).insert(added).after.distances()
 
 
 def hop_distances(spark, sf_dir):
@@ -268,20 +263,19 @@ def hop_distances_after_update(spark, sf_dir):
 
 # --- run metrics --------------------------------------------------------------------------
 
-def _disturbed_state(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    edges, upd = _ev(spark, sf_dir)
-    prev = S.sssp_state(edges, SOURCE)
-    new_edges, state = I.sssp_after_upsert(prev, edges, upd, SOURCE)
-    delta = C.batch_delta(edges, upd, insert=True)
-    return _dist(state), I.disturbed_vertices(edges, _dist(prev), new_edges, _dist(state), delta)
+def _late_batch(spark, sf_dir) -> Change:
+    """What the late batch does to the distances."""
+    edges, upd = _ev(spark, sf_dir, late=True)
+    return LiveDistances.build(edges, SOURCE).upsert(upd)
 
 
 def _disturbed(spark, sf_dir) -> DataFrame:
-    return _disturbed_state(spark, sf_dir)[1]
+    return _late_batch(spark, sf_dir).disturbed()
 
 
 def disturbed_flags(spark, sf_dir):
-    return I.disturbed_flags(*_disturbed_state(spark, sf_dir))
+    change = _late_batch(spark, sf_dir)
+    return I.disturbed_flags(change.after.distances(), change.disturbed())
 
 
 def disturbed_vertices(spark, sf_dir):

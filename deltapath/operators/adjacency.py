@@ -16,6 +16,11 @@ hub holding a third of all edges) is spread over ``ceil(degree / threshold)``
 salt buckets by a hash of the row's other end, and its frontier row is
 replicated once per bucket.  There are fewer hot keys than partitions, so the
 hot-key table that is broadcast has a proven size bound.
+
+Changes: ``patched`` gives the same layout with some edges changed.  The
+changed edges are a small table beside the base that hides the base's rows of
+the same key, so a batch of updates neither shuffles nor writes the edges.
+Once that table outgrows its bound, the edges are laid out anew.
 """
 
 from __future__ import annotations
@@ -54,6 +59,10 @@ class Adjacency:
         self.min_hot_rows = int(min_hot_rows)
         self._layout: DataFrame | None = None
         self._hot: DataFrame | None = None
+        #: Changed edges beside the base (NULL weight: gone), one row per key, and their number.
+        self.changes: DataFrame | None = None
+        self.n_changes = 0
+        self._reverse: Adjacency | None = None
 
     @classmethod
     def build(
@@ -92,8 +101,7 @@ class Adjacency:
         salted = self.base.join(F.broadcast(self._hot), self.key, "left").withColumn("salt", salt).drop("n_salt")
         self._layout = cut(salted.repartition(self.partitions, self.key, "salt"))
 
-    def expand(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
-        """Join ``frontier`` (must carry column ``self.key``) to its adjacency rows."""
+    def _expand_base(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
         if frontier_rows <= self.broadcast_rows:
             return self.base.join(F.broadcast(frontier), self.key, "inner")
         self._ensure_layout()
@@ -105,7 +113,77 @@ class Adjacency:
         )
         return self._layout.join(salted.hint("shuffle_hash"), [self.key, "salt"], "inner").drop("salt")
 
+    def _current(self, rows: DataFrame) -> DataFrame:
+        """Rows of the base without those that a change hides."""
+        if self.changes is None:
+            return rows
+        return rows.join(F.broadcast(self.changes.select(self.key, self.spread)), [self.key, self.spread], "left_anti")
+
+    def expand(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
+        """Join ``frontier`` (must carry column ``self.key``) to its adjacency rows."""
+        rows = self._current(self._expand_base(frontier, frontier_rows))
+        if self.changes is None:
+            return rows
+        small = F.broadcast(frontier) if frontier_rows <= self.broadcast_rows else frontier
+        return rows.unionByName(self.changes.where(F.col("weight").isNotNull()).join(small, self.key, "inner"))
+
+    def edges(self) -> DataFrame:
+        """All edges with the changes."""
+        rows = self._current(self.base)
+        return rows if self.changes is None else rows.unionByName(self.changes.where(F.col("weight").isNotNull()))
+
+    def on_keys(self, keys: DataFrame, n_keys: int) -> DataFrame:
+        """The edges whose (key, spread) is in ``keys``; the base is streamed where it lies if the keys are few."""
+        small = F.broadcast(keys) if n_keys <= self.broadcast_rows else keys
+        own = [self.key, self.spread]
+        rows = self._current(self.base.join(small, own, "left_semi"))
+        if self.changes is None:
+            return rows
+        return rows.unionByName(self.changes.where(F.col("weight").isNotNull()).join(small, own, "left_semi"))
+
+    def into(self, ends: DataFrame, n_ends: int) -> DataFrame:
+        """The edges whose other end is in ``ends`` (one column, named ``self.spread``).
+
+        Few ends are broadcast to the base; for many there is a layout keyed by
+        the other end, salted like this one, built on first need.
+        """
+        if n_ends <= self.broadcast_rows:
+            small = F.broadcast(ends)
+            rows = self._current(self.base.join(small, self.spread, "left_semi"))
+            return rows if self.changes is None else rows.unionByName(self.changes.where(F.col("weight").isNotNull()).join(small, self.spread, "left_semi"))
+        return self.reverse().expand(ends, n_ends)
+
+    def reverse(self) -> "Adjacency":
+        """The same edges keyed by their other end: the layout for steps that pull from in-neighbours."""
+        if self._reverse is None:
+            out = Adjacency(self.base, self.spread, self.key, self.rows, self.partitions, self.broadcast_rows, self.min_hot_rows)
+            out.changes, out.n_changes = self.changes, self.n_changes
+            self._reverse = out
+        return self._reverse
+
+    def patched(self, changes: DataFrame, n_changes: int) -> "Adjacency":
+        """This layout with some edges changed: ``changes`` (src, dst, weight), one row per key, NULL weight = gone.
+
+        The base and its salted layout are shared with this object.  Changes
+        beyond ``broadcast_rows`` rows make a new base.
+        """
+        if self.changes is not None:
+            older = self.changes.join(changes.select(self.key, self.spread), [self.key, self.spread], "left_anti")
+            changes, n_changes = write_frontier(older.unionByName(changes.select(*older.columns)), "edge-changes")
+        out = Adjacency(self.base, self.key, self.spread, self.rows, self.partitions, self.broadcast_rows, self.min_hot_rows)
+        out.changes, out.n_changes = changes, n_changes
+        if n_changes > self.broadcast_rows:
+            table = self.base.join(changes.select(self.key, self.spread), [self.key, self.spread], "left_anti")
+            table = table.unionByName(changes.where(F.col("weight").isNotNull()).select(*table.columns))
+            return Adjacency.build(table, self.key, self.spread, self.partitions, self.broadcast_rows, self.min_hot_rows)
+        out._layout, out._hot = self._layout, self._hot
+        if self._reverse is not None:
+            back = Adjacency(self.base, self.spread, self.key, self.rows, self.partitions, self.broadcast_rows, self.min_hot_rows)
+            back._layout, back._hot, back.changes, back.n_changes = self._reverse._layout, self._reverse._hot, changes, n_changes
+            out._reverse = back
+        return out
+
     def release(self) -> None:
-        for df in (self.base, self._layout, self._hot):
+        for df in (self.base, self._layout, self._hot, *((self._reverse._layout, self._reverse._hot) if self._reverse else ())):
             if df is not None:
                 df.unpersist(blocking=False)

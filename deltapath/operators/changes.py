@@ -23,13 +23,13 @@ def update_from_text(spark: SparkSession, line: str, seq: int = 0) -> DataFrame:
 def latest_updates(updates: DataFrame) -> DataFrame:
     """Last write per edge key by ``seq`` -> ``(src, dst, weight, seq)``.
 
-    ``max_by`` aggregates partially, so a key updated a billion times still
-    ships one row per map task.
+    ``max_by`` aggregates partially and in a hash table, so a key updated a
+    billion times still ships one row per map task.
     """
     if "seq" not in updates.columns:
         updates = updates.withColumn("seq", F.lit(0).cast("bigint"))
-    best = updates.groupBy("src", "dst").agg(F.max_by(F.struct("weight", "seq"), "seq").alias("u"))
-    return best.select("src", "dst", checked_weight(F.col("u.weight")).alias("weight"), F.col("u.seq").alias("seq"))
+    best = updates.groupBy("src", "dst").agg(F.max_by("weight", "seq").alias("weight"), F.max("seq").alias("seq"))
+    return best.select("src", "dst", checked_weight(F.col("weight")).alias("weight"), "seq")
 
 
 def update_edge_batch(edges: DataFrame, updates: DataFrame) -> DataFrame:

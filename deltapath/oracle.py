@@ -38,6 +38,15 @@ _BASE = {
     ),
     "tr2": (["tr"], "tr2 AS (SELECT * FROM tr WHERE dst IS NOT NULL AND src <> dst)"),
     "cut": ([], "cut AS (SELECT max(event_id) * 9 // 10 AS c FROM events)"),
+    "cut_late": ([], "cut_late AS (SELECT max(event_id) * 995 // 1000 AS c FROM events)"),
+    "g_late": (["tr2", "cut_late"], "g_late(src, dst, w) AS (SELECT src, dst, min(w) FROM tr2, cut_late WHERE event_id <= c GROUP BY ALL)"),
+    "late_raw": (["tr2", "cut_late"], "late_raw(src, dst, w, seq) AS (SELECT src, dst, w, event_id FROM tr2, cut_late WHERE event_id > c)"),
+    "late": (["late_raw"], "late(src, dst, w) AS (SELECT src, dst, arg_max(w, seq) FROM late_raw GROUP BY ALL)"),
+    "g_late_all": (
+        ["g_late", "late"],
+        """g_late_all(src, dst, w) AS (SELECT coalesce(e.src, u.src), coalesce(e.dst, u.dst), coalesce(u.w, e.w)
+  FROM g_late e FULL JOIN late u ON u.src = e.src AND u.dst = e.dst)""",
+    ),
     "g_ev": (["tr2", "cut"], "g_ev(src, dst, w) AS (SELECT src, dst, min(w) FROM tr2, cut WHERE event_id <= c GROUP BY ALL)"),
     "g_tr": (["tr2"], "g_tr(src, dst, w) AS (SELECT src, dst, min(w) FROM tr2 GROUP BY ALL)"),
     "upd_raw": (
@@ -113,35 +122,38 @@ def _lookup(name: str) -> tuple[list[str], str]:
     return _EXTRA[name]
 
 
-# One memo step on G_EV from its old fixpoint with the upserted edges.
+def _step_ctes(old: str, new: str, end: str) -> dict[str, tuple[list[str], str]]:
+    """One memo step from the fixpoint on graph ``old`` with the edges of ``new``; ``end`` is appended to the names."""
+    st, cand, chg, merged = f"st{end}", f"cand{end}", f"chg{end}", f"merged{end}"
+    return {
+        st: ([f"verts_{new}", f"r_{old}"], f"{st}(v, d) AS (SELECT a.v, r.d FROM verts_{new} a LEFT JOIN r_{old} r ON r.v = a.v)"),
+        cand: ([new, f"r_{old}"], f"{cand}(dst, src, msg) AS (SELECT e.dst, e.src, r.d + e.w FROM {new} e JOIN r_{old} r ON r.v = e.src)"),
+        chg: (
+            [cand, f"memo_{old}"],
+            f"""{chg}(dst, src, msg) AS (SELECT c.dst, c.src, c.msg FROM {cand} c
+  LEFT JOIN memo_{old} o ON o.dst = c.dst AND o.src = c.src WHERE o.msg IS DISTINCT FROM c.msg)""",
+        ),
+        merged: (
+            [f"memo_{old}", chg],
+            f"""{merged}(dst, src, msg) AS (SELECT coalesce(c.dst, o.dst), coalesce(c.src, o.src), coalesce(c.msg, o.msg)
+  FROM memo_{old} o FULL JOIN {chg} c ON o.dst = c.dst AND o.src = c.src)""",
+        ),
+        f"stepped{end}": (
+            [chg, merged, st],
+            f"""stepped{end}(v, d) AS (SELECT m.dst, CASE WHEN m.dst = {SOURCE} THEN 0.0::DOUBLE ELSE min(m.msg) END
+  FROM {merged} m WHERE m.dst IN (SELECT dst FROM {chg}) AND m.dst IN (SELECT v FROM {st}) GROUP BY m.dst)""",
+        ),
+    }
+
+
 _EXTRA = {
-    "st": (
-        ["verts_g_ev_all", "r_g_ev"],
-        "st(v, d) AS (SELECT a.v, r.d FROM verts_g_ev_all a LEFT JOIN r_g_ev r ON r.v = a.v)",
-    ),
-    "cand": (
-        ["g_ev_all", "r_g_ev"],
-        "cand(dst, src, msg) AS (SELECT e.dst, e.src, r.d + e.w FROM g_ev_all e JOIN r_g_ev r ON r.v = e.src)",
-    ),
-    "chg": (
-        ["cand", "memo_g_ev"],
-        """chg(dst, src, msg) AS (SELECT c.dst, c.src, c.msg FROM cand c
-  LEFT JOIN memo_g_ev o ON o.dst = c.dst AND o.src = c.src WHERE o.msg IS DISTINCT FROM c.msg)""",
-    ),
-    "merged": (
-        ["memo_g_ev", "chg"],
-        """merged(dst, src, msg) AS (SELECT coalesce(c.dst, o.dst), coalesce(c.src, o.src), coalesce(c.msg, o.msg)
-  FROM memo_g_ev o FULL JOIN chg c ON o.dst = c.dst AND o.src = c.src)""",
-    ),
-    "stepped": (
-        ["chg", "merged", "st"],
-        f"""stepped(v, d) AS (SELECT m.dst, CASE WHEN m.dst = {SOURCE} THEN 0.0::DOUBLE ELSE min(m.msg) END
-  FROM merged m WHERE m.dst IN (SELECT dst FROM chg) AND m.dst IN (SELECT v FROM st) GROUP BY m.dst)""",
-    ),
+    # Of the late batch, which reaches few vertices, and of all updates.
+    **_step_ctes("g_late", "g_late_all", ""),
+    **_step_ctes("g_ev", "g_ev_all", "_ev"),
     "disturbed": (
-        ["memo_g_ev", "memo_g_ev_all"],
-        """disturbed(v) AS (SELECT DISTINCT coalesce(o.dst, n.dst) FROM memo_g_ev o
-  FULL JOIN memo_g_ev_all n ON o.dst = n.dst AND o.src = n.src WHERE o.msg IS DISTINCT FROM n.msg)""",
+        ["memo_g_late", "memo_g_late_all"],
+        """disturbed(v) AS (SELECT DISTINCT coalesce(o.dst, n.dst) FROM memo_g_late o
+  FULL JOIN memo_g_late_all n ON o.dst = n.dst AND o.src = n.src WHERE o.msg IS DISTINCT FROM n.msg)""",
     ),
     "last_upd": (
         ["upd_raw"],
@@ -182,13 +194,14 @@ ORACLE: dict[str, str] = {
         f"SELECT v, CASE WHEN v = {SOURCE} THEN 0.0::DOUBLE END AS d FROM (SELECT v FROM verts_g_tree UNION SELECT {SOURCE}::BIGINT)",
     ),
     "scan_updates": sql(["upd_raw"], "SELECT src, dst, w AS weight, seq FROM upd_raw"),
-    "nary_tree": f"SELECT (c - 1) // {TREE_DEGREE} AS src, c AS dst, 1.0::DOUBLE AS weight FROM range(1, (SELECT count(*) FROM orders)) t(c)",
+    "nary_tree": f"""WITH numbered AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT p.k AS src, c.k AS dst, 1.0::DOUBLE AS weight FROM numbered c JOIN numbered p ON p.i = (c.i - 1) // {TREE_DEGREE} WHERE c.i > 0""",
     "vertices_from_edges": sql(["verts_g_ps"], "SELECT v FROM verts_g_ps"),
     "init_state": sql(
         ["verts_g_ps"],
         f"SELECT v, CASE WHEN v = {SOURCE} THEN 0.0::DOUBLE END AS d FROM (SELECT v FROM verts_g_ps UNION SELECT {SOURCE}::BIGINT)",
     ),
-    "merge_vertices": sql(["st"], "SELECT v, d FROM st"),
+    "merge_vertices": sql(["st_ev"], "SELECT v, d FROM st_ev"),
     "triplets": sql(
         ["g_ps", "r_g_ps"],
         """SELECT e.src, e.dst, e.w AS weight, a.d AS src_d, b.d AS dst_d FROM g_ps e
@@ -202,18 +215,18 @@ ORACLE: dict[str, str] = {
         ["memo_g_ps"],
         f"SELECT dst AS v, CASE WHEN dst = {SOURCE} THEN 0.0::DOUBLE ELSE min(msg) END AS d FROM memo_g_ps GROUP BY dst",
     ),
-    "changed_messages": sql(["chg"], "SELECT dst, src, msg FROM chg"),
-    "merge_memo": sql(["merged"], "SELECT dst, src, msg FROM merged"),
+    "changed_messages": sql(["chg_ev"], "SELECT dst, src, msg FROM chg_ev"),
+    "merge_memo": sql(["merged_ev"], "SELECT dst, src, msg FROM merged_ev"),
     "vertex_step": sql(["stepped"], "SELECT v, d FROM stepped"),
     "merge_state": sql(
-        ["st", "stepped"],
-        "SELECT a.v, CASE WHEN s.v IS NOT NULL THEN s.d ELSE a.d END AS d FROM st a LEFT JOIN stepped s ON s.v = a.v",
+        ["st_ev", "stepped_ev"],
+        "SELECT a.v, CASE WHEN s.v IS NOT NULL THEN s.d ELSE a.d END AS d FROM st_ev a LEFT JOIN stepped_ev s ON s.v = a.v",
     ),
     "active_frontier": sql(
-        ["st", "stepped"], "SELECT s.v, s.d FROM stepped s JOIN st a ON a.v = s.v WHERE s.d IS DISTINCT FROM a.d"
+        ["st_ev", "stepped_ev"], "SELECT s.v, s.d FROM stepped_ev s JOIN st_ev a ON a.v = s.v WHERE s.d IS DISTINCT FROM a.d"
     ),
     "affected_sources": sql(
-        ["upd_raw", "verts_g_ev"], "SELECT DISTINCT src AS v FROM upd_raw WHERE src IN (SELECT v FROM verts_g_ev)"
+        ["late_raw", "verts_g_late"], "SELECT DISTINCT src AS v FROM late_raw WHERE src IN (SELECT v FROM verts_g_late)"
     ),
     "pregel_min": sql(["dist_g_ps"], "SELECT v, d FROM dist_g_ps"),
     "update_edge": sql(
@@ -240,8 +253,8 @@ ORACLE: dict[str, str] = {
     "hop_distances_after_update": sql(["h_g_ev_upd"], "SELECT v, k, d FROM h_g_ev_upd WHERE k >= 1"),
     "disturbed_vertices": sql(["disturbed"], "SELECT v FROM disturbed"),
     "disturbed_flags": sql(
-        ["dist_g_ev_all", "disturbed"],
-        "SELECT s.v, s.d, CASE WHEN x.v IS NULL THEN 0 ELSE 1 END AS disturbed FROM dist_g_ev_all s LEFT JOIN disturbed x ON x.v = s.v",
+        ["dist_g_late_all", "disturbed"],
+        "SELECT s.v, s.d, CASE WHEN x.v IS NULL THEN 0 ELSE 1 END AS disturbed FROM dist_g_late_all s LEFT JOIN disturbed x ON x.v = s.v",
     ),
     "count_disturbed": sql(["disturbed"], "SELECT count(*) AS n FROM disturbed"),
     "sink_distances": sql(["dist_g_tree"], "SELECT v, d FROM dist_g_tree"),

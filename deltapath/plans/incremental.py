@@ -1,21 +1,11 @@
-"""Keep shortest distances current after edge changes, touching only what a change can reach.
-
-Input: the previous state ``(v, d, parent)`` (from :func:`sssp_state` or an
-earlier update), the old and the new edges.  Two phases:
-
-1. *Invalidate.*  A vertex whose parent edge got heavier or vanished may get
-   farther away, and so may everything below it in the parent forest.  Those
-   vertices (grown along ``parent`` pointers with a frontier loop) lose their
-   distance.  This is what makes raises exact and fast even on zero-weight or
-   short positive cycles, where re-sending remembered messages would climb
-   one cycle length per round or never settle.
-2. *Relax.*  Seeds are the best offers into invalidated vertices from valid
-   ones, plus every lighter or new edge out of a valid vertex; from there the
-   ordinary relaxation loop runs until nothing improves.
-
-Batches that only lower or insert edges skip phase 1.  The changed edges come
-from the caller's batch (``delta``) where it has one, so the two edge tables
-need not be compared.
+"""Shortest distances after edge changes, and what a change disturbed, from DataFrames.
+
+The previous state ``(v, d, parent)`` and the edges go in, the new ones come
+out; the work is that of :mod:`deltapath.plans.live`, which also keeps the
+edge layout for further batches.  Invalidation below raised or deleted edges
+comes first, which makes raises exact on zero-weight and short positive
+cycles, where re-sent messages would climb one cycle length per round or
+never settle; relaxation from the best offers follows.
 """
 
 from __future__ import annotations
@@ -23,19 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency
-from ..operators.changes import batch_delta, edge_delta, update_edge_batch, upsert_edges
-from ..operators.graph import prepare_edges, vertices_from_edges, with_source
+from ..operators.adjacency import DEFAULT_BROADCAST_ROWS
+from ..operators.changes import edge_delta
+from ..operators.graph import prepare_edges
 from ..operators.messages import memo_table
-from ..session import num_partitions
-from .lineage import Generations, cut, persist, write_frontier
-from .sssp import (
-    DEFAULT_CHECKPOINT_INTERVAL,
-    RunStats,
-    apply_candidates,
-    best_candidates,
-    relax,
-)
+from .lineage import write_frontier
+from .live import LiveDistances
+from .sssp import RunStats
+
 
 def _maybe_broadcast(df: DataFrame, rows: int, bound: int) -> DataFrame:
     return F.broadcast(df) if rows <= bound else df
@@ -47,111 +32,38 @@ def update_sssp(
     new_edges: DataFrame,
     source: int = 0,
     validate: bool = True,
-    partitions: int | None = None,
-    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
-    checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
     delta: DataFrame | None = None,
+    **layout,
 ) -> DataFrame:
     """New ``(v, d, parent)`` for ``new_edges`` from ``prev`` computed on ``old_edges``.
 
-    ``delta`` holds the edges that differ, ``(src, dst, old_w, new_w)``.  A
-    caller that gives it vouches that ``new_edges`` has one valid row per
-    ``(src, dst)``; without it the two edge tables are prepared and compared.
+    ``delta`` holds the edges that differ, ``(src, dst, old_w, new_w)``;
+    without it the two edge tables are prepared and compared.  One call lays
+    the edges out; for a series of batches keep a :class:`LiveDistances`.
     """
-    spark = new_edges.sparkSession
-    n = num_partitions(spark, partitions)
-    stats = stats if stats is not None else RunStats()
-    unique = new_edges.select("src", "dst", "weight") if delta is not None else prepare_edges(new_edges, validate)
-    adjacency = Adjacency.build(unique, "src", "dst", n, broadcast_rows, min_hot_rows)
-    e_new = adjacency.base
-    delta = persist(edge_delta(prepare_edges(old_edges, validate=False), e_new) if delta is None else delta)
-    raised = delta.where(F.col("old_w").isNotNull() & (F.col("new_w").isNull() | (F.col("new_w") > F.col("old_w"))))
-    lowered = delta.where(F.col("new_w").isNotNull() & (F.col("old_w").isNull() | (F.col("new_w") < F.col("old_w"))))
-
-    p = prev.select("v", "d", "parent")
-
-    # Phase 1: invalidate the parent subtrees hanging from raised or deleted edges.
-    # ``gone`` marks invalidated vertices, ``fresh`` the ones added last step
-    # (the frontier of the walk down the parent forest).
-    hit = raised.select(F.col("src").alias("parent"), F.col("dst").alias("v"), F.lit(True).alias("hit"))
-    is_hit = F.coalesce(F.col("hit"), F.lit(False)) & (F.col("v") != F.lit(source))
-    state = cut(
-        with_source(vertices_from_edges(e_new), source)
-        .join(p, "v", "left")
-        .join(hit, ["v", "parent"], "left")
-        .select("v", "d", "parent", is_hit.alias("gone"), is_hit.alias("fresh"))
-        .repartition(n, "v")
-    )
-    base = state
-    front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
-    inv_rows = front_rows
-    gens = Generations()
-    gens.hold(state)
-    children = None
-    steps = 0
-    while front_rows > 0:
-        if children is None:
-            tree = base.where(F.col("parent").isNotNull()).select("parent", "v")
-            children = Adjacency.build(tree, "parent", "v", n, broadcast_rows, min_hot_rows)
-        kids = children.expand(front, front_rows).select("v").distinct().select("v", F.lit(True).alias("kid"))
-        new_kid = F.coalesce(F.col("kid"), F.lit(False)) & ~F.col("gone")
-        nxt = state.join(kids.hint("shuffle_hash"), "v", "left").select(
-            "v", "d", "parent", (F.col("gone") | new_kid).alias("gone"), new_kid.alias("fresh")
-        )
-        steps += 1
-        nxt = cut(nxt) if steps % checkpoint_interval == 0 else persist(nxt)
-        state = gens.hold(nxt)
-        front, front_rows = write_frontier(state.where(F.col("fresh")).select(F.col("v").alias("parent")), "invalid")
-        inv_rows += front_rows
-    stats.extra["invalidated"] = inv_rows
-    if children is not None:
-        children.release()
-
-    dist1 = persist(
-        state.select(
-            "v",
-            F.when(F.col("gone"), F.lit(None).cast("double")).otherwise(F.col("d")).alias("d"),
-            F.when(F.col("gone"), F.lit(None).cast("bigint")).otherwise(F.col("parent")).alias("parent"),
-            F.lit(False).alias("fresh"),
-            "gone",
-        )
-    )
-    gens.release()
-    inv = dist1.where(F.col("gone")).select("v")
-    dist1 = dist1.drop("gone")
-
-    # Phase 2 seeds: offers into invalidated vertices, and lighter / new edges.
-    valid = dist1.where(F.col("d").isNotNull()).select(F.col("v").alias("src"), "d")
-    into_inv = e_new.join(_maybe_broadcast(inv.select(F.col("v").alias("dst")), inv_rows, broadcast_rows), "dst", "left_semi")
-    light = lowered.select("src", "dst", F.col("new_w").alias("weight"))
-    offers = into_inv.unionByName(light).join(valid, "src", "inner")
-    seeded = cut(apply_candidates(dist1, best_candidates(offers)))
-    out = relax(adjacency, seeded, checkpoint_interval, stats)
-    for df in (delta, base, dist1):
-        df.unpersist(blocking=False)
-    adjacency.release()
-    return out.select("v", "d", "parent")
-
-
-def sssp_after_update(prev: DataFrame, edges: DataFrame, updates: DataFrame, source: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+    live = LiveDistances.build(old_edges, source, validate=False, state=prev, **layout)
+    if delta is None:
+        delta = edge_delta(live.edges(), prepare_edges(new_edges, validate))
+    change = live.change(*write_frontier(delta.select("src", "dst", "old_w", "new_w"), "delta"))
+    if stats is not None:
+        stats.rounds, stats.frontier_sizes, stats.extra = change.stats.rounds, change.stats.frontier_sizes, change.stats.extra
+    return change.after.state
+
+
+def sssp_after_update(prev: DataFrame, edges: DataFrame, updates: DataFrame, source: int = 0, **layout) -> tuple[DataFrame, DataFrame]:
     """Apply weight updates (last by ``seq``; unknown keys ignored) and update distances.
 
     Returns ``(new_edges, new_state)``.
     """
-    old = prepare_edges(edges)
-    delta = batch_delta(old, updates, insert=False)
-    new_edges = update_edge_batch(old, updates)
-    return new_edges, update_sssp(prev, edges, new_edges, source, delta=delta, **kw)
+    after = LiveDistances.build(edges, source, state=prev, **layout).update(updates).after
+    return after.edges(), after.state
 
 
-def sssp_after_upsert(prev: DataFrame, edges: DataFrame, updates: DataFrame, source: int = 0, **kw) -> tuple[DataFrame, DataFrame]:
+def sssp_after_upsert(prev: DataFrame, edges: DataFrame, updates: DataFrame, source: int = 0, **layout) -> tuple[DataFrame, DataFrame]:
     """Update known edges and insert unknown ones, then update distances."""
-    old = prepare_edges(edges)
-    delta = batch_delta(old, updates, insert=True)
-    new_edges = upsert_edges(old, updates)
-    return new_edges, update_sssp(prev, edges, new_edges, source, delta=delta, **kw)
+    after = LiveDistances.build(edges, source, state=prev, **layout).upsert(updates).after
+    return after.edges(), after.state
 
 
 def changed_memo(old_edges: DataFrame, old_dist: DataFrame, new_edges: DataFrame, new_dist: DataFrame) -> DataFrame:

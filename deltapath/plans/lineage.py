@@ -9,7 +9,7 @@ with the executor that holds them.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -86,18 +86,21 @@ class Generations:
         self._held.clear()
 
 
-def write_frontier(df: DataFrame, name: str = "frontier") -> tuple[DataFrame, int]:
+def write_frontier(df: DataFrame, name: str = "frontier", static: bool = False) -> tuple[DataFrame, int]:
     """Write a loop frontier as a parquet table in the shared folder; read it back.
 
     The read-back table is a new leaf: a round's join then never sees the loop
     state on both sides (a self-join, which Spark resolves by re-instancing one
     side and so bypasses its cache and recomputes its lineage).  Writing it is
     also the job that materialises the new loop state.  Returns the table and
-    its row count.
+    its row count.  ``static``: plan without adaptive execution, for joins that
+    must use the known partitioning of a cached table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     # The row count is observed on the write itself: no extra job.
     seen = Observation(name)
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
-    return spark.read.parquet(path), int(seen.get["rows"])
+    with static_plan(spark) if static else nullcontext():
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    # With the schema given, reading needs no job of its own.
+    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])

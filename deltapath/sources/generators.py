@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from ..plans.lineage import write_frontier
+
 
 def nary_tree(spark: SparkSession, n: int, degree: int) -> DataFrame:
     """Edges of the ``degree``-ary tree on vertices ``0 .. n-1`` numbered breadth first.
@@ -24,3 +27,16 @@ def nary_tree(spark: SparkSession, n: int, degree: int) -> DataFrame:
         F.col("id").cast("bigint").alias("dst"),
         F.lit(1.0).alias("weight"),
     )
+
+
+def tree_over(rows: DataFrame, key: str, degree: int) -> DataFrame:
+    """The ``degree``-ary tree whose vertices are ``rows``, breadth first in the order of their unique ``key``.
+
+    Edges lead from the parent's key to the child's, all weights are 1.0.
+    """
+    if degree <= 0:
+        return rows.where(F.lit(False)).select(F.col(key).cast("bigint").alias("src"), F.col(key).cast("bigint").alias("dst"), F.lit(1.0).alias("weight"))
+    nodes, _ = write_frontier(numbered(rows.select(F.col(key).cast("bigint").alias("key")), "key"), "tree")
+    children = nodes.where("number > 0").select(F.expr(f"(number - 1) div {int(degree)}").alias("number"), F.col("key").alias("dst"))
+    parents = nodes.select("number", F.col("key").alias("src"))
+    return children.join(parents, "number").select("src", "dst", F.lit(1.0).alias("weight"))
