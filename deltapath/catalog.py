@@ -19,6 +19,7 @@ from .operators import messages as M
 from .operators import sinks as K
 from .plans import hops as H
 from .plans import incremental as I
+from .plans import memo as N
 from .plans import pregel as P
 from .plans import sssp as S
 from .plans.lineage import cut, persist
@@ -180,6 +181,22 @@ def pregel_min(spark, sf_dir):
     return P.pregel(edges, initial).withColumnRenamed("value", "d")
 
 
+def pregel_memo(spark, sf_dir):
+    """The memory of every edge after a change-only run from the initial state."""
+    edges = persist(X.g_ps(_t(spark, sf_dir)))
+    initial = G.reset_flags(G.init_state(G.vertices_from_edges(edges), SOURCE))
+    return N.sssp_memo(edges, initial, SOURCE).memory.rows().select("dst", "src", "msg")
+
+
+def pregel_memo_after_update(spark, sf_dir):
+    """Distances after the updates, from the remembered messages: the sources of updated edges send first."""
+    edges, upd = _ev(spark, sf_dir)
+    run = N.sssp_memo(edges, G.reset_flags(G.init_state(G.vertices_from_edges(edges), SOURCE)), SOURCE)
+    new_edges = persist(C.upsert_edges(edges, upd))
+    state = G.reset_flags(G.merge_vertices(new_edges, run.state))
+    return _dist(N.sssp_memo(new_edges, state, SOURCE, memory=run.memory, start=upd.select(F.col("src").alias("v"))).state)
+
+
 # --- edge changes -----------------------------------------------------------------------
 
 def update_edge(spark, sf_dir):
@@ -370,6 +387,8 @@ QUERIES: dict[str, Query] = {
     "active_frontier": active_frontier,
     "affected_sources": affected_sources,
     "pregel_min": pregel_min,
+    "pregel_memo": pregel_memo,
+    "pregel_memo_after_update": pregel_memo_after_update,
     "update_edge": update_edge,
     "update_edge_batch": update_edge_batch,
     "create_edges": create_edges,

@@ -229,6 +229,8 @@ SELECT p.k AS src, c.k AS dst, 1.0::DOUBLE AS weight FROM numbered c JOIN number
         ["late_raw", "verts_g_late"], "SELECT DISTINCT src AS v FROM late_raw WHERE src IN (SELECT v FROM verts_g_late)"
     ),
     "pregel_min": sql(["dist_g_ps"], "SELECT v, d FROM dist_g_ps"),
+    "pregel_memo": sql(["memo_g_ps"], "SELECT dst, src, msg FROM memo_g_ps"),
+    "pregel_memo_after_update": sql(["dist_g_ev_all"], "SELECT v, d FROM dist_g_ev_all"),
     "update_edge": sql(
         ["g_ev", "last_upd"],
         "SELECT e.src, e.dst, coalesce(u.w, e.w) AS weight FROM g_ev e LEFT JOIN last_upd u ON u.src = e.src AND u.dst = e.dst",

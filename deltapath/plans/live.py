@@ -56,6 +56,13 @@ class Change:
     after: "LiveDistances"
     stats: RunStats
 
+    def rows(self) -> DataFrame:
+        """The rows (v, d, parent) that the batch changed or added.  Both states lie alike, so nothing is shuffled."""
+        old = self.before.state.select("v", F.col("d").alias("old_d"), F.col("parent").alias("old_parent"), F.lit(True).alias("known"))
+        joined = self.after.state.join(old.hint("shuffle_hash"), "v", "left")
+        same = F.col("known") & F.col("d").eqNullSafe(F.col("old_d")) & F.col("parent").eqNullSafe(F.col("old_parent"))
+        return joined.where(~F.coalesce(same, F.lit(False))).select("v", "d", "parent")
+
     def disturbed(self) -> DataFrame:
         """Vertices that got another message than before from some in-neighbour -> ``(v)``.
 
@@ -222,6 +229,13 @@ class LiveDistances:
         stats.extra["jumps"] = rounds
         return write_frontier(_union(below), "invalid")
 
+    def retire(self, after: "LiveDistances") -> None:
+        """Release what ``after``, which has been computed, does not share with this object."""
+        if after.state is not self.state:
+            self.state.unpersist(blocking=False)
+        if after.adjacency.base is not self.adjacency.base:
+            self.adjacency.release()
+
     def release(self) -> None:
         self.adjacency.release()
         self.state.unpersist(blocking=False)

@@ -1,17 +1,19 @@
 from .updates import (
     DistanceMaintainer,
-    console_sink,
     file_update_stream,
     kafka_update_stream,
     maintain_distances,
+    parse_kafka_rows,
     parse_update_lines,
+    print_head,
 )
 
 __all__ = [
     "DistanceMaintainer",
-    "console_sink",
     "file_update_stream",
     "kafka_update_stream",
     "maintain_distances",
+    "parse_kafka_rows",
     "parse_update_lines",
+    "print_head",
 ]

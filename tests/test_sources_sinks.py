@@ -30,14 +30,14 @@ def test_malformed_line_fails_in_strict_mode(spark, line):
 
 
 def test_kafka_rows(spark):
-    raw = spark.createDataFrame(
-        [(bytearray(b"0 1 2.5"), 0, 7), (bytearray(b"0 1 3.5 99"), 1, 2), (bytearray(b"not an update"), 0, 8), (None, 0, 9)],
-        "value binary, partition int, offset bigint",
-    )
-    assert sorted(map(tuple, parse_kafka_rows(raw).collect())) == [(0, 1, 2.5, 7), (0, 1, 3.5, (1 << 40) + 2)]
-    assert list(map(tuple, parse_kafka_rows(raw, explicit_seq=True).collect())) == [(0, 1, 3.5, 99)]
-    with pytest.raises(Exception, match="malformed edge line"):
-        parse_kafka_rows(raw, strict=True).collect()
+    lines = [(b"0 1 2.5", 0, 7), (b"0 1 3.5 99", 1, 2), (b"not an update", 0, 8), (None, 0, 9), (b"0 1 -2 5", 0, 10), (b"0 1 NaN 5", 0, 11)]
+    raw = spark.createDataFrame([(v and bytearray(v), p, o) for v, p, o in lines], "value binary, partition int, offset bigint")
+    good, bad = parse_kafka_rows(raw)
+    assert sorted(map(tuple, good.collect())) == [(0, 1, 2.5, 7), (0, 1, 3.5, (1 << 40) + 2)]
+    assert sorted((r.offset, r.value) for r in bad.collect()) == [(8, "not an update"), (9, None), (10, "0 1 -2 5"), (11, "0 1 NaN 5")]
+    good, bad = parse_kafka_rows(raw, explicit_seq=True)
+    assert list(map(tuple, good.collect())) == [(0, 1, 3.5, 99)]
+    assert good.count() + bad.count() == len(lines)
 
 
 def test_single_update_as_a_string(edges):
