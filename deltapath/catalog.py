@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes as C
+from .operators.adjacency import Adjacency
 from .operators import graph as G
 from .operators import messages as M
 from .operators import sinks as K
@@ -23,7 +24,7 @@ from .plans import memo as N
 from .plans import pregel as P
 from .plans import sssp as S
 from .plans.lineage import cut, persist
-from .plans.live import Change, LiveDistances
+from .plans.live import Change, LiveDistances, batch_changes
 from .session import scratch_path
 from .sources import fixtures as X
 from .sources import generators, text
@@ -273,9 +274,9 @@ def stage_messages(spark, sf_dir):
 
 def hop_distances_after_update(spark, sf_dir):
     edges, upd = _ev(spark, sf_dir)
-    old_hops = H.hop_distances(edges, SOURCE, MAX_HOPS)
-    new_edges = C.update_edge_batch(edges, upd)
-    return H.update_hop_distances(old_hops, edges, new_edges, SOURCE, MAX_HOPS)
+    layout = Adjacency.build(edges)
+    old_hops = H.hop_distances(edges, SOURCE, MAX_HOPS, adjacency=layout)
+    return H.hops_after_changes(old_hops, layout, *batch_changes(layout, upd, insert=False), SOURCE, MAX_HOPS)[0]
 
 
 # --- run metrics --------------------------------------------------------------------------

@@ -40,12 +40,18 @@ def hop_distances(
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     stats: RunStats | None = None,
+    adjacency: Adjacency | None = None,
 ) -> DataFrame:
-    """``(v, k, d)`` for k = 1..max_hops: min weight over walks of exactly k edges."""
+    """``(v, k, d)`` for k = 1..max_hops: min weight over walks of exactly k edges.
+
+    A layout of the edges that is there already (``adjacency``) is used and kept.
+    """
     spark = edges.sparkSession
     n = num_partitions(spark, partitions)
     stats = stats if stats is not None else RunStats()
-    adjacency = Adjacency.build(prepare_edges(edges, validate), "src", "dst", n, broadcast_rows, min_hot_rows)
+    own = adjacency is None
+    if adjacency is None:
+        adjacency = Adjacency.build(prepare_edges(edges, validate), "src", "dst", n, broadcast_rows, min_hot_rows)
     stage = _source_stage(spark, source)
     rows = 1
     stages: list[DataFrame] = []
@@ -61,7 +67,8 @@ def hop_distances(
         stats.rounds = k
         if rows:
             stages.append(stage.select("v", F.lit(k).alias("k"), "d"))
-    adjacency.release()
+    if own:
+        adjacency.release()
     if not stages:
         return spark.range(0).select(
             F.lit(0).cast("bigint").alias("v"), F.lit(0).alias("k"), F.lit(0.0).alias("d")
@@ -98,51 +105,72 @@ def update_hop_distances(
     source: int = 0,
     max_hops: int = DEFAULT_MAX_HOPS,
     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     stats: RunStats | None = None,
 ) -> DataFrame:
-    """Re-stage after an edge change, recomputing only vertices a change can reach.
+    """Re-stage after an edge change, from two edge tables; :func:`hops_after_changes` takes a layout and its delta."""
+    adjacency = Adjacency.build(prepare_edges(old_edges), "src", "dst", None, broadcast_rows, min_hot_rows)
+    delta = write_frontier(edge_delta(adjacency.base, prepare_edges(new_edges)), "hop-delta")
+    out, _ = hops_after_changes(hops, adjacency, *delta, source, max_hops, stats)
+    adjacency.release()
+    return out
+
+
+def hops_after_changes(
+    hops: DataFrame,
+    adjacency: Adjacency,
+    delta: DataFrame,
+    n_delta: int,
+    source: int = 0,
+    max_hops: int = DEFAULT_MAX_HOPS,
+    stats: RunStats | None = None,
+) -> tuple[DataFrame, Adjacency]:
+    """The hop table after changed edges ``(src, dst, old_w, new_w)``, and the patched layout.
 
     Stage ``k`` of vertex ``v`` is recomputed only if an in-edge of ``v``
     changed and its sender had a stage ``k - 1`` value (before or after), or
     an in-neighbour's stage ``k - 1`` value changed.  All other rows are copied
-    from ``hops``.  The result equals :func:`hop_distances` on ``new_edges``.
+    from ``hops``.  Changed vertices push to their out-neighbours through the
+    layout by ``src``, the receivers pull their in-edges through the one by
+    ``dst``: neither shuffles the edges, and a hub's edges are spread out in
+    both.  The result equals :func:`hop_distances` on the new edges.
     """
-    spark = new_edges.sparkSession
+    spark = hops.sparkSession
     stats = stats if stats is not None else RunStats()
-    e_old = persist(prepare_edges(old_edges))
-    e_new = persist(prepare_edges(new_edges))
-    delta, _ = write_frontier(edge_delta(e_old, e_new).select("src", "dst"), "hop-delta")
-    both = e_old.select("src", "dst").unionByName(e_new.select("src", "dst"))
+    bound = adjacency.broadcast_rows
+    after = adjacency.patched(delta.select("src", "dst", F.col("new_w").alias("weight")), n_delta) if n_delta else adjacency
+
+    def small(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= bound else df
+
     hops = persist(hops.select("v", "k", "d"))
-    prev_old = _source_stage(spark, source)
-    prev_new = prev_old
+    heads = delta.select(F.col("src").alias("v")).distinct()
+    prev_old = prev_new = _source_stage(spark, source)
+    n_new = 1
     changed, n_changed = None, 0
     stages: list[DataFrame] = []
-    held: list[DataFrame] = [e_old, e_new, hops]
     for k in range(1, max_hops + 1):
         old_k = hops.where(F.col("k") == F.lit(k)).select("v", "d")
-        senders = prev_old.select("v").unionByName(prev_new.select("v")).distinct()
-        affected = delta.join(senders.withColumnRenamed("v", "src"), "src", "left_semi").select(F.col("dst").alias("v"))
+        # Changed edges whose sender has or had a value: a look-up of the delta's sources.
+        senders = prev_old.select("v").unionByName(prev_new.select("v")).join(small(heads, n_delta), "v", "left_semi").distinct()
+        affected = delta.join(small(senders.withColumnRenamed("v", "src"), n_delta), "src", "left_semi").select(F.col("dst").alias("v"))
         if n_changed:
-            via_changed = both.join(changed.withColumnRenamed("v", "src"), "src", "left_semi")
-            affected = affected.unionByName(via_changed.select(F.col("dst").alias("v")))
+            pushed = after.expand(changed.select(F.col("v").alias("src")), n_changed)
+            affected = affected.unionByName(pushed.select(F.col("dst").alias("v")))
         # Small per-stage tables are written to the shared folder and read back:
         # each is then a leaf, so stage plans do not nest across stages.
         affected, n_aff = write_frontier(affected.distinct(), "hop-affected")
         if n_aff == 0:
-            new_k = old_k
+            new_k, n_new = old_k, None
             changed, n_changed = None, 0
         else:
-            aff = F.broadcast(affected) if n_aff <= broadcast_rows else affected
-            in_edges = e_new.join(aff.withColumnRenamed("v", "dst"), "dst", "left_semi")
-            recomputed = persist(
-                in_edges.join(prev_new.withColumnRenamed("v", "src").withColumnRenamed("d", "s_d"), "src", "inner")
-                .groupBy(F.col("dst").alias("v"))
-                .agg(F.min(F.col("s_d") + F.col("weight")).alias("d"))
-            )
-            held.append(recomputed)
-            kept = old_k.join(aff, "v", "left_anti")
-            new_k, _ = write_frontier(kept.unionByName(recomputed), "hop-stage")
+            pulled = after.into(affected.select(F.col("v").alias("dst")), n_aff).select("src", "dst", "weight")
+            values = prev_new.select(F.col("v").alias("src"), F.col("d").alias("s_d"))
+            offers = pulled.join(small(values, n_new) if n_new is not None else values, "src", "inner")
+            recomputed = offers.groupBy(F.col("dst").alias("v")).agg(F.min(F.col("s_d") + F.col("weight")).alias("d"))
+            recomputed, _ = write_frontier(recomputed, "hop-recomputed")
+            aff = small(affected, n_aff)
+            new_k, n_new = write_frontier(old_k.join(aff, "v", "left_anti").unionByName(recomputed), "hop-stage")
             before = old_k.join(aff, "v", "left_semi").select("v", F.col("d").alias("old_d"))
             cmp = recomputed.join(before, "v", "full_outer")
             changed, n_changed = write_frontier(cmp.where(~F.col("d").eqNullSafe(F.col("old_d"))).select("v"), "hop-changed")
@@ -151,6 +179,5 @@ def update_hop_distances(
         prev_old, prev_new = old_k, new_k
     stats.rounds = max_hops
     result, _ = write_frontier(_union_stages(stages), "hop-result")
-    for df in held:
-        df.unpersist(blocking=False)
-    return result
+    hops.unpersist(blocking=False)
+    return result, after

@@ -44,6 +44,24 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
 
+def _old_weights(adjacency: Adjacency, keys: DataFrame, n: int) -> DataFrame:
+    """(src, dst, old_w) of the known edges among ``n`` keys; edges are unique, so there are no more than keys."""
+    old = adjacency.on_keys(keys.select("src", "dst"), n).select("src", "dst", F.col("weight").alias("old_w"))
+    return F.broadcast(old) if n <= adjacency.broadcast_rows else old
+
+
+def batch_changes(adjacency: Adjacency, updates: DataFrame, insert: bool) -> tuple[DataFrame, int]:
+    """The edges that a batch of updates changes, ``(src, dst, old_w, new_w)``, and their number.
+
+    ``insert``: unknown edges are new ones, else they are ignored.
+    """
+    latest = latest_updates(updates).select("src", "dst", F.col("weight").alias("new_w"))
+    latest, n = write_frontier(latest, "updates")
+    joined = latest.join(_old_weights(adjacency, latest, n), ["src", "dst"], "left" if insert else "inner")
+    delta = joined.where(~F.col("old_w").eqNullSafe(F.col("new_w"))).select("src", "dst", "old_w", "new_w")
+    return write_frontier(delta, "delta")
+
+
 @dataclass
 class Change:
     """What a batch did: changed edges, and vertices whose distance moved ``(v, d_old, d_new)``, with their numbers."""
@@ -132,21 +150,12 @@ class LiveDistances:
         return self._apply(updates, insert=True)
 
     def _apply(self, updates: DataFrame, insert: bool) -> Change:
-        latest = latest_updates(updates).select("src", "dst", F.col("weight").alias("new_w"))
-        latest, n = write_frontier(latest, "updates")
-        joined = latest.join(self._old_weights(latest, n), ["src", "dst"], "left" if insert else "inner")
-        delta = joined.where(~F.col("old_w").eqNullSafe(F.col("new_w"))).select("src", "dst", "old_w", "new_w")
-        return self.change(*write_frontier(delta, "delta"))
-
-    def _old_weights(self, keys: DataFrame, n: int) -> DataFrame:
-        """(src, dst, old_w) of the known edges among ``n`` keys; edges are unique, so there are no more than keys."""
-        old = self.adjacency.on_keys(keys.select("src", "dst"), n).select("src", "dst", F.col("weight").alias("old_w"))
-        return self._small(old, n)
+        return self.change(*batch_changes(self.adjacency, updates, insert))
 
     def insert(self, rows: DataFrame) -> Change:
         """Insert edges; parallel ones, and those that are known, collapse to the smallest weight."""
         new, n = write_frontier(prepare_edges(rows).withColumnRenamed("weight", "new_w"), "inserts")
-        joined = new.join(self._old_weights(new, n), ["src", "dst"], "left")
+        joined = new.join(_old_weights(self.adjacency, new, n), ["src", "dst"], "left")
         delta = joined.where("old_w is null or new_w < old_w").select("src", "dst", "old_w", "new_w")
         return self.change(*write_frontier(delta, "delta"))
 
