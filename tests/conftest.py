@@ -13,7 +13,7 @@ UPDATE_SCHEMA = "src bigint, dst bigint, weight double, seq bigint"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = local_session(cores="*", shuffle_partitions=8, app="deltapath-tests")
+    s = local_session(cores="*", shuffle_partitions=4, app="deltapath-tests")
     yield s
 
 
