@@ -3,10 +3,15 @@
 Texts are reduced to ASCII letters (small) and digits and bytes beyond ASCII.
 Hashes of all runs of ``GRAM`` characters are winnowed: of every ``WINDOW``
 neighbours the least is a fingerprint, so a common stretch of ``GRAM + WINDOW
-- 1`` characters always shares one.  An inverted index holds the templates'
-fingerprints with their places; hits of a document on nearby diagonals make a
-candidate, which a banded alignment of the whole template decides: reported
-are the share of the template's characters that match and the span.
+- 1`` characters always shares one.  Of templates of up to ``SHORT``
+characters all runs of ``SHORT_GRAM`` are fingerprints, as one edit leaves them
+no longer run.  An inverted index holds the templates' fingerprints with their
+places; hits of a document on nearby diagonals make a candidate, which a banded
+alignment of the whole template decides: reported are the span and the
+coverage, the matched characters' share of the template or of the span if that
+is longer.  A candidate whose longest common subsequence with the region (by
+bit-parallel steps, a bound for any alignment's matches) is too short is not
+aligned.
 
 Licenses that differ by a word or a version have nearly the same notices.  A
 template's name is given only if its distinguishing words stand in the text
@@ -32,6 +37,7 @@ from .common import RollingHash, Texts, id_text, slices
 from .license_texts import DISTINCT, TEMPLATES
 
 GRAM, WINDOW = 9, 6
+SHORT, SHORT_GRAM = 40, 6
 LEAST_COVERAGE = 0.8
 #: Half width of the band: this and a share of the template's length.
 BAND, BAND_SHARE = 8, 0.08
@@ -72,16 +78,23 @@ def _sliding(x: np.ndarray, n: int, pick) -> np.ndarray:
     return out
 
 
+def grams(chars: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` characters from each place on; ``NONE`` for those with a gap."""
+    at = np.arange(max(0, len(chars) - length + 1))
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    h = np.minimum(RollingHash(chars).of(at, at + length), NONE - np.uint64(1))
+    gap = np.append(0, np.cumsum(chars == 0))
+    h[gap[length:] != gap[:-length]] = NONE
+    return h
+
+
 def fingerprints(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the winnowed fingerprints."""
-    n = len(chars) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n)
-    h = RollingHash(chars).of(at, at + GRAM)
-    h = np.minimum(h, NONE - np.uint64(1))
-    gap = np.append(0, np.cumsum(chars == 0))
-    h[gap[GRAM:] != gap[:-GRAM]] = NONE
+    h = grams(chars, GRAM)
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.int64), h
     least = _sliding(h, WINDOW, np.minimum)
     # A place is chosen if it is the least of some window, that is if it equals the greatest of its windows' minima.
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least])
@@ -89,6 +102,27 @@ def fingerprints(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return chosen, h[chosen]
 
 
+class Pattern:
+    """A template as bit masks: bit i of a character's mask is set if the template's i-th character is this one."""
+
+    def __init__(self, template: np.ndarray) -> None:
+        self.n = len(template)
+        self.masks = [0] * 256
+        for i, c in enumerate(template.tolist()):
+            self.masks[c] |= 1 << i
+
+    def common(self, region: bytes) -> int:
+        """Length of the longest common subsequence with a region, all template characters in one step per character."""
+        full = (1 << self.n) - 1
+        rest = full
+        for c in region:
+            mask = self.masks[c]
+            if mask:
+                hit = rest & mask
+                rest = (rest + hit | rest - hit) & full
+        return self.n - rest.bit_count()
+
+
 def align(template: np.ndarray, region: np.ndarray, band: int) -> tuple[int, int, int]:
     """Banded alignment of the whole template within a region whose character ``band + i`` faces the template's i-th.
 
@@ -148,29 +182,37 @@ class LicenseIndex:
         self.family = {k: len(given) + families.index(DISTINCT[given[k]][1]) for k in self.words}
         self.names = given + families
         self.chars: list[np.ndarray] = []
-        entries: dict[int, list[tuple[int, int]]] = {}
+        self.entries: dict[int, list[tuple[int, int]]] = {}
+        self.short: dict[int, list[tuple[int, int]]] = {}
         for k, name in enumerate(given):
             chars, _, first = normal(Texts(pa.array([templates[name]])))
             self.chars.append(chars[GAP:-GAP])
             for place, h in zip(*fingerprints(chars)):
-                entries.setdefault(int(h), []).append((k, int(place) - GAP))
-        self.entries = entries
-        self.keys = np.sort(np.array(list(entries), np.uint64))
+                self.entries.setdefault(int(h), []).append((k, int(place) - GAP))
+            if len(self.chars[k]) <= SHORT:
+                for place, h in enumerate(grams(self.chars[k], SHORT_GRAM)):
+                    self.short.setdefault(int(h), []).append((k, place))
+        self.patterns = [Pattern(c) for c in self.chars]
+        self.keys = np.sort(np.array(list(self.entries), np.uint64))
+        self.short_keys = np.sort(np.array(list(self.short), np.uint64))
 
     def scan(self, t: Texts) -> list[list[tuple[int, int, int, float]]]:
         """(start, end, template, coverage) in bytes of each text, without overlaps, in order."""
         out: list[list[tuple[int, int, int, float]]] = [[] for _ in range(t.n)]
-        if not t.n or not len(self.keys):
+        if not t.n:
             return out
         chars, origin, first = normal(t)
-        place, h = fingerprints(chars)
-        known = self.keys[np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)] == h
-        place, h = place[known], h[known]
-        text = np.searchsorted(first, place, side="right") - 1
         hits: dict[tuple[int, int], list[int]] = {}
-        for i, p, x in zip(text.tolist(), place.tolist(), h.tolist()):
-            for k, at in self.entries[x]:
-                hits.setdefault((i, k), []).append(p - at)
+        runs = grams(chars, SHORT_GRAM)
+        for (place, h), keys, entries in ((fingerprints(chars), self.keys, self.entries), ((np.arange(len(runs)), runs), self.short_keys, self.short)):
+            if not len(keys):
+                continue
+            known = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+            place, h = place[known], h[known]
+            text = np.searchsorted(first, place, side="right") - 1
+            for i, p, x in zip(text.tolist(), place.tolist(), h.tolist()):
+                for k, at in entries[x]:
+                    hits.setdefault((i, k), []).append(p - at)
         found: dict[int, list[tuple[float, int, int, int, float]]] = {}
         for (i, k), diagonals in hits.items():
             begin = int(first[i])
@@ -178,7 +220,7 @@ class LicenseIndex:
             for matched, a, z in self._matches(chars, begin, end, k, sorted(set(diagonals))):
                 start = int(origin[a] - t.offs[i])
                 stop = int(origin[z - 1] - t.offs[i]) + 1
-                share = matched / len(self.chars[k])
+                share = matched / max(len(self.chars[k]), z - a)
                 if self._has_words(k, t.buf[t.offs[i] + start : min(t.offs[i] + stop + 4, t.offs[i + 1])].tobytes(), stop - start):
                     found.setdefault(i, []).append((matched, start, stop, k, share))
                 else:
@@ -208,10 +250,12 @@ class LicenseIndex:
                     at += 1
                 continue
             low = max(begin, d - band)
-            region = np.concatenate([np.zeros(low - (d - band), np.uint8), chars[low : min(end, d + n + band)]])
-            matched, a, z = align(template, region, band)
-            if matched >= LEAST_COVERAGE * n:
-                yield matched, d - band + a, d - band + z
+            own = chars[low : min(end, d + n + band)]
+            if self.patterns[k].common(own.tobytes()) >= LEAST_COVERAGE * n:
+                region = np.concatenate([np.zeros(low - (d - band), np.uint8), own])
+                matched, a, z = align(template, region, band)
+                if matched >= LEAST_COVERAGE * max(n, z - a):
+                    yield matched, d - band + a, d - band + z
             while at < len(diagonals) and diagonals[at] <= d + band:  # the band has covered these
                 at += 1
 
