@@ -152,3 +152,52 @@ def test_license_rows_of_odd_texts(spark, odd, none):
     assert len(rows) == len(odd_rows())
     assert [r.licenses for r in rows if r.doc_id == 11] == ["cc-by-nc-4.0-notice"] * 2
     assert licenses.scan_documents(none).collect() == []
+
+
+def common_subsequence(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            here = row[j + 1]
+            row[j + 1] = before + 1 if x == y else max(row[j + 1], row[j])
+            before = here
+    return row[-1]
+
+
+def test_bit_parallel_common_subsequence():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randint(1, 90))) for _ in range(2))
+        pattern = licenses.Pattern(licenses.normal(Texts(pa.array([a])))[0][licenses.GAP : -licenses.GAP])
+        assert pattern.common(b.encode()) == common_subsequence(a, b)
+
+
+def test_candidates_that_are_not_aligned_have_no_match(docs, monkeypatch):
+    texts = [r.text or "" for r in docs.select("text").collect()]
+    given = sorted(TEMPLATES)
+    r = random.Random(2)
+    for _ in range(40):  # edited notices
+        words = TEMPLATES[r.choice(given)].split()
+        for _ in range(r.randint(0, len(words) // 4 + 1)):
+            words[r.randrange(len(words))] = r.choice(["other", "", "foreign words", "x"])
+        texts.append("Before it. " + " ".join(words) + " Behind it.")
+    t = Texts(pa.array(texts))
+    index = licenses.LicenseIndex(TEMPLATES)
+    fast = index.scan(t)
+    monkeypatch.setattr(licenses.Pattern, "common", lambda self, region: self.n)
+    assert index.scan(t) == fast and sum(map(bool, fast)) > 20
+
+
+def names_and_coverage(text):
+    index = licenses.LicenseIndex(TEMPLATES)
+    return [(index.names[k], share) for _, _, k, share in index.scan(Texts(pa.array([text])))[0]]
+
+
+def test_edited_short_notice_and_foreign_words():
+    assert [round(share, 2) for _, share in names_and_coverage("All right reserved.")] == [0.94]
+    notice = max(TEMPLATES.values(), key=len)
+    assert names_and_coverage(notice)[0][1] == 1.0
+    # A foreign word behind each second one: the span holds far more than the template.
+    mixed = " ".join(w + (" intermezzo" if i % 2 else "") for i, w in enumerate(notice.split()))
+    assert all(share < 1.0 for _, share in names_and_coverage(mixed))
