@@ -5,7 +5,7 @@ Each row's leaf is a sha256 of its columns.  The leaves of a language, by
 node above (the last run may be shorter); the languages' roots, in order, are
 the bottom of a tree of their own.
 
-The leaves are dealt into blocks of ``FAN ** LEVELS`` consecutive ones, which
+The leaves are dealt into blocks of ``FAN ** levels`` consecutive ones, which
 are whole subtrees.  A task appends the leaves of a block one by one: a leaf
 opens with an empty witness, and whenever a run around it is complete, its
 witness grows by the run's other nodes.  The roots of the blocks are appended
@@ -34,8 +34,8 @@ from ..plans.lineage import write_frontier
 from .common import slices, written
 
 FAN = 8
+#: Levels of a block: 4,096 leaves.
 LEVELS = 4
-BLOCK = FAN**LEVELS
 #: Witness tables up to so many rows (of about 2 KB) are broadcast.
 BROADCAST_ROWS = 20_000
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -45,10 +45,10 @@ def _hash(hexes: str) -> str:
     return sha256(hexes.encode()).hexdigest()
 
 
-def levels_over(n: int) -> int:
-    """Levels of a block's subtree among ``n`` nodes: all of ``LEVELS`` unless the nodes are a single block."""
+def levels_over(n: int, levels: int) -> int:
+    """Levels of a block's subtree among ``n`` nodes: all of ``levels`` unless the nodes are a single block."""
     level = 0
-    while level < LEVELS and FAN**level < n:
+    while level < levels and FAN**level < n:
         level += 1
     return level
 
@@ -116,7 +116,7 @@ def siblings(witness: bytes) -> str:
     return "".join(out)
 
 
-def append_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def append_rows(batches: Iterable[pa.RecordBatch], levels: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, pos, n, node, ...) in order of key and pos, blocks whole: the same with the block's ``top`` and the ``witness`` in it."""
     block, parts, tree = None, [], Appender(0)
 
@@ -130,12 +130,12 @@ def append_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, pos, n = batch.column("key").to_pylist(), batch.column("pos").to_pylist(), batch.column("n").to_pylist()
         nodes = batch.column("node").to_pylist()
-        owners = [(k, p // BLOCK) for k, p in zip(keys, pos)]
+        owners = [(k, p // FAN**levels) for k, p in zip(keys, pos)]
         cuts = [i for i in range(batch.num_rows) if not i or owners[i] != owners[i - 1]] + [batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             if owners[a] != block:
                 yield from done()
-                block, parts, tree = owners[a], [], Appender(levels_over(n[a]))
+                block, parts, tree = owners[a], [], Appender(levels_over(n[a], levels))
             parts.append(batch.slice(a, b - a))
             for node in nodes[a:b]:
                 tree.append(node)
@@ -163,21 +163,21 @@ def numbered(rows: DataFrame, *order: str) -> tuple[DataFrame, int]:
     return out.select(*rows.columns, (F.col("at") - F.col("first") + F.col("base")).alias("pos"), "n"), most
 
 
-def grown(nodes: DataFrame, most: int) -> list[tuple[DataFrame, int]]:
+def grown(nodes: DataFrame, most: int, levels: int) -> list[tuple[DataFrame, int]]:
     """Tables (key, pos, n, node, ..., witness, top) with their row counts: of the nodes, of their blocks' roots, of these blocks' roots ..."""
-    out = []
+    out, block = [], FAN**levels
     while True:
-        dealt = nodes.repartition("key", F.expr(f"pos div {BLOCK}")).sortWithinPartitions("key", "pos")
+        dealt = nodes.repartition("key", F.expr(f"pos div {block}")).sortWithinPartitions("key", "pos")
         schema = nodes.schema.simpleString()[len("struct<") : -1].replace(":", " ")
-        out.append(write_frontier(dealt.mapInArrow(append_rows, f"{schema.replace(',', ', ')}, witness binary, top binary"), "witness"))
-        if most <= BLOCK:
+        out.append(write_frontier(dealt.mapInArrow(lambda b: append_rows(b, levels), f"{schema.replace(',', ', ')}, witness binary, top binary"), "witness"))
+        if most <= block:
             return out
-        most = -(-most // BLOCK)
-        tops = out[-1][0].where(f"pos % {BLOCK} = 0")
-        nodes = tops.select("key", F.expr(f"pos div {BLOCK}").alias("pos"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("n"), F.col("top").alias("node"))
+        most = -(-most // block)
+        tops = out[-1][0].where(f"pos % {block} = 0")
+        nodes = tops.select("key", F.expr(f"pos div {block}").alias("pos"), F.expr(f"(n + {block - 1}) div {block}").alias("n"), F.col("top").alias("node"))
 
 
-def joined(tables: list[tuple[DataFrame, int]], tail: DataFrame, n_tail: int) -> DataFrame:
+def joined(tables: list[tuple[DataFrame, int]], tail: DataFrame, n_tail: int, levels: int) -> DataFrame:
     """The first of the tables with whole witnesses; ``tail``: (key, rest, ...) goes on above the last one."""
     extra = [c for c in tail.columns if c not in ("key", "rest")]
     whole = F.concat("witness", "rest").alias("witness")
@@ -185,7 +185,7 @@ def joined(tables: list[tuple[DataFrame, int]], tail: DataFrame, n_tail: int) ->
     out = table.drop("top").join(_bounded(tail, n_tail), "key").withColumn("witness", whole).drop("rest")
     for (table, _), (_, n_above) in zip(reversed(tables[:-1]), reversed(tables[1:])):
         above = out.select("key", F.col("pos").alias("above"), F.col("witness").alias("rest"), *extra)
-        below = table.drop("top").withColumn("above", F.expr(f"pos div {BLOCK}"))
+        below = table.drop("top").withColumn("above", F.expr(f"pos div {FAN**levels}"))
         out = below.join(_bounded(above, n_above), ["key", "above"]).withColumn("witness", whole).drop("above", "rest")
     return out
 
@@ -199,7 +199,7 @@ def leaf(fields: dict[str, Column]) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def manifest(docs: DataFrame, **carried: Column) -> DataFrame:
+def manifest(docs: DataFrame, levels: int = LEVELS, **carried: Column) -> DataFrame:
     """(doc_id, lang, pos, leaf, witness, subroot, root), a row per row of ``docs``; hashes are bytes.
 
     ``pos``: place among the leaves of the language.  ``carried``: further
@@ -209,14 +209,14 @@ def manifest(docs: DataFrame, **carried: Column) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("l"), docs["lang"].cast("string")), F.lit(""))
     own = F.unhex(leaf({c: docs[c] for c in FIELDS}))
     rows = docs.select(key.alias("key"), docs["doc_id"].cast("long").alias("doc_id"), own.alias("node"), *[c.alias(name) for name, c in carried.items()])
-    tables = grown(*numbered(written(rows, "leaves"), "doc_id", "node"))
+    tables = grown(*numbered(written(rows, "leaves"), "doc_id", "node"), levels)
     roots = tables[-1][0].where("pos = 0").select(F.lit("").alias("key"), F.col("key").alias("member"), F.col("top").alias("node"))
-    upper = grown(*numbered(written(roots, "roots"), "member"))
+    upper = grown(*numbered(written(roots, "roots"), "member"), levels)
     top = upper[-1][0].where("pos = 0").select("key", F.col("top").alias("root"), F.unhex(F.lit("")).alias("rest"))
-    above = joined(upper, top, 1).select(F.col("member").alias("key"), F.col("witness").alias("rest"), F.col("node").alias("subroot"), "root")
+    above = joined(upper, top, 1, levels).select(F.col("member").alias("key"), F.col("witness").alias("rest"), F.col("node").alias("subroot"), "root")
     above, n_above = write_frontier(above, "subroots")
     lang = F.when(F.col("key") != "", F.substring("key", 2, 1 << 30)).alias("lang")
-    return joined(tables, above, n_above).select("doc_id", lang, "pos", F.col("node").alias("leaf"), "witness", "subroot", "root", *carried)
+    return joined(tables, above, n_above, levels).select("doc_id", lang, "pos", F.col("node").alias("leaf"), "witness", "subroot", "root", *carried)
 
 
 DIGESTS = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
@@ -241,7 +241,7 @@ def fold_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verified(docs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The digests of the manifest, and whether each row still folds to the root after tampering.
 
     Tampering writes small letters for A-Z in the text of the rows where 3
@@ -250,5 +250,5 @@ def verified(docs: DataFrame) -> DataFrame:
     hit = F.crc32(docs["doc_id"].cast("long").cast("string").cast("binary")) % 3 == 0
     small = F.translate(docs["text"], "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     seen = F.when(hit, F.unhex(leaf({c: docs[c] for c in FIELDS} | {"text": small})))
-    rows = manifest(docs, seen=seen).withColumn("seen", F.coalesce("seen", "leaf"))
+    rows = manifest(docs, levels, seen=seen).withColumn("seen", F.coalesce("seen", "leaf"))
     return rows.select("doc_id", "leaf", "seen", "witness", "subroot", "root").mapInArrow(fold_rows, DIGESTS)
