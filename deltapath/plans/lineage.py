@@ -86,6 +86,17 @@ class Generations:
         self._held.clear()
 
 
+def write_table(df: DataFrame, name: str, static: bool = False) -> tuple[str, int]:
+    """Write ``df`` as parquet to a new folder of the shared checkpoint folder: its path and row count."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    # The row count is observed on the write itself: no extra job.
+    seen = Observation(name)
+    with static_plan(spark) if static else nullcontext():
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    return path, int(seen.get["rows"])
+
+
 def write_frontier(df: DataFrame, name: str = "frontier", static: bool = False) -> tuple[DataFrame, int]:
     """Write a loop frontier as a parquet table in the shared folder; read it back.
 
@@ -96,11 +107,6 @@ def write_frontier(df: DataFrame, name: str = "frontier", static: bool = False)
     its row count.  ``static``: plan without adaptive execution, for joins that
     must use the known partitioning of a cached table.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    # The row count is observed on the write itself: no extra job.
-    seen = Observation(name)
-    with static_plan(spark) if static else nullcontext():
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    path, rows = write_table(df, name, static)
     # With the schema given, reading needs no job of its own.
-    return spark.read.schema(df.schema).parquet(path), int(seen.get["rows"])
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows

@@ -32,7 +32,7 @@ from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS,
 from ..operators.changes import latest_updates
 from ..operators.graph import prepare_edges, vertices_from_edges
 from ..session import num_partitions
-from .lineage import cut, persist, write_frontier
+from .lineage import cut, persist, write_frontier, write_table
 from .sssp import RunStats, initial_dist, relax
 
 #: Levels of the parent forest that are walked one by one before pointers are jumped.
@@ -40,6 +40,15 @@ WALK_STEPS = 6
 CUT_BATCHES = 8
 
 
+def read_overlay(like: DataFrame, paths: list[str]) -> DataFrame:
+    """Rows (v, d, parent) of written tables; those of vertices alone have no distance.
+
+    One scan of all paths, so the plan (and its generated code) is the same
+    however many tables there are.
+    """
+    return like.sparkSession.read.schema("v bigint, d double, parent bigint").parquet(*paths)
+
+
 def _union(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), tables)
 
@@ -193,29 +202,29 @@ class LiveDistances:
         row = fresh.select("v", F.lit(None).cast("double").alias("d"), F.lit(None).cast("bigint").alias("parent"))
         return persist(self.state.unionByName(row).repartition(self.adjacency.partitions, "v"))
 
-    def _invalid(self, state: DataFrame, delta: DataFrame, n_delta: int, stats: RunStats) -> tuple[DataFrame | None, int]:
-        """The vertices below raised or deleted parent edges -> ``(v)``, and their number."""
+    def _invalid(self, state: DataFrame, delta: DataFrame, n_delta: int, stats: RunStats) -> tuple[list[str], int]:
+        """The vertices below raised or deleted parent edges: paths of tables ``(v)``, and their number."""
         raised = delta.where(F.col("old_w").isNotNull() & (F.col("new_w").isNull() | (F.col("new_w") > F.col("old_w"))))
         hit = raised.select(F.col("src").alias("parent"), F.col("dst").alias("v"))
         tree = state.where(F.col("parent").isNotNull()).select("v", "parent")
-        front, n = write_frontier(tree.join(self._small(hit, n_delta), ["v", "parent"], "left_semi").select("v"), "invalid")
+        path, n = write_table(tree.join(self._small(hit, n_delta), ["v", "parent"], "left_semi").select("v"), "invalid")
         if not n:
-            return None, 0
-        tables, total = [front], n
+            return [], 0
+        paths, total = [path], n
         for step in range(WALK_STEPS):
-            above = self._small(front.select(F.col("v").alias("parent")), n)
+            above = self._small(read_overlay(state, [path]).select(F.col("v").alias("parent")), n)
             kids = tree.join(above, "parent", "left_semi").select("v")
             # A hit vertex may lie below another one.
-            kids = kids.join(self._small(_union(tables), total), "v", "left_anti")
-            front, n = write_frontier(kids, "invalid")
+            kids = kids.join(self._small(read_overlay(state, paths).select("v"), total), "v", "left_anti")
+            path, n = write_table(kids, "invalid")
             stats.extra["walked"] = step + 1
             if not n:
-                return _union(tables), total
-            tables.append(front)
+                return paths, total
+            paths.append(path)
             total += n
-        return self._jump(tree, _union(tables), total, stats)
+        return self._jump(tree, read_overlay(state, paths).select("v"), total, stats)
 
-    def _jump(self, tree: DataFrame, roots: DataFrame, n_roots: int, stats: RunStats) -> tuple[DataFrame, int]:
+    def _jump(self, tree: DataFrame, roots: DataFrame, n_roots: int, stats: RunStats) -> tuple[list[str], int]:
         """Everything below ``roots`` in the forest, by doubling each vertex's pointer to an ancestor."""
         mark = self._small(roots.select("v", F.lit(True).alias("gone")), n_roots)
         open_ = tree.join(mark, "v", "left").select("v", F.col("parent").alias("up"), F.coalesce("gone", F.lit(False)).alias("gone"))
@@ -236,7 +245,8 @@ class LiveDistances:
             settled = nodes.where("gone or up is null")
             nodes, _ = write_frontier(settled.unionByName(moved), "pointers")
         stats.extra["jumps"] = rounds
-        return write_frontier(_union(below), "invalid")
+        path, n = write_table(_union(below), "invalid")
+        return [path], n
 
     def retire(self, after: "LiveDistances") -> None:
         """Release what ``after``, which has been computed, does not share with this object."""
@@ -253,22 +263,20 @@ class LiveDistances:
 class _Relaxation:
     """Phase 2 of a batch: improved rows as an overlay beside the state."""
 
-    def __init__(self, live: LiveDistances, adjacency: Adjacency, state: DataFrame, delta: DataFrame, gone: DataFrame | None, n_gone: int, stats: RunStats) -> None:
+    def __init__(self, live: LiveDistances, adjacency: Adjacency, state: DataFrame, delta: DataFrame, gone: list[str], n_gone: int, stats: RunStats) -> None:
         self.live, self.adjacency, self.state = live, adjacency, state
         self.delta, self.gone, self.n_gone = delta, gone, n_gone
         self.bound = adjacency.broadcast_rows
         self.stats = stats
-        self.improved: list[DataFrame] = []
+        self.improved: list[str] = []
         self.n_improved = 0
 
     def _overlay(self) -> DataFrame | None:
         """(v, o_d, o_parent) of all vertices that differ from the state: invalidated ones without a distance, improved ones with their best."""
-        tables = list(self.improved)
-        if self.n_gone:
-            tables.append(self.gone.select("v", F.lit(None).cast("double").alias("d"), F.lit(None).cast("bigint").alias("parent")))
-        if not tables:
+        if not self.gone and not self.improved:
             return None
-        rows = _union(tables).groupBy("v").agg(F.min("d").alias("o_d"), F.min_by("parent", "d").alias("o_parent"))
+        rows = read_overlay(self.state, [*self.gone, *self.improved])
+        rows = rows.groupBy("v").agg(F.min("d").alias("o_d"), F.min_by("parent", "d").alias("o_parent"))
         return rows.withColumn("over", F.lit(True))
 
     def _now(self) -> DataFrame:
@@ -288,18 +296,19 @@ class _Relaxation:
         joined = self._now().join(best.hint("shuffle_hash"), "v")
         rows = joined.where(F.col("d").isNull() | (F.col("c_d") < F.col("d")))
         rows = rows.where(F.col("v") != F.lit(self.live.source))
-        out, n = write_frontier(rows.select("v", F.col("c_d").alias("d"), F.col("c_parent").alias("parent")), "improved", static=True)
+        path, n = write_table(rows.select("v", F.col("c_d").alias("d"), F.col("c_parent").alias("parent")), "improved", static=True)
         if n:
-            self.improved.append(out)
+            self.improved.append(path)
             self.n_improved += n
-        return out, n
+        return read_overlay(self.state, [path]), n
 
     def _seeds(self) -> DataFrame:
         """Offers into invalidated vertices, and those of lighter or new edges."""
         lighter = F.col("new_w").isNotNull() & (F.col("old_w").isNull() | (F.col("new_w") < F.col("old_w")))
         rows = self.delta.where(lighter).select("src", "dst", F.col("new_w").alias("weight"))
         if self.n_gone:
-            pulled = self.adjacency.into(self.gone.select(F.col("v").alias("dst")), self.n_gone)
+            ends = read_overlay(self.state, self.gone).select(F.col("v").alias("dst"))
+            pulled = self.adjacency.into(ends, self.n_gone)
             rows = rows.unionByName(pulled.select("src", "dst", "weight"))
         rows, n = write_frontier(rows, "offers")
         senders = self._now().where(F.col("d").isNotNull()).select(F.col("v").alias("src"), "d")

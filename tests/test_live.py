@@ -66,8 +66,8 @@ def test_invalidation_of_a_long_chain_takes_logarithmic_rounds(spark):
     live = LiveDistances.build(spark.range(1, n).select((F.col("id") - 1).alias("src"), F.col("id").alias("dst"), F.lit(1.0).alias("weight")), state=chain)
     stats = RunStats()
     delta = spark.createDataFrame([(9, 10, 1.0, 5.0)], DELTA)
-    gone, rows = live._invalid(live.state, delta, 1, stats)
-    assert rows == n - 10 and {r.v for r in gone.collect()} == set(range(10, n))
+    paths, rows = live._invalid(live.state, delta, 1, stats)
+    assert rows == n - 10 and {r.v for r in spark.read.parquet(*paths).collect()} == set(range(10, n))
     assert stats.extra["walked"] == WALK_STEPS and stats.extra["jumps"] <= 14
 
 
