@@ -8,17 +8,24 @@ used: each puts another class of the shingles (by their hash) first, and in a
 class the rarer ones before the more frequent, by counts of hashed buckets
 over all texts.  So a pair has to share rare shingles in several independent
 parts of the sets.  Texts that share a shingle of their first prefix meet in a
-bucket; the sizes and the prefixes under the other orders are compared before
-the sets are.
+bucket; the sizes and the prefixes under all orders are compared before the
+sets are.  Where a set's prefixes have no shingle in common, the filters are
+intersected more sharply: a shingle that the other set lacks weakens one order
+only, so over all orders the prefixes share at least ``ORDERS`` times the
+shorter one's length less the shingles that the two sets may differ in.
 
 Texts with the same set are one node.  In each bucket all nodes are compared
 with ``STARS`` of its nodes (the least under as many hashes).  Links make
-components.  Where a bucket still holds several components, nodes of different
-components are compared block by block inside tasks: first by prefixes, which
-leaves the nodes that still have a possible partner, then these by their sets;
-only links between components leave the task.  Blocks of one component are
-never put against each other.  So no link between components is lost, no pairs
-are written out, and no bucket has a size limit.
+components.  The other nodes of a bucket are dealt into cells of like sizes;
+where a cell holds several components, nodes of different components are
+compared block by block inside tasks: first by prefixes, which leaves the
+nodes that still have a possible partner, then these by their sets; only links
+between components leave the task.  Blocks of one component are never put
+against each other, and a component with a large part of a bucket is compared
+with all its outsiders once, not once per bucket.  So no link between
+components is lost, no pairs are written out but those with a star, and no
+bucket has a size limit.  Sets are read again from the texts, of the nodes
+whose prefixes let them link.
 
 Shingles are 64-bit hashes; sets are told apart by 128-bit digests.  Texts of
 fewer words are one shingle of all of them; texts without words, and null
@@ -30,6 +37,7 @@ component.  Empty tables give empty results, other columns play no part.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -39,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import write_frontier
+from .blocks import GROUP_COLUMNS, bounded, dealt, sides_of
 from .common import RollingHash, Texts, id_text, mix64, slices, word_bounds, written
 from .graph import components
 
@@ -46,12 +55,13 @@ WORDS = 3
 PERCENT = 90
 ORDERS = 3
 STARS = 3
-#: Nodes of a block, and members of a star that are compared by one group.
+#: Nodes of a block.
 GROUP = 256
+#: Members of a star that are compared by one group.
+PART = 64
 SLICE = 1 << 20
-#: The counts that order shingles by: buckets of hashes, in segments that are summed by a row each.
-SKETCH_BITS, SEGMENT_BITS = 20, 14
-BROADCAST_ROWS = 200_000
+#: The counts that order shingles: buckets of hashes (a byte of broadcast each), in segments that are summed on their own.
+SKETCH_BITS, SEGMENT_BITS = 24, 18
 _A, _B = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xD1342543DE82EF95)
 
 
@@ -110,24 +120,35 @@ def prefixes(tokens: np.ndarray, cut: np.ndarray, rarity: np.ndarray) -> list[tu
     return out
 
 
+COUNT_SCHEMA = "segment int, small binary, places binary, large binary"
+
+
 def count_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of all buckets of a partition's shingles, a row per segment."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    """The counts of all buckets of a partition's shingles, a row per segment: a byte each, and those that need more."""
+    # Two bytes are enough: beyond them a partition's count stands still, which only the order of shingles sees.
+    counts, some = np.zeros(1 << SKETCH_BITS, np.uint16), False
     for batch in slices(batches, SLICE):
         tokens, _ = token_sets(Texts(batch.column("text")))
-        counts += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-    if counts.any():
-        parts = counts.reshape(-1, 1 << SEGMENT_BITS)
-        yield pa.record_batch({"segment": pa.array(np.arange(len(parts)), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+        places, n = np.unique((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
+        counts[places] = np.minimum(counts[places] + n, 65_535)
+        some = some or len(places) > 0
+    for segment, part in enumerate(counts.reshape(-1, 1 << SEGMENT_BITS) if some else ()):
+        large = np.flatnonzero(part > 255)
+        small = pa.compress(np.minimum(part, 255).astype(np.uint8).tobytes(), "zstd", asbytes=True)
+        yield pa.record_batch({"segment": pa.array([segment], pa.int32()), "small": [small], "places": [large.astype("<i8").tobytes()], "large": [part[large].astype("<u2").tobytes()]})
 
 
 def sum_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (segment, counts): the class of each bucket's sum, four classes for each power of two."""
+    """The class of each bucket's sum, four classes for each power of two."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for segment, counts in zip(batch.column("segment").to_pylist(), batch.column("counts").to_pylist()):
-            got = np.frombuffer(counts, np.int64)
-            sums[segment] = sums[segment] + got if segment in sums else got
+        for row in batch.to_pylist():
+            part = np.frombuffer(pa.decompress(row["small"], 1 << SEGMENT_BITS, "zstd", asbytes=True), np.uint8).astype(np.int64)
+            part[np.frombuffer(row["places"], "<i8")] = np.frombuffer(row["large"], "<u2")
+            if row["segment"] in sums:
+                sums[row["segment"]] += part
+            else:
+                sums[row["segment"]] = part
     for segment, counts in sums.items():
         classes = np.minimum(4 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
         yield pa.record_batch({"segment": pa.array([segment], pa.int32()), "classes": pa.array([classes.tobytes()], pa.binary())})
@@ -136,26 +157,25 @@ def sum_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def rarities(texts: DataFrame) -> Broadcast:
     """The class of every bucket: ``2**SKETCH_BITS`` bytes, whatever the number of texts."""
     segments = 1 << (SKETCH_BITS - SEGMENT_BITS)
-    parts = texts.mapInArrow(count_rows, "segment int, counts binary").repartition(segments, "segment")
+    parts = texts.mapInArrow(count_rows, COUNT_SCHEMA).repartition(segments, "segment")
     rarity = np.zeros(1 << SKETCH_BITS, np.uint8)
     for row in parts.mapInArrow(sum_rows, "segment int, classes binary").collect():
         rarity[row["segment"] << SEGMENT_BITS : (row["segment"] + 1) << SEGMENT_BITS] = np.frombuffer(row["classes"], np.uint8)
     return texts.sparkSession.sparkContext.broadcast(rarity)
 
 
-SET_SCHEMA = "doc_id long, digest binary, n long, own boolean, p0 array<long>, marks binary, tokens binary"
+#: ``marks``: the prefixes under all orders, 16 bits of each shingle, ascending; ``apart``: whether the prefixes have no shingle in common.
+SET_SCHEMA = "doc_id long, digest binary, n long, own boolean, p0 array<long>, marks binary, apart boolean, tokens binary"
 
 
 def set_rows(batches: Iterable[pa.RecordBatch], rarity: Broadcast, whole: bool) -> Iterator[pa.RecordBatch]:
-    """A row per text: its set's digest and size and, at a set's first place in the partition (``own``), prefixes and (``whole``) shingles.
-
-    ``marks``: the prefixes under the orders behind the first, 32 bits of each shingle, ascending.
-    """
+    """A row per text: its set's digest and size and, at a set's first place in the partition (``own``), prefixes and (``whole``) shingles."""
     seen: set[bytes] = set()
     for batch in slices(batches, SLICE):
         tokens, cut = token_sets(Texts(batch.column("text")))
-        firsts, *others = prefixes(tokens, cut, rarity.value)
-        digest, own, p0, marks, sets = [], [], [], [], []
+        orders = prefixes(tokens, cut, rarity.value)
+        to = orders[0][1]
+        digest, own, p0, marks, apart, sets = [], [], [], [], [], []
         for i in range(batch.num_rows):
             mine = tokens[cut[i] : cut[i + 1]].tobytes()
             d = hashlib.blake2b(mine, digest_size=16).digest()
@@ -164,9 +184,10 @@ def set_rows(batches: Iterable[pa.RecordBatch], rarity: Broadcast, whole: bool)
                 seen.add(d)
             digest.append(d)
             own.append(new)
-            part = slice(firsts[1][i], firsts[1][i + 1])
-            p0.append(firsts[0][part].view(np.int64) if new else None)
-            marks.append(b"".join(np.sort((x[part] & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for x, _ in others) if new else None)
+            own_prefixes = [x[to[i] : to[i + 1]] for x, _ in orders] if new else []
+            p0.append(np.sort(own_prefixes[0].view(np.int64)) if new else None)
+            marks.append(b"".join(np.sort((x & np.uint64(0xFFFF)).astype("<u2")).tobytes() for x in own_prefixes) if new else None)
+            apart.append(len(np.unique(np.concatenate(own_prefixes))) == ORDERS * len(own_prefixes[0]) if new else None)
             sets.append(mine if new and whole else None)
         yield pa.record_batch(
             {
@@ -176,36 +197,47 @@ def set_rows(batches: Iterable[pa.RecordBatch], rarity: Broadcast, whole: bool)
                 "own": pa.array(own, pa.bool_()),
                 "p0": pa.array(p0, pa.list_(pa.int64())),
                 "marks": pa.array(marks, pa.binary()),
+                "apart": pa.array(apart, pa.bool_()),
                 "tokens": pa.array(sets, pa.binary()),
             }
         )
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Entries that two ascending arrays of distinct numbers share."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not len(b):
+    """Entries of ``b`` that ``a`` holds; both ascend."""
+    if not len(a) or not len(b):
         return 0
     return int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
 
 
+def least_common(n_a, n_b, prefix, apart):
+    """The fewest entries that the prefixes of two sets share over all orders if the sets link; ``prefix``: the shorter length."""
+    differ = n_a + n_b - 2 * -(-PERCENT * (n_a + n_b) // (100 + PERCENT))
+    return np.maximum(np.where(apart, ORDERS * prefix - differ, 0), ORDERS)
+
+
 class Node:
     """A set with its prefixes."""
 
-    __slots__ = ("node", "n", "component", "first", "marks", "tokens")
+    __slots__ = ("node", "n", "component", "smaller", "marks", "apart", "tokens", "upper")
 
     def __init__(self, row: dict) -> None:
         self.node, self.n, self.component = row["node"], row["n"], row["component"]
-        self.first = np.sort(np.array(row["p0"], np.int64))
-        self.marks = np.frombuffer(row["marks"], "<u4").reshape(ORDERS - 1, -1)
+        #: Shingles of the first prefix that are less than the bucket's.
+        self.smaller = np.array(row.get("smaller") or [], np.int64)
+        self.upper = row.get("upper")
+        self.marks = np.frombuffer(row["marks"], "<u2").reshape(ORDERS, -1)
+        self.apart = row["apart"]
         self.tokens = np.frombuffer(row["tokens"], np.uint64) if row["tokens"] is not None else None
 
     def may_link(self, other: Node) -> bool:
         """The filters of size and of all orders."""
         if 100 * min(self.n, other.n) < PERCENT * max(self.n, other.n):
             return False
-        return shared(self.first, other.first) > 0 and all(shared(a, b) > 0 for a, b in zip(self.marks, other.marks))
+        # 16 bits of different shingles may be the same, which can only let a pair through.
+        both = [shared(a, b) for a, b in zip(self.marks, other.marks)]
+        prefix = min(self.marks.shape[1], other.marks.shape[1])
+        return min(both) > 0 and sum(both) >= least_common(self.n, other.n, prefix, self.apart and other.apart)
 
     def links(self, other: Node) -> bool:
         return linked(shared(self.tokens, other.tokens), self.n, other.n)
@@ -219,7 +251,7 @@ def _link_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def star_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (star, part, node, component, n, p0, marks, tokens), a star's own row in front of each part: its links."""
+    """Rows (star, part, node, component, n, marks, apart, tokens), a star's own row in front of each part: its links, without sets its possible ones."""
     star = None
     for batch in slices(batches, SLICE, 256):
         out = []
@@ -227,7 +259,7 @@ def star_links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = Node(row)
             if node.node == row["star"]:
                 star = node
-            elif star is not None and star.node == row["star"] and star.may_link(node) and star.links(node):
+            elif star is not None and star.node == row["star"] and star.may_link(node) and (star.tokens is None or star.links(node)):
                 out.append((node.node, star.node))
         yield _link_batch(out)
 
@@ -244,20 +276,54 @@ class Joined:
         return c
 
 
+def counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many entries of each left array each right one holds."""
+    own = np.concatenate([np.unique(np.concatenate(left)), np.unique(np.concatenate(right))])
+    both, times = np.unique(own, return_counts=True)
+    both = both[times > 1]
+    sides = []
+    for arrays in (left, right):
+        flat = np.concatenate(arrays)
+        row = np.repeat(np.arange(len(arrays)), [len(a) for a in arrays])
+        at = np.minimum(np.searchsorted(both, flat), max(len(both) - 1, 0))
+        hit = both[at] == flat if len(both) else np.zeros(len(flat), bool)
+        matrix = np.zeros((len(arrays), len(both)), np.float32)
+        np.add.at(matrix, (row[hit], at[hit]), 1)
+        sides.append(matrix)
+    return sides[0] @ np.minimum(sides[1], 1).T
+
+
 def group_pairs(rows: list[tuple[bool, Node]], same: bool) -> Iterator[tuple[Node, Node]]:
-    """Pairs of different components that pass the filters: of the left and the right rows, or (``same``) of the left ones."""
+    """Pairs of different components that pass the filters: of the left and the right rows, or (``same``) of the left ones.
+
+    A pair meets in each bucket whose shingle both first prefixes hold; it
+    counts in the one of the least of them, and in the cell of its greater size.
+    """
     left = [x for side, x in rows if side]
     right = left if same else [x for side, x in rows if not side]
     if not left or not right:
         return
-    component, size = np.array([x.component for x in right]), np.array([x.n for x in right])
-    for i, a in enumerate(left):
-        may = (component != a.component) & (100 * np.minimum(size, a.n) >= PERCENT * np.maximum(size, a.n))
-        if same:
-            may[: i + 1] = False
-        for j in np.flatnonzero(may).tolist():
-            if a.may_link(right[j]):
-                yield a, right[j]
+
+    def columns(name: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.array([getattr(x, name) for x in left])[:, None], np.array([getattr(x, name) for x in right])
+
+    (own, its), (n, m), (up, upper), (apart, separate) = map(columns, ("component", "n", "upper", "apart"))
+    may = (own != its) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (up | upper)
+    if same:
+        may &= np.tri(len(left), dtype=bool).T & ~np.eye(len(left), dtype=bool)
+    if may.any():
+        may &= counts([x.smaller for x in left], [x.smaller for x in right]) == 0
+    both = np.zeros(may.shape)
+    for j in range(ORDERS):
+        if may.any():
+            shares = counts([x.marks[j] for x in left], [x.marks[j] for x in right])
+            may &= shares > 0
+            both += shares
+    if may.any():
+        p, q = (np.array([x.marks.shape[1] for x in side]) for side in (left, right))
+        may &= both >= least_common(n, m, np.minimum(p[:, None], q), apart & separate)
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may))):
+        yield left[i], right[j]
 
 
 def grouped(batches: Iterable[pa.RecordBatch], group: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple[bool, Node]]]]:
@@ -274,23 +340,22 @@ def grouped(batches: Iterable[pa.RecordBatch], group: tuple[str, ...]) -> Iterat
         yield at, rows
 
 
-GROUP_COLUMNS = ("token", "a", "i", "b", "j")
 
 
 def possible_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of blocks: the nodes that have a partner of another component which passes the filters."""
     for key, rows in grouped(batches, GROUP_COLUMNS):
         some: set[int] = set()
-        for a, b in group_pairs(rows, key[1:3] == key[3:]):
+        for a, b in group_pairs(rows, key[1] and key[2] == key[3]):
             some |= {a.node, b.node}
-        yield pa.record_batch({"token": pa.array([key[0]] * len(some), pa.int64()), "node": pa.array(sorted(some), pa.int64())})
+        yield pa.record_batch({"token": pa.array([key[0]] * len(some), pa.int64()), "inside": pa.array([key[1]] * len(some), pa.bool_()), "node": pa.array(sorted(some), pa.int64())})
 
 
 def joining_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of blocks: links that join components."""
     for key, rows in grouped(batches, GROUP_COLUMNS):
         joined, out = Joined(), []
-        for a, b in group_pairs(rows, key[1:3] == key[3:]):
+        for a, b in group_pairs(rows, key[1] and key[2] == key[3]):
             u, v = joined.root(a.component), joined.root(b.component)
             if u != v and a.links(b):
                 joined.lead[u] = v
@@ -298,45 +363,44 @@ def joining_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _link_batch(out)
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (u, v) among pairs (node, star).  A star's members are dealt into parts, each with the star's row in front."""
-    parts = pairs.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("n_parts"))
+    parts = pairs.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("n_parts"))
     parts, n = write_frontier(parts, "parts")
     heads = parts.select("star", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.col("star").alias("node"))
-    members = pairs.join(_bounded(parts, n), "star").select("star", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int").alias("part"), "node")
-    rows = heads.unionByName(members).join(sets, "node").withColumn("component", F.col("node"))
+    members = pairs.join(bounded(parts, n), "star").select("star", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int").alias("part"), "node")
+    rows = heads.unionByName(members).join(sets.drop("p0"), "node").withColumn("component", F.col("node"))
     dealt = rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("node") != F.col("star"))
     return dealt.mapInArrow(star_links, LINK_SCHEMA)
 
 
-def _block_groups(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of the block pairs that hold nodes of different components; ``rest``: (token, node, component).
+def _block_groups(sides: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of all pairs of blocks with their sets, group by group."""
+    smaller = F.when(F.col("inside"), F.filter("p0", lambda x: x < F.col("base"))).alias("smaller")
+    rows = dealt(sides, GROUP).join(sets, "node")
+    rows = rows.select(*GROUP_COLUMNS, "left", "node", "component", "upper", "n", smaller, "marks", "apart", "tokens")
+    return rows.repartition(*GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
+
 
-    Within a bucket, a component of over ``GROUP`` nodes has blocks of its
-    own, the others share blocks (``kind`` -1).
+def _cells(members: DataFrame) -> DataFrame:
+    """(token, node, base, upper, bytes): the nodes of each bucket (``base``) behind its stars, in the cells of their size; ``token`` is the cell's key.
+
+    Sizes of a possible pair differ by less than a class of a factor of
+    ``100 / PERCENT``, so the pair meets in the cell of its greater class,
+    where one of the two is an ``upper`` one.
     """
-    rest = written(rest, "rest")
-    sizes = rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.withColumn("kind", F.when(F.col("c") > GROUP, F.col("component")).otherwise(F.lit(-1)))
-    sizes, n_sizes = write_frontier(sizes, "sizes")
-    kinds, n_kinds = write_frontier(sizes.groupBy("token", "kind").agg(F.ceil(F.sum("c") / GROUP).cast("int").alias("blocks")), "kinds")
-    placed = rest.join(_bounded(sizes.drop("c"), n_sizes), ["token", "component"]).join(_bounded(kinds, n_kinds), ["token", "kind"])
-    placed = placed.select("token", "kind", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node", "component").join(sets, "node")
-    a = kinds.select("token", F.col("kind").alias("a"), F.col("blocks").alias("n_a"))
-    b = kinds.select("token", F.col("kind").alias("b"), F.col("blocks").alias("n_b"))
-    kinds2 = a.join(b, "token").where("a < b or (a = -1 and b = -1)")
-    pairs = kinds2.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)))
-    pairs = pairs.withColumn("j", F.explode(F.sequence(F.when(F.col("b") == -1, F.col("i")).otherwise(F.lit(0)), F.col("n_b") - 1)))
-    pairs = pairs.select(*GROUP_COLUMNS)
-    left = placed.join(pairs.withColumns({"kind": F.col("a"), "block": F.col("i"), "left": F.lit(True)}), ["token", "kind", "block"])
-    others = pairs.where("not (a = b and i = j)")
-    right = placed.join(others.withColumns({"kind": F.col("b"), "block": F.col("j"), "left": F.lit(False)}), ["token", "kind", "block"])
-    dealt = left.unionByName(right).repartition(*GROUP_COLUMNS)
-    return dealt.sortWithinPartitions(*GROUP_COLUMNS)
+    others = members.where(~F.array_contains(F.transform("stars", lambda x: x["node"]), F.col("node")))
+    size_class = F.floor(F.log("n") / (math.log(100 / PERCENT) * 1.000001))  # a little wider, for rounding
+    cells = others.select("token", "node", (8 * F.col("n")).alias("bytes"), F.posexplode(F.array(size_class, size_class + 1)).alias("behind", "cell"))
+    return cells.select(F.xxhash64("token", "cell").alias("token"), "node", F.col("token").alias("base"), (F.col("behind") == 0).alias("upper"), "bytes")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Rows of the cells that hold several components."""
+    some = F.min("component") != F.max("component")
+    mixed = rows.groupBy("token").agg((some & F.bool_or("upper")).alias("x")).where("x").select("token")
+    mixed, n_mixed = write_frontier(mixed, "mixed")
+    return rows.join(bounded(mixed, n_mixed), "token", "left_semi")
 
 
 def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -345,39 +409,53 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rarity = rarities(texts.select("text"))
     rows = texts.mapInArrow(lambda b: set_rows(b, rarity, False), SET_SCHEMA).drop("tokens")
     rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "prefixes")
-    nodes, _ = write_frontier(rows.where("own").groupBy("digest").agg(F.min("at").alias("node")), "sets")
-    reps = rows.where("own").join(nodes.select(F.col("node").alias("at")), "at", "left_semi").select(F.col("at").alias("node"), "n", "p0", "marks")
-    reps = written(reps, "nodes")
-    entries = reps.select(F.explode("p0").alias("token"), "node", "n")
-    star = [F.struct(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"), F.min_by("n", F.xxhash64("node", F.lit(r))).alias("n")) for r in range(STARS)]
-    buckets = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.array(*star).alias("stars")).where("c > 1").drop("c")
-    buckets, n_buckets = write_frontier(buckets, "buckets")
-    members = written(entries.join(_bounded(buckets, n_buckets), "token"), "members")
+    nodes, _ = write_frontier(rows.where("own").groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("c")), "sets")
+    # Sets that several tasks have met have rows too many.
+    several, n_several = write_frontier(nodes.where("c > 1").select("digest", "node"), "several")
+    signed = rows.where("own").join(bounded(several, n_several), "digest", "left").where("node is null or node = at")
+    signed = signed.select(F.col("at").alias("node"), "n", "p0", "marks", "apart")
+    entries = signed.select(F.explode("p0").alias("token"), "node", "n")
+    buckets = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "buckets")
+    members = written(entries.join(buckets, "token"), "members")
+    stars = [F.struct(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"), F.min_by("n", F.xxhash64("node", F.lit(r))).alias("n")) for r in range(STARS)]
+    stars, n_stars = write_frontier(members.groupBy("token").agg(F.array(*stars).alias("stars")), "stars")
+    members = members.join(bounded(stars, n_stars), "token")
     fits = f"node != star.node and 100 * least(n, star.n) >= {PERCENT} * greatest(n, star.n)"
     pairs = members.select("node", "n", F.explode("stars").alias("star")).where(fits).select("node", F.col("star.node").alias("star")).distinct()
+
+    def with_marks(wanted: DataFrame, n: int) -> DataFrame:
+        return signed.join(bounded(wanted, n), "node", "left_semi").withColumn("tokens", F.lit(None).cast("binary"))
+
+    def with_sets(wanted: DataFrame, n: int) -> DataFrame:
+        """The sets of some nodes, from the texts of the documents that they were first met in."""
+        own = rows.where("own").select(F.col("at").alias("node"), "doc_id", "digest").join(bounded(wanted, n), "node")
+        own = written(own, "wanted")
+        ids = own.select(F.col("doc_id").alias("id")).distinct()
+        some = texts.join(bounded(ids, n), texts["doc_id"].eqNullSafe(F.col("id")), "left_semi")
+        sets = some.mapInArrow(lambda b: set_rows(b, rarity, True), SET_SCHEMA).where("own").drop("doc_id")
+        sets = sets.join(bounded(own.select("digest", "node"), n), "digest").select("node", "n", "p0", "marks", "apart", "tokens")
+        return written(sets, "tokens")  # a set that several such documents have comes several times, which does no harm
+
+    def ends(links: DataFrame, *names: str) -> tuple[DataFrame, int]:
+        return write_frontier(links.select(F.explode(F.array(*names)).alias("node")).distinct(), "ends")
+
     pairs = written(pairs, "pairs")
-    # The sets themselves, of the nodes that are in a bucket.
-    wanted = members.select("node").distinct().join(nodes, "node")
-    wanted, n_wanted = write_frontier(wanted, "wanted")
-    again = texts.mapInArrow(lambda b: set_rows(b, rarity, True), SET_SCHEMA).where("own")
-    sets = again.join(_bounded(wanted, n_wanted), "digest").select("node", "n", "p0", "marks", "tokens")
-    sets = written(sets.dropDuplicates(["node"]), "tokens")
-    links = written(_star_links(pairs, sets), "links")
+    possible = written(_star_links(pairs, with_marks(*ends(pairs, "node", "star"))), "possible")
+    pairs = possible.select(F.col("u").alias("node"), F.col("v").alias("star"))
+    links = written(_star_links(pairs, with_sets(*ends(pairs, "node", "star"))), "links")
     found = written(components(links), "components")
-    labelled = members.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("component", "node").alias("component"))
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-    mixed, n_mixed = write_frontier(mixed, "mixed")
-    if n_mixed:
-        rest = labelled.join(_bounded(mixed, n_mixed), "token", "left_semi")
-        marked = sets.withColumn("tokens", F.lit(None).cast("binary"))
-        possible = _block_groups(rest, marked).mapInArrow(possible_rows, "token long, node long").distinct()
+    labelled = _cells(members).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest, n_rest = write_frontier(sides_of(_mixed(written(labelled, "cells")), GROUP), "mixed-cells")
+    if n_rest:
+        possible = _block_groups(rest, with_marks(*ends(rest, "node"))).mapInArrow(possible_rows, "token long, inside boolean, node long").distinct()
         possible, n_possible = write_frontier(possible, "possible")
         if n_possible:
-            less = rest.join(_bounded(possible, n_possible), ["token", "node"], "left_semi")
-            further, n_further = write_frontier(_block_groups(less, sets).mapInArrow(joining_rows, LINK_SCHEMA), "further")
+            less = rest.join(bounded(possible, n_possible), ["token", "inside", "node"], "left_semi")
+            further = _block_groups(less, with_sets(*ends(possible, "node"))).mapInArrow(joining_rows, LINK_SCHEMA)
+            further, n_further = write_frontier(further, "further")
             if n_further:
                 found = written(components(links.unionByName(further)), "components")
-    return rows.select("doc_id", "digest", "n"), nodes, found
+    return rows.select("doc_id", "digest", "n"), nodes.select("digest", "node"), found
 
 
 def components_of(docs: DataFrame) -> DataFrame:
@@ -389,6 +467,6 @@ def components_of(docs: DataFrame) -> DataFrame:
     per_set = written(per_set, "components")
     names = per_set.groupBy("component").agg(first, F.sum("c").alias("c")).where("c > 1").select("component", F.col("o.b").alias("name"))
     tags, n_tags = write_frontier(per_set.join(names, "component").select(F.col("digest").alias("tag"), "name"), "tags")
-    out = rows.join(_bounded(tags, n_tags), (rows["digest"] == tags["tag"]) & (rows["n"] > 0), "left")
+    out = rows.join(bounded(tags, n_tags), (rows["digest"] == tags["tag"]) & (rows["n"] > 0), "left")
     component = F.when(F.col("tag").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
