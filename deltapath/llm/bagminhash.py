@@ -14,11 +14,12 @@ cost nearly independent of the text's length.
 Signatures are banded.  Texts with the same words are one node.  In each
 bucket of a band all nodes are compared with the bucket's least node by their
 true multiset overlap; links of at least ``SIMILARITY`` make components.  In
-buckets that still hold several components, nodes of different components are
-compared block by block: first by their signatures, then, where these allow
-it, by their bags, inside the task; only links that join components leave it.
-So no link between components is lost, no pairs are written out, and no
-bucket has a size limit.
+buckets that still hold several components, nodes of different components that
+share a band are compared by their bags, block by block inside tasks, the ones
+with the most similar signatures first; only links that join components leave
+the task.  A large component is put against its outsiders only.  So no link
+between components that meet in a band is lost, no pairs are written out, and
+no bucket has a size limit.
 
 Texts of under five words are one shingle of all their words; texts without
 words are classes of their own each.  Null texts count as empty.  Rows with a
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import write_frontier
+from .blocks import GROUP_COLUMNS, dealt, sides_of
 from .common import WS_CLASS, RollingHash, Texts, mix64, slices, word_bounds, written
 from .graph import components
 
@@ -44,11 +46,8 @@ SIMILARITY = 0.8
 BANDS = 20
 ROWS = 4
 SLOTS = BANDS * ROWS
-#: Pairs whose signatures agree less are not verified in the block comparison: over three standard errors below SIMILARITY.
-LEAST_ESTIMATE = 0.64
 #: Members of a star that are verified by one task's group, and nodes of a block.
 GROUP = 256
-BLOCK_BYTES = 4 << 20
 #: Bytes of text that a task works on at once; what it holds is about 60 times that.
 SLICE = 1 << 20
 #: Sets of nodes up to so many are compared as a whole.
@@ -231,8 +230,8 @@ class _Joined:
 def compare_pair(rows: list[tuple], same_block: bool, least: float) -> list[tuple[int, int, float]]:
     """Links between two blocks that join different components; rows: (left, node, component, bands, marks, text).
 
-    Pairs that share a band and may be similar by their signatures are
-    compared by their true bags, unless their components are joined already.
+    All pairs that share a band are compared by their true bags, those with
+    similar signatures first, unless their components are joined already.
     """
     left = [r for r in rows if r[0]]
     right = left if same_block else [r for r in rows if not r[0]]
@@ -248,39 +247,41 @@ def compare_pair(rows: list[tuple], same_block: bool, least: float) -> list[tupl
             sets[r[1]] = _expanded(h, w)
         return sets[r[1]]
 
-    joined, out = _Joined(), []
+    pairs = []
     for i, r in enumerate(left):
-        may = (component != r[2]) & (bands == r[3]).any(axis=1) & ((marks == r[4]).mean(axis=1) >= LEAST_ESTIMATE)
+        may = (component != r[2]) & (bands == r[3]).any(axis=1)
         if same_block:
             may[: i + 1] = False
-        for j in np.flatnonzero(may).tolist():
-            other = right[j]
-            u, v = joined.root(r[2]), joined.root(other[2])
-            if u == v:
-                continue
-            a, b = bag(r), bag(other)
-            if min(len(a), len(b)) < least * max(len(a), len(b)):
-                continue
-            both = _common(a, b)
-            sim = both / (len(a) + len(b) - both)
-            if sim >= least:
-                joined.lead[u] = v
-                out.append((r[1], other[1], sim))
+        pairs += [(-int((marks[j] == r[4]).sum()), i, j) for j in np.flatnonzero(may).tolist()]
+    joined, out = _Joined(), []
+    for _, i, j in sorted(pairs):
+        r, other = left[i], right[j]
+        u, v = joined.root(r[2]), joined.root(other[2])
+        if u == v:
+            continue
+        a, b = bag(r), bag(other)
+        if min(len(a), len(b)) < least * max(len(a), len(b)):
+            continue
+        both = _common(a, b)
+        sim = both / (len(a) + len(b) - both)
+        if sim >= least:
+            joined.lead[u] = v
+            out.append((r[1], other[1], sim))
     return out
 
 
 def compare_blocks(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, i, j, left, node, component, bands, marks, text), block pair by block pair: the links between components."""
+    """Rows (group, left, node, component, bands, marks, text), block pair by block pair: the links between components."""
 
     def linked(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
-        found = compare_pair(rows, key[1] == key[2], least)
+        found = compare_pair(rows, key[1] and key[2] == key[3], least)
         u, v, s = zip(*found) if found else ((), (), ())
         return pa.record_batch({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "similarity": pa.array(s, pa.float64())})
 
     at, rows = None, []
     for batch in slices(batches, SLICE, 256):
         for r in batch.to_pylist():
-            key = (r["key"], r["i"], r["j"])
+            key = tuple(r[c] for c in GROUP_COLUMNS)
             if key != at:
                 if rows:
                     yield linked(at, rows)
@@ -297,7 +298,8 @@ def _block_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, least: fl
     components.  Buckets that share nodes are compared as one set of nodes,
     so that a pair which meets in many bands is compared once; a set of over
     ``LARGE`` nodes is compared bucket by bucket instead.  Either way nodes
-    are dealt into blocks, and each pair of blocks is a group of its own.
+    are dealt into blocks, and each pair of blocks is a group of its own; a
+    component with over ``GROUP`` nodes is compared with its outsiders only.
     """
     rest = written(rest, "rest")
     least_node = rest.groupBy("band", "h").agg(F.min("node").alias("v"))
@@ -305,17 +307,17 @@ def _block_links(rest: DataFrame, signed: DataFrame, texts: DataFrame, least: fl
     whole = rest.join(sets.withColumnRenamed("component", "key"), "node").select("band", "h", "key", "node", "component")
     size = whole.select("key", "node").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     keyed = whole.join(size, "key").withColumn("key", F.when(F.col("n") > LARGE, F.xxhash64("band", "h")).otherwise(F.col("key")))
-    rows = keyed.select("key", "node", "component").distinct().join(signed, "node").join(texts, "node")
-    rows = written(rows.select("key", "node", "component", "bands", "marks", "text"), "compared")
-    bytes_ = F.sum(F.octet_length("text") + 500)
-    blocks = rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / GROUP, bytes_ / BLOCK_BYTES)).cast("int").alias("n"))
-    rows = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
-    left = rows.select("*", F.explode(F.sequence(F.col("block"), F.col("n") - 1)).alias("j")).withColumn("i", F.col("block")).withColumn("left", F.lit(True))
-    right = rows.where("block > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i")).withColumn("j", F.col("block")).withColumn("left", F.lit(False))
-    names = ["key", "i", "j", "left", "node", "component", "bands", "marks", "text"]
-    both = left.select(names).unionByName(right.select(names))
-    dealt = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(lambda b: compare_blocks(b, least), "u long, v long, similarity double")
+    # A pair is told from the buckets that it meets in by its bands, so a set of nodes has one row per node.
+    rest = keyed.select(F.col("key").alias("token"), "node", "component").distinct()
+    rest = rest.join(texts.select("node", (F.octet_length("text") + 500).cast("bigint").alias("bytes")), "node")
+    rest = rest.select("token", "node", "component", F.lit(0).cast("bigint").alias("base"), F.lit(True).alias("upper"), "bytes")
+    sides, _ = write_frontier(sides_of(rest, GROUP), "sides")
+    nodes, n_nodes = write_frontier(sides.select("node").distinct(), "ends")
+    own = signed.join(_bounded(nodes, n_nodes), "node", "left_semi").join(texts, "node")
+    rows = dealt(sides, GROUP).drop("base", "upper").join(own, "node")
+    rows = rows.select(*GROUP_COLUMNS, "left", "node", "component", "bands", "marks", "text")
+    groups = rows.repartition(*GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
+    return groups.mapInArrow(lambda b: compare_blocks(b, least), "u long, v long, similarity double")
 
 
 def node_rows(docs: DataFrame, *keep) -> DataFrame:
@@ -365,7 +367,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     found, n_found, links = node_classes(docs, least)
     rows = written(node_rows(docs).select("doc_id", "node"), "nodes")
-    ends = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node")))
+    # A pair that meets in several places counts once.
+    pairs = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node")))
     degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     tag = written(found.join(degree, "node", "left"), "tags")
     tagged = rows.join(_bounded(tag, n_found), "node", "left").withColumn("class", F.coalesce("component", "node"))

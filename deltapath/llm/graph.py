@@ -3,7 +3,8 @@
 Each round points every node at the least node around it; the number of
 rounds grows with the logarithm of a component's diameter.  Minima are
 aggregated before the shuffle, so a node with very many links costs one row
-per task; every round is written, which cuts the lineage.
+per task; its links take the minimum from a broadcast table, as there are few
+such nodes.  Every round is written, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -11,19 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import write_frontier
 from .common import written
 
 
+#: Minima of up to so many nodes are broadcast to the links.
+BROADCAST_ROWS = 200_000
+
+
+def _with_least(rows: DataFrame, own: bool) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (u, v) with ``m``, the least ``v`` of their ``u`` (or ``u`` itself if ``own``), and the table (u, m)."""
+    m = F.least(F.col("u"), F.min("v")) if own else F.min("v")
+    least, n = write_frontier(rows.groupBy("u").agg(m.alias("m"), F.count(F.lit(1)).alias("c")), "least")
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(least.drop("c")), "u"), least
+    # Nodes with more links than this are no more than may be broadcast.
+    floor = max(1000, -(-rows.count() // BROADCAST_ROWS))
+    hot = F.broadcast(least.where(F.col("c") > floor).drop("c"))
+    cold = rows.join(hot.select("u"), "u", "left_anti").join(least.where(F.col("c") <= floor).drop("c"), "u")
+    return rows.join(hot, "u").unionByName(cold), least
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rows, _ = _with_least(both, True)
+    return rows.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    rows, least = _with_least(down, False)
+    moved = rows.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -36,5 +55,6 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or not state[0]:
             break
         before = state
-        links = written(_small_star(_large_star(links).distinct()).distinct(), "links")
+        large = written(_large_star(links).distinct(), "links")
+        links = written(_small_star(large).distinct(), "links")
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

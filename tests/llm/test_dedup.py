@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from llm_rows import SCHEMA, docs, none, odd, odd_rows, prose, texts_of  # noqa: F401
 
-from deltapath.llm import bagminhash, line_dedup, quotient
+from deltapath.llm import bagminhash, graph, line_dedup, quotient
 from deltapath.llm.common import Texts
 from deltapath.llm.graph import components
+from pyspark.sql import functions as F
 
 WS = r"[\x20\x09-\x0D]+"
 
@@ -128,6 +129,44 @@ def test_near_duplicates_in_one_large_group(spark):
     check_near(df, rows)
 
 
+def test_near_duplicates_in_several_blocks(spark, monkeypatch):
+    # Chains whose members miss the star, in small blocks; with and without sets that are too large to be compared as a whole.
+    r = random.Random(12)
+    rows, base = [], [r.choice("abcdefgh") + str(r.randrange(200)) for _ in range(160)]
+    for _ in range(70):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(160)] = f"x{r.randrange(10**6)}"
+        rows.append(" ".join(w))
+    chain = list(base)
+    for _ in range(30):
+        chain = list(chain)
+        chain[r.randrange(160)] = f"y{r.randrange(10**6)}"
+        chain[r.randrange(160)] = f"y{r.randrange(10**6)}"
+        rows.append(" ".join(chain))
+    rows += [" ".join(r.choice("abcdefgh") + str(r.randrange(200)) for _ in range(40)) for _ in range(20)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(bagminhash, "GROUP", 8)
+    want, _ = near_classes(rows)
+    for large in (10**6, 5):
+        monkeypatch.setattr(bagminhash, "LARGE", large)
+        assert Counter((x.doc_id, x.class_id, x.class_size) for x in bagminhash.near_duplicates(df).collect()) == want
+
+
+def test_components_around_a_star(spark, monkeypatch):
+    # One node has a third of all links; minima beyond the broadcast bound go by the split of hot nodes.
+    n = 6000
+    star = spark.range(1, n // 2).select(F.lit(5).cast("bigint").alias("u"), (F.col("id") + 10).alias("v"))
+    pairs = spark.range(0, n).select((F.col("id") * 2 + 100_000).alias("u"), (F.col("id") * 2 + 100_001).alias("v"))
+    for bound in (200_000, 10):
+        monkeypatch.setattr(graph, "BROADCAST_ROWS", bound)
+        got = {r.node: r.component for r in components(star.unionByName(pairs)).collect()}
+        assert all(got[v] == 5 for v in [5, *range(11, n // 2 + 10)])
+        assert all(got[100_000 + 2 * i] == got[100_001 + 2 * i] == 100_000 + 2 * i for i in range(n))
+
+
 def test_signatures_estimate_weighted_similarity():
     r = random.Random(4)
     base = [str(r.randrange(300)) for _ in range(500)] + ["x"] * 100
