@@ -97,12 +97,12 @@ def test_a_batch_writes_by_its_own_size_and_files_stay_bounded(spark, tmp_path,
     assert written < base / 10
     monkeypatch.setattr("deltapath.streaming.store.COMPACT_DELTAS", 1)
     monkeypatch.setattr("deltapath.streaming.store.KEEP_VERSIONS", 1)
-    for k in range(2, 6):
+    for k in range(2, 4):
         m(updates([(0, 10 + k, 9, k)]), k)
         assert len(folder.names("edges")) <= 3 and len(folder.names("dist")) <= 3 and len(folder.names("versions")) == 1
     version, e, dist = DistanceMaintainer(state, m.checkpoint).latest(spark)
     got = as_dict(dist)
-    assert version == 6 and [got[10 + k] for k in range(6)] == [9.0] * 6 and got[5000] == 1.0 and got[30_001] == 2.0
+    assert version == 4 and [got[10 + k] for k in range(4)] == [9.0] * 4 and got[5000] == 1.0 and got[30_001] == 2.0
     assert e.count() == 2 * 5999 + 2
 
 
