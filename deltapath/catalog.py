@@ -136,9 +136,9 @@ def min_message(spark, sf_dir):
     return M.min_message(M.memo_table(edges, dist), SOURCE)
 
 
-def _one_step(spark, sf_dir, late: bool = False) -> dict:
-    """One memo step: fixpoint before the updates (``late``: the late batch), new edges (upserted), changed messages."""
-    edges, upd = _ev(spark, sf_dir, late=late)
+def _one_step(spark, sf_dir) -> dict:
+    """One memo step: fixpoint before the updates, new edges (upserted), changed messages."""
+    edges, upd = _ev(spark, sf_dir)
     old = cut(_dist(S.sssp_state(edges, SOURCE)))
     new_edges = persist(C.upsert_edges(edges, upd))
     state = G.merge_vertices(new_edges, old)
@@ -158,7 +158,7 @@ def merge_memo(spark, sf_dir):
 
 
 def vertex_step(spark, sf_dir):
-    return _one_step(spark, sf_dir, late=True)["stepped"]
+    return _one_step(spark, sf_dir)["stepped"]
 
 
 def merge_state(spark, sf_dir):

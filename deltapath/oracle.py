@@ -147,8 +147,6 @@ def _step_ctes(old: str, new: str, end: str) -> dict[str, tuple[list[str], str]]
 
 
 _EXTRA = {
-    # Of the late batch, which reaches few vertices, and of all updates.
-    **_step_ctes("g_late", "g_late_all", ""),
     **_step_ctes("g_ev", "g_ev_all", "_ev"),
     "disturbed": (
         ["memo_g_late", "memo_g_late_all"],
@@ -217,7 +215,7 @@ SELECT p.k AS src, c.k AS dst, 1.0::DOUBLE AS weight FROM numbered c JOIN number
     ),
     "changed_messages": sql(["chg_ev"], "SELECT dst, src, msg FROM chg_ev"),
     "merge_memo": sql(["merged_ev"], "SELECT dst, src, msg FROM merged_ev"),
-    "vertex_step": sql(["stepped"], "SELECT v, d FROM stepped"),
+    "vertex_step": sql(["stepped_ev"], "SELECT v, d FROM stepped_ev"),
     "merge_state": sql(
         ["st_ev", "stepped_ev"],
         "SELECT a.v, CASE WHEN s.v IS NOT NULL THEN s.d ELSE a.d END AS d FROM st_ev a LEFT JOIN stepped_ev s ON s.v = a.v",
