@@ -60,3 +60,9 @@ def test_vertex_step_of_all_updates(spark, graph):
     if 0 in want:
         want[0] = 0.0
     assert dict(run(spark, graph, "vertex_step")) == want
+
+
+def test_affected_sources_of_all_updates(spark, graph):
+    _, old, _, sources = graph
+    known = {v for e in old for v in e}
+    assert sorted(run(spark, graph, "affected_sources")) == sorted((v,) for v in sources & known)
