@@ -42,10 +42,10 @@ def _t(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)
 
 
-def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True, late: bool = False) -> tuple[DataFrame, DataFrame | None]:
+def _ev(spark: SparkSession, sf_dir: str, with_updates: bool = True) -> tuple[DataFrame, DataFrame | None]:
     """Cached (g_ev, raw update stream); their lineage is a deterministic scan of the tables."""
     t = _t(spark, sf_dir)
-    base, upd = X.g_ev_parts(t, late=late)
+    base, upd = X.g_ev_parts(t)
     edges = persist(base.groupBy("src", "dst").agg(F.min("weight").alias("weight")))
     return edges, (persist(upd) if with_updates else None)
 
@@ -281,18 +281,18 @@ def hop_distances_after_update(spark, sf_dir):
 
 # --- run metrics --------------------------------------------------------------------------
 
-def _late_batch(spark, sf_dir) -> Change:
-    """What the late batch does to the distances."""
-    edges, upd = _ev(spark, sf_dir, late=True)
+def _batch(spark, sf_dir) -> Change:
+    """What the updates do to the distances."""
+    edges, upd = _ev(spark, sf_dir)
     return LiveDistances.build(edges, SOURCE).upsert(upd)
 
 
 def _disturbed(spark, sf_dir) -> DataFrame:
-    return _late_batch(spark, sf_dir).disturbed()
+    return _batch(spark, sf_dir).disturbed()
 
 
 def disturbed_flags(spark, sf_dir):
-    change = _late_batch(spark, sf_dir)
+    change = _batch(spark, sf_dir)
     return I.disturbed_flags(change.after.distances(), change.disturbed())
 
 

@@ -27,8 +27,6 @@ TREE_CUSTOMER_OFFSET = 100000
 TREE_ORDER_OFFSET = 10000000
 # Updates are the transition events above this share of the largest event id.
 UPDATE_CUT_NUM, UPDATE_CUT_DEN = 9, 10
-# A late batch is what lies above this share: few updates on a graph that has nearly all edges.
-LATE_CUT_NUM, LATE_CUT_DEN = 995, 1000
 # Events of one range of the event graph.
 RANGE_ROWS = 500_000
 
@@ -123,15 +121,15 @@ def transitions(t: Tables, partitions: int | None = None) -> DataFrame:
     )
 
 
-def update_cut(t: Tables, num: int = UPDATE_CUT_NUM, den: int = UPDATE_CUT_DEN):
+def update_cut(t: Tables):
     """Scalar subquery: events with an id above this are updates."""
-    return t.events.select(F.expr(f"max(event_id) * {num} div {den}").alias("cut")).scalar()
+    return t.events.select(F.expr(f"max(event_id) * {UPDATE_CUT_NUM} div {UPDATE_CUT_DEN}").alias("cut")).scalar()
 
 
-def g_ev_parts(t: Tables, partitions: int | None = None, late: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(base transitions, update transitions as ``(src, dst, weight, seq)``); ``late``: only the last few are updates."""
+def g_ev_parts(t: Tables, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(base transitions, update transitions as ``(src, dst, weight, seq)``)."""
     tr = transitions(t, partitions)
-    cut = update_cut(t, LATE_CUT_NUM, LATE_CUT_DEN) if late else update_cut(t)
+    cut = update_cut(t)
     base = tr.where(F.col("event_id") <= cut).select("src", "dst", "weight")
     upd = tr.where(F.col("event_id") > cut).select(
         "src", "dst", "weight", F.col("event_id").alias("seq")

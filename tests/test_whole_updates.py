@@ -66,3 +66,23 @@ def test_affected_sources_of_all_updates(spark, graph):
     _, old, _, sources = graph
     known = {v for e in old for v in e}
     assert sorted(run(spark, graph, "affected_sources")) == sorted((v,) for v in sources & known)
+
+
+def disturbed(graph):
+    _, old, new, _ = graph
+    before, now = messages(old, distances(old)), messages(new, distances(new))
+    return {e[0] for e in {*before, *now} if before.get(e) != now.get(e)}
+
+
+def test_disturbed_vertices_of_all_updates(spark, graph):
+    assert sorted(run(spark, graph, "disturbed_vertices")) == sorted((v,) for v in disturbed(graph))
+
+
+def test_disturbed_flags_of_all_updates(spark, graph):
+    _, old, new, _ = graph
+    hit, dist = disturbed(graph), distances(new)
+    assert sorted(run(spark, graph, "disturbed_flags")) == sorted((v, dist.get(v), int(v in hit)) for v in {v for e in new for v in e} | {0})
+
+
+def test_count_of_disturbed_vertices_of_all_updates(spark, graph):
+    assert run(spark, graph, "count_disturbed") == [(len(disturbed(graph)),)]
