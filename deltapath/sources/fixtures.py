@@ -29,6 +29,8 @@ TREE_ORDER_OFFSET = 10000000
 UPDATE_CUT_NUM, UPDATE_CUT_DEN = 9, 10
 # Events of one range of the event graph.
 RANGE_ROWS = 500_000
+# Line items that one task collapses into edges.
+PAIR_ROWS = 1_000_000
 
 
 def _e(src, dst, w) -> list:
@@ -51,11 +53,25 @@ def g_tree(t: Tables) -> DataFrame:
 
 
 def g_ps(t: Tables) -> DataFrame:
+    """Each (part, supplier) pair is collapsed once, and then gives its edge in both directions.
+
+    An edge from a part has an odd source, one from a supplier an even one, so
+    no two rows have the same key.  Beyond ``PAIR_ROWS`` rows per session
+    partition the pairs are dealt into more partitions, so that no task's hash
+    table grows with the input.
+    """
     c = F.col
-    li = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity")
-    forward = li.select(*_e(c("l_partkey") * 2 + 1, c("l_suppkey") * 2, c("l_quantity")))
-    back = li.select(*_e(c("l_suppkey") * 2, c("l_partkey") * 2 + 1, c("l_quantity")))
-    return forward.unionByName(back).groupBy("src", "dst").agg(F.min("weight").alias("weight"))
+    li = t.lineitem.select("l_partkey", "l_suppkey", c("l_quantity").cast("double").alias("weight"))
+    tasks = -(-t.lineitem.count() // PAIR_ROWS)
+    if tasks > num_partitions(li.sparkSession):
+        li = li.repartition(tasks, "l_partkey", "l_suppkey")
+    pairs = li.groupBy("l_partkey", "l_suppkey").agg(F.min("weight").alias("weight"))
+    part, supplier = c("l_partkey") * 2 + 1, c("l_suppkey") * 2
+    ends = lambda src, dst: F.struct(src.cast("bigint").alias("src"), dst.cast("bigint").alias("dst"))
+    there = F.array(ends(part, supplier))
+    # Without either key both directions are the same edge.
+    both = F.when(part.isNull() & supplier.isNull(), there).otherwise(F.array(ends(part, supplier), ends(supplier, part)))
+    return pairs.select(F.explode(both).alias("e"), "weight").select("e.src", "e.dst", "weight")
 
 
 def range_count(events: DataFrame) -> int:
