@@ -229,7 +229,7 @@ def upsert_edges(spark, sf_dir):
 # --- distances --------------------------------------------------------------------------
 
 def sssp(spark, sf_dir):
-    return _dist(S.sssp_state(X.g_ps(_t(spark, sf_dir)), SOURCE))
+    return _dist(S.sssp_state(X.g_ps(_t(spark, sf_dir)), SOURCE, collapse=False))
 
 
 def sssp_tree(spark, sf_dir):
@@ -241,7 +241,7 @@ def sssp_events(spark, sf_dir):
 
 
 def hop_count(spark, sf_dir):
-    return S.hop_count(X.g_ps(_t(spark, sf_dir)), SOURCE)
+    return S.hop_count(X.g_ps(_t(spark, sf_dir)), SOURCE, collapse=False)
 
 
 def sssp_after_update(spark, sf_dir):
@@ -256,7 +256,7 @@ def sssp_after_insert(spark, sf_dir):
 
 
 def hop_distances(spark, sf_dir):
-    return H.hop_distances(X.g_ps(_t(spark, sf_dir)), SOURCE, MAX_HOPS)
+    return H.hop_distances(X.g_ps(_t(spark, sf_dir)), SOURCE, MAX_HOPS, collapse=False)
 
 
 def last_stage_distance(spark, sf_dir):

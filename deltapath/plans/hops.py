@@ -41,17 +41,19 @@ def hop_distances(
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     stats: RunStats | None = None,
     adjacency: Adjacency | None = None,
+    collapse: bool = True,
 ) -> DataFrame:
     """``(v, k, d)`` for k = 1..max_hops: min weight over walks of exactly k edges.
 
     A layout of the edges that is there already (``adjacency``) is used and kept.
+    ``collapse``: False for edges that have no parallel ones.
     """
     spark = edges.sparkSession
     n = num_partitions(spark, partitions)
     stats = stats if stats is not None else RunStats()
     own = adjacency is None
     if adjacency is None:
-        adjacency = Adjacency.build(prepare_edges(edges, validate), "src", "dst", n, broadcast_rows, min_hot_rows)
+        adjacency = Adjacency.build(prepare_edges(edges, validate, collapse), "src", "dst", n, broadcast_rows, min_hot_rows)
     stage = _source_stage(spark, source)
     rows = 1
     stages: list[DataFrame] = []

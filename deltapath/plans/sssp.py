@@ -121,6 +121,17 @@ def relax(
     return dist
 
 
+def sssp_on(
+    adjacency: Adjacency,
+    source: int = 0,
+    checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
+    stats: RunStats | None = None,
+) -> DataFrame:
+    """Full SSSP over edges that are laid out -> ``(v, d, parent)`` for every vertex (and the source)."""
+    dist = cut(initial_dist(vertices_from_edges(adjacency.base), source, adjacency.partitions))
+    return relax(adjacency, dist, checkpoint_interval, stats).select("v", "d", "parent")
+
+
 def sssp_state(
     edges: DataFrame,
     source: int = 0,
@@ -130,16 +141,17 @@ def sssp_state(
     min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
     checkpoint_interval: int = DEFAULT_CHECKPOINT_INTERVAL,
     stats: RunStats | None = None,
+    collapse: bool = True,
 ) -> DataFrame:
-    """Full SSSP -> ``(v, d, parent)`` for every vertex (and the source)."""
-    spark = edges.sparkSession
-    n = num_partitions(spark, partitions)
-    prepared = prepare_edges(edges, validate=validate)
-    adjacency = Adjacency.build(prepared, "src", "dst", n, broadcast_rows, min_hot_rows)
-    dist = cut(initial_dist(vertices_from_edges(adjacency.base), source, n))
-    out = relax(adjacency, dist, checkpoint_interval, stats)
+    """Full SSSP -> ``(v, d, parent)`` for every vertex (and the source).
+
+    ``collapse``: False for edges that have no parallel ones.
+    """
+    n = num_partitions(edges.sparkSession, partitions)
+    adjacency = Adjacency.build(prepare_edges(edges, validate, collapse), "src", "dst", n, broadcast_rows, min_hot_rows)
+    out = sssp_on(adjacency, source, checkpoint_interval, stats)
     adjacency.release()
-    return out.select("v", "d", "parent")
+    return out
 
 
 def sssp(edges: DataFrame, source: int = 0, **kwargs) -> DataFrame:
