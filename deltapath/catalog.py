@@ -93,9 +93,10 @@ def init_state(spark, sf_dir):
     return G.init_state(G.vertices_from_edges(X.g_ps(_t(spark, sf_dir))), SOURCE)
 
 
-def _ps_state(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    edges = persist(X.g_ps(_t(spark, sf_dir)))
-    return edges, _dist(S.sssp_state(edges, SOURCE))
+def _ps_state(spark, sf_dir) -> tuple[Adjacency, DataFrame]:
+    """g_ps laid out once, for the distances and for what is done with them."""
+    layout = Adjacency.build(G.prepare_edges(X.g_ps(_t(spark, sf_dir)), collapse=False))
+    return layout, _dist(S.sssp_on(layout, SOURCE))
 
 
 def triplets(spark, sf_dir):

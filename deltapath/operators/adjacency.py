@@ -99,7 +99,8 @@ class Adjacency:
             F.pmod(F.xxhash64(F.col(self.spread)), F.col("n_salt")).cast("int")
         )
         salted = self.base.join(F.broadcast(self._hot), self.key, "left").withColumn("salt", salt).drop("n_salt")
-        self._layout = cut(salted.repartition(self.partitions, self.key, "salt"))
+        # Lost blocks are dealt out again from the base, a written table.
+        self._layout = persist(salted.repartition(self.partitions, self.key, "salt"))
 
     def _expand_base(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
         if frontier_rows <= self.broadcast_rows:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import checked_weight
+from ..plans.lineage import write_frontier
+from .adjacency import Adjacency
 
 EDGE_COLUMNS = ("src", "dst", "weight")
 
@@ -85,11 +87,19 @@ def distances(state: DataFrame) -> DataFrame:
     return state.select("v", "d")
 
 
-def triplets(edges: DataFrame, state: DataFrame) -> DataFrame:
+def triplets(edges: DataFrame | Adjacency, state: DataFrame) -> DataFrame:
     """Each edge with the state of both endpoints: ``src, dst, weight, src_d, dst_d``.
 
-    ``state`` holds every vertex, so both joins keep every edge.
+    ``state`` holds every vertex, so both joins keep every edge.  Edges that
+    are laid out are not shuffled for their sources.
     """
+    if isinstance(edges, Adjacency):
+        ends, n = write_frontier(state.select("v", "d"), "ends")
+        rows = edges.expand(ends.select(F.col("v").alias("src"), F.col("d").alias("src_d")), n)
+        t = ends.select(F.col("v").alias("dst"), F.col("d").alias("dst_d"))
+        # Hashing the ends spares a sort of the edges.
+        t = F.broadcast(t) if n <= edges.broadcast_rows else t.hint("shuffle_hash")
+        return rows.join(t, "dst", "left").select("src", "dst", "weight", "src_d", "dst_d")
     s = state.select(F.col("v").alias("src"), F.col("d").alias("src_d"))
     t = state.select(F.col("v").alias("dst"), F.col("d").alias("dst_d"))
     return edges.join(s, "src", "left").join(t, "dst", "left").select(

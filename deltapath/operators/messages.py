@@ -13,19 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import message
+from ..plans.lineage import write_frontier
+from .adjacency import Adjacency
 
 Send = Callable[[Column, Column], Column]
 Reduce = Callable[[Column], Column]
 
 
-def candidate_messages(edges: DataFrame, state: DataFrame, send: Send = message) -> DataFrame:
+def candidate_messages(edges: DataFrame | Adjacency, state: DataFrame, send: Send = message) -> DataFrame:
     """Every reached sender's message on each of its out-edges -> ``(dst, src, msg)``.
 
     Unreached senders (``d`` NULL) send nothing.  ``state`` has one row per
-    vertex; a skewed ``src`` is split by AQE's skew-join handling.
+    vertex; a skewed ``src`` is split by AQE's skew-join handling.  Edges that
+    are laid out are not shuffled.
     """
     senders = state.where(F.col("d").isNotNull()).select(F.col("v").alias("src"), F.col("d").alias("src_d"))
-    joined = edges.join(senders, "src", "inner")
+    if isinstance(edges, Adjacency):
+        joined = edges.expand(*write_frontier(senders, "senders"))
+    else:
+        joined = edges.join(senders, "src", "inner")
     return joined.select("dst", "src", send(F.col("src_d"), F.col("weight")).alias("msg"))
 
 
@@ -34,7 +40,7 @@ def aggregate_messages(messages: DataFrame, reduce: Reduce = F.min, name: str =
     return messages.groupBy(F.col("dst").alias("v")).agg(reduce(F.col("msg")).alias(name))
 
 
-def memo_table(edges: DataFrame, dist: DataFrame) -> DataFrame:
+def memo_table(edges: DataFrame | Adjacency, dist: DataFrame) -> DataFrame:
     """Memo rows at a fixpoint: the current message of every reached in-neighbour."""
     return candidate_messages(edges, dist)
 
