@@ -68,6 +68,10 @@ class Memory:
         # max_by skips no NULL message: a forgotten one hides what is older.
         return out.groupBy("dst", "src").agg(F.max_by("msg", "age").alias("msg"))
 
+    @property
+    def empty(self) -> bool:
+        return self.base is None and not self.log
+
     def rows(self) -> DataFrame | None:
         """All remembered messages."""
         rows = self._tables()
@@ -100,7 +104,11 @@ class Memory:
     def merge(self) -> None:
         rows = self.rows()
         if rows is not None and (self.log or self.base is None):
-            table, self.base_rows = write_frontier(rows.select("dst", "src", "msg").repartition(self.partitions, "dst", "src"), "memory")
+            rows = rows.select("dst", "src", "msg")
+            if self.base is None and len(self.log) == 1:
+                rows = rows.repartition(self.partitions, "dst", "src")
+            # Several tables have been merged by (dst, src), which deals them out already.
+            table, self.base_rows = write_frontier(rows, "memory")
             if self.base is not None:
                 self.base.unpersist(blocking=False)
             self.base, self.log = persist(table), []
@@ -182,8 +190,11 @@ def pregel_memo(
         if receiver:
             ends = state.select(F.col("v").alias("dst"), *[F.col(c).alias(f"r_{c}") for c in receiver])
             offered = offered.join(ends, "dst")
-        offered, n_offered = write_frontier(offered, "offered")
-        sent = memory.last(offered, n_offered)
+        if memory.empty:
+            sent = offered.withColumn("last", F.lit(None))
+        else:
+            offered, n_offered = write_frontier(offered, "offered")
+            sent = memory.last(offered, n_offered)
         msg = send(lambda c: F.col(f"s_{c}"), lambda c: F.col(f"r_{c}"), F.col("weight"), F.col("last"))
         sent = sent.select("dst", "src", msg.alias("msg"), "last").where(F.col("msg").isNotNull() & ~F.col("msg").eqNullSafe(F.col("last")))
         sent = sent.select("dst", "src", "msg")

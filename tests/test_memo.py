@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from conftest import as_dict
 from deltapath.operators import graph as G
 from deltapath.operators.messages import memo_table
+from deltapath.plans import memo
+from deltapath.plans.lineage import write_frontier
 from deltapath.plans.memo import Memory, pregel_memo, sssp_memo
 from deltapath.plans.pregel import NotConverged
 from test_incremental_property import dijkstra, random_graph
@@ -102,3 +104,20 @@ def test_memory_merges_its_log(spark):
         memory.add(spark.createDataFrame(rows, "dst bigint, src bigint, msg double"), len(rows))
     assert len(memory.log) <= 13
     assert messages(memory.rows()) == {k: m for k, m in want.items() if m is not None}
+
+
+def test_nothing_is_looked_up_while_nothing_is_remembered(edges, monkeypatch):
+    e = edges([(i, i + 1, 1.0) for i in range(30)])
+    written = []
+
+    def seen(df, name="frontier", static=False):
+        out = write_frontier(df, name, static)
+        written.append((name, out[1]))
+        return out
+
+    monkeypatch.setattr(memo, "write_frontier", seen)
+    run = sssp_memo(e, initial(e), 0, max_rounds=30)
+    assert as_dict(run.state)[30] == 30.0
+    # In the first round every vertex is asked, and only the source sends.
+    assert [n for n in written if n[0] in ("offered", "messages")][0] == ("messages", 1)
+    assert max(n for name, n in written if name == "offered") == 1
