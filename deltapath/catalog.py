@@ -25,7 +25,7 @@ from .plans import pregel as P
 from .plans import sssp as S
 from .plans.lineage import cut, persist
 from .plans.live import Change, LiveDistances, batch_changes
-from .session import scratch_path
+from .session import num_partitions, scratch_path
 from .sources import fixtures as X
 from .sources import generators, text
 from .sources.tables import Tables
@@ -332,7 +332,8 @@ def sink_state(spark, sf_dir):
 
 def _write_update_files(spark, sf_dir) -> str:
     folder = scratch_path(spark, "update-stream")
-    text.write_update_text(X.update_stream(_t(spark, sf_dir)), folder)
+    # A batch takes a number of files: no more of them than partitions, however many ranges the events fill.
+    text.write_update_text(X.update_stream(_t(spark, sf_dir)).coalesce(num_partitions(spark)), folder)
     return folder
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, scratch_path
@@ -86,14 +86,14 @@ class Generations:
         self._held.clear()
 
 
-def write_table(df: DataFrame, name: str, static: bool = False) -> tuple[str, int]:
-    """Write ``df`` as parquet to a new folder of the shared checkpoint folder: its path and row count."""
+def write_table(df: DataFrame, name: str, static: bool = False, only: Column | None = None) -> tuple[str, int]:
+    """Write ``df`` as parquet to a new folder of the shared checkpoint folder: its path and row count (``only``: of these rows)."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     # The row count is observed on the write itself: no extra job.
     seen = Observation(name)
     with static_plan(spark) if static else nullcontext():
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        df.observe(seen, (F.count(F.lit(1)) if only is None else F.count_if(only)).alias("rows")).write.parquet(path)
     return path, int(seen.get["rows"])
 
 

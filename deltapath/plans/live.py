@@ -15,8 +15,11 @@ parent)`` cached and hash-partitioned by ``v``.  A batch of updates
    state on its own partitioning, and writes the improved rows only.
 
 Edges are never shuffled or written by a batch, and the state is written once,
-at its end.  An overlay or a frontier that outgrows ``broadcast_rows`` is
-merged into the state, and the ordinary relaxation loop goes on from there.
+at its end.  An overlay or a frontier that outgrows ``broadcast_rows``, or is
+not done after ``STEPWISE_ROUNDS`` rounds (each adds a table to the overlay),
+is merged into the state, and the ordinary relaxation loop goes on from there;
+after many rounds it takes several hops in a job, for which the edges are dealt
+out once.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from ..operators.changes import latest_updates
 from ..operators.graph import prepare_edges, vertices_from_edges
 from ..session import num_partitions
 from .lineage import cut, persist, write_frontier, write_table
-from .sssp import RunStats, initial_dist, relax
+from .sssp import STEPWISE_ROUNDS, RunStats, initial_dist, relax
 
 #: Levels of the parent forest that are walked one by one before pointers are jumped.
 WALK_STEPS = 6
@@ -319,7 +322,9 @@ class _Relaxation:
         rounds = 0
         while n:
             if max(n, self.n_improved + self.n_gone) > self.bound:
-                return self._whole(front)
+                return self._whole(front, STEPWISE_ROUNDS)
+            if rounds >= STEPWISE_ROUNDS:
+                return self._whole(front, 0)
             rounds += 1
             self.stats.frontier_sizes.append(n)
             front, n = self._better(self.adjacency.expand(front.select(F.col("v").alias("src"), "d"), n))
@@ -328,9 +333,9 @@ class _Relaxation:
         state = cut(self._now()) if batches % CUT_BATCHES == 0 else persist(self._now())
         return LiveDistances(self.adjacency, state, self.live.source, batches)
 
-    def _whole(self, front: DataFrame) -> LiveDistances:
+    def _whole(self, front: DataFrame, stepwise: int) -> LiveDistances:
         """Merge the overlay into the state and go on with the loop over whole states."""
         mark = front.select("v", F.lit(True).alias("fresh"))
         rows = self._now().join(mark, "v", "left").select("v", "d", "parent", F.coalesce("fresh", F.lit(False)).alias("fresh"))
-        dist = relax(self.adjacency, cut(rows.repartition(self.adjacency.partitions, "v")), stats=self.stats)
+        dist = relax(self.adjacency, cut(rows.repartition(self.adjacency.partitions, "v")), stats=self.stats, stepwise=stepwise)
         return LiveDistances(self.adjacency, dist.select("v", "d", "parent"), self.live.source, self.live.batches + 1)
