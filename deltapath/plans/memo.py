@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,17 +54,32 @@ class Memory:
     base: DataFrame | None = None
     base_rows: int = 0
     log: list[tuple[DataFrame, int]] = field(default_factory=list)
+    #: Age of the next table of the log; a table that :meth:`aged` has marked is read together with its like.
+    age: int = 0
+
+    def aged(self, messages: DataFrame) -> DataFrame:
+        """``messages`` with the age that they have once they are added."""
+        return messages.withColumn("age", F.lit(self.age))
+
+    def _logged(self) -> list[DataFrame]:
+        """The log as rows (dst, src, msg, age): one scan of all written tables, so a plan does not grow with the log."""
+        marked = [t for t, _ in self.log if "age" in t.columns]
+        other = [t.withColumn("age", F.lit(self.age - len(self.log) + k)) for k, (t, _) in enumerate(self.log) if "age" not in t.columns]
+        if len(marked) > 1:
+            paths = sorted({unquote(f).rsplit("/", 1)[0] for t in marked for f in t.inputFiles()})
+            marked = [marked[0].sparkSession.read.schema(marked[0].schema).parquet(*paths)]
+        return other + marked
 
     def _tables(self, pick: Callable[[DataFrame], DataFrame] = lambda t: t) -> DataFrame | None:
         """The latest message of each (dst, src) among the rows that ``pick`` leaves of each table."""
-        tables = ([self.base] if self.base is not None else []) + [t for t, _ in self.log]
-        if not tables:
+        if self.empty:
             return None
+        tables = ([self.base.withColumn("age", F.lit(-1))] if self.base is not None else []) + self._logged()
         out = None
-        for age, table in enumerate(tables):
-            rows = pick(table).select("dst", "src", "msg", F.lit(age).alias("age"))
+        for table in tables:
+            rows = pick(table).select("dst", "src", "msg", "age")
             out = rows if out is None else out.unionByName(rows)
-        if len(tables) == 1:
+        if len(self.log) + (self.base is not None) == 1:
             return out.drop("age")
         # max_by skips no NULL message: a forgotten one hides what is older.
         return out.groupBy("dst", "src").agg(F.max_by("msg", "age").alias("msg"))
@@ -91,12 +107,14 @@ class Memory:
         return offered.join(F.broadcast(rows) if n <= self.broadcast_rows else rows, ["dst", "src"], "left")
 
     def digests(self, receivers: DataFrame, n: int, digest: Callable[[Column], Column]) -> DataFrame:
-        """(v, digest) over all that each receiver (dst) remembers."""
+        """(v, digest) over all that each receiver (dst) remembers; a receiver may be named more than once."""
+        receivers = receivers if n <= self.broadcast_rows else receivers.distinct()
         rows = self._some(receivers, n, ["dst"])
         return rows.groupBy(F.col("dst").alias("v")).agg(digest(F.col("msg")).alias("digest"))
 
     def add(self, messages: DataFrame, n: int) -> None:
         self.log.append((messages, n))
+        self.age += 1
         logged = sum(m for _, m in self.log)
         if len(self.log) > MERGE_TABLES or (self.base is not None and logged > MERGE_SHARE * self.base_rows):
             self.merge()
@@ -200,7 +218,7 @@ def pregel_memo(
         sent = sent.select("dst", "src", "msg")
         if gone is not None:
             sent, gone = sent.unionByName(gone), None
-        sent, n_sent = write_frontier(sent, "messages")
+        sent, n_sent = write_frontier(memory.aged(sent), "messages")
         if not n_sent:
             break
         if max_rounds is not None and stats.rounds >= max_rounds:
@@ -208,7 +226,7 @@ def pregel_memo(
         stats.rounds += 1
         stats.frontier_sizes.append(n_sent)
         memory.add(sent, n_sent)
-        combined = memory.digests(sent.select("dst").distinct(), n_sent, digest).withColumn("got", F.lit(True))
+        combined = memory.digests(sent.select("dst"), n_sent, digest).withColumn("got", F.lit(True))
         rows = state.join(combined.hint("shuffle_hash"), "v", "left")
         got = F.coalesce(F.col("got"), F.lit(False))
         after = stepped(rows.select("v", *names, "digest", got.alias("got")), F.col("digest"), F.col("got"))

@@ -121,3 +121,24 @@ def test_nothing_is_looked_up_while_nothing_is_remembered(edges, monkeypatch):
     # In the first round every vertex is asked, and only the source sends.
     assert [n for n in written if n[0] in ("offered", "messages")][0] == ("messages", 1)
     assert max(n for name, n in written if name == "offered") == 1
+
+
+def test_a_round_reads_the_log_in_one_scan(spark):
+    memory, want = Memory(4, 100), {}
+    first = [(i, 0, 1.0) for i in range(400)]
+    memory.add(spark.createDataFrame(first, "dst bigint, src bigint, msg double"), len(first))
+    memory.merge()
+    want.update({(a, b): m for a, b, m in first})
+    plans = []
+    for k in range(10):
+        rows = [(k, 0, 2.0 + k), (50, 0, float(k)), (60, k, None if k == 0 else 3.0)]
+        df = spark.createDataFrame(rows, "dst bigint, src bigint, msg double").coalesce(1)
+        memory.add(*write_frontier(memory.aged(df), "a log%20"))
+        want.update({(a, b): m for a, b, m in rows})
+        plans.append(memory.rows()._jdf.queryExecution().optimizedPlan().toString().count("Relation"))
+    assert len(memory.log) == 10 and plans[-1] == plans[1]
+    assert messages(memory.rows()) == {k: m for k, m in want.items() if m is not None}
+    memory.merge()
+    memory.add(spark.createDataFrame([(50, 0, 7.0)], "dst bigint, src bigint, msg double"), 1)
+    memory.add(*write_frontier(memory.aged(spark.createDataFrame([(50, 0, 8.0)], "dst bigint, src bigint, msg double")), "log"))
+    assert messages(memory.rows())[50, 0] == 8.0
