@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import write_frontier
-from .common import written
+from .common import sized
 
 #: Tables of numbers up to so many rows (of under 100 bytes) are broadcast.
 BROADCAST_ROWS = 100_000
@@ -33,8 +33,8 @@ def sides_of(rest: DataFrame, group: int) -> DataFrame:
     such buckets are one side of a comparison with all outsiders that they meet
     there.  The other rows of a bucket are compared among themselves.
     """
-    rest = written(rest, "rest")
-    sizes = rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+    rest, n_rest = write_frontier(rest, "rest")
+    sizes = sized(rest.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")), n_rest)
     large, n = write_frontier(sizes.where(F.col("c") > group).select("token", F.col("component").alias("whose")), "large")
     inside = rest.withColumns({"inside": F.lit(True), "side": F.lit(0)})
     if not n:
@@ -60,9 +60,9 @@ def dealt(sides: DataFrame, group: int) -> DataFrame:
         size = F.sum(F.when(F.col("side") == k, F.col("bytes"))) / BLOCK_BYTES
         return F.ceil(F.greatest(F.count_if(F.col("side") == k) / group, F.coalesce(size, F.lit(0.0)))).cast("int").alias(f"n{k}")
 
-    sides = written(sides, "sides")
+    sides, n_sides = write_frontier(sides, "sides")
     sizes = sides.groupBy("token", "inside").agg(*[blocks(k) for k in (0, 1)])
-    sizes, n = write_frontier(sizes, "sizes")
+    sizes, n = write_frontier(sized(sizes, n_sides), "sizes")
     rows = sides.join(bounded(sizes, n), ["token", "inside"]).where("inside or (n0 > 0 and n1 > 0)")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("n0")).otherwise(F.col("n1"))).cast("int"))
     keep = ["node", "component", "base", "upper"]

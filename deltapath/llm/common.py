@@ -46,6 +46,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a narrow table that a task takes.
+ROWS_PER_TASK = 50_000
+
+
+def sized(df: DataFrame, rows: int, per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """``df``, which has at most about ``rows`` rows, in no more partitions than these need.
+
+    A shuffle of a small table has as many tasks as one of a large table
+    otherwise, nearly all of them empty.  Large tables keep their partitions.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order."""
     return F.filter(F.split(text, f"[{WS_CLASS}]+"), lambda w: w != "")

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import write_frontier
 from .blocks import GROUP_COLUMNS, bounded, dealt, sides_of
-from .common import RollingHash, Texts, id_text, mix64, slices, word_bounds, written
+from .common import RollingHash, Texts, id_text, mix64, sized, slices, word_bounds, written
 from .graph import components
 
 WORDS = 3
@@ -59,6 +59,8 @@ STARS = 3
 GROUP = 256
 #: Members of a star that are compared by one group.
 PART = 64
+#: Sets that a task compares with their stars.
+SETS_PER_TASK = 4_000
 SLICE = 1 << 20
 #: The counts that order shingles: buckets of hashes (a byte of broadcast each), in segments that are summed on their own.
 SKETCH_BITS, SEGMENT_BITS = 24, 18
@@ -363,15 +365,15 @@ def joining_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _link_batch(out)
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) among pairs (node, star).  A star's members are dealt into parts, each with the star's row in front."""
+def _star_links(pairs: DataFrame, n_pairs: int, sets: DataFrame) -> DataFrame:
+    """Links (u, v) among ``n_pairs`` pairs (node, star).  A star's members are dealt into parts, each with the star's row in front."""
     parts = pairs.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("n_parts"))
-    parts, n = write_frontier(parts, "parts")
+    parts, n = write_frontier(sized(parts, n_pairs), "parts")
     heads = parts.select("star", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.col("star").alias("node"))
     members = pairs.join(bounded(parts, n), "star").select("star", F.pmod(F.xxhash64("node"), F.col("n_parts")).cast("int").alias("part"), "node")
     rows = heads.unionByName(members).join(sets.drop("p0"), "node").withColumn("component", F.col("node"))
     dealt = rows.repartition("star", "part").sortWithinPartitions("star", "part", F.col("node") != F.col("star"))
-    return dealt.mapInArrow(star_links, LINK_SCHEMA)
+    return sized(dealt, n_pairs, SETS_PER_TASK).mapInArrow(star_links, LINK_SCHEMA)
 
 
 def _block_groups(sides: DataFrame, sets: DataFrame) -> DataFrame:
@@ -395,11 +397,11 @@ def _cells(members: DataFrame) -> DataFrame:
     return cells.select(F.xxhash64("token", "cell").alias("token"), "node", F.col("token").alias("base"), (F.col("behind") == 0).alias("upper"), "bytes")
 
 
-def _mixed(rows: DataFrame) -> DataFrame:
+def _mixed(rows: DataFrame, n_rows: int) -> DataFrame:
     """Rows of the cells that hold several components."""
     some = F.min("component") != F.max("component")
     mixed = rows.groupBy("token").agg((some & F.bool_or("upper")).alias("x")).where("x").select("token")
-    mixed, n_mixed = write_frontier(mixed, "mixed")
+    mixed, n_mixed = write_frontier(sized(mixed, n_rows), "mixed")
     return rows.join(bounded(mixed, n_mixed), "token", "left_semi")
 
 
@@ -408,17 +410,19 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     texts = id_text(docs)
     rarity = rarities(texts.select("text"))
     rows = texts.mapInArrow(lambda b: set_rows(b, rarity, False), SET_SCHEMA).drop("tokens")
-    rows = written(rows.withColumn("at", F.monotonically_increasing_id()), "prefixes")
-    nodes, _ = write_frontier(rows.where("own").groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("c")), "sets")
+    rows, n_rows = write_frontier(rows.withColumn("at", F.monotonically_increasing_id()), "prefixes")
+    nodes = rows.where("own").groupBy("digest").agg(F.min("at").alias("node"), F.count(F.lit(1)).alias("c"))
+    nodes, _ = write_frontier(sized(nodes, n_rows), "sets")
     # Sets that several tasks have met have rows too many.
     several, n_several = write_frontier(nodes.where("c > 1").select("digest", "node"), "several")
     signed = rows.where("own").join(bounded(several, n_several), "digest", "left").where("node is null or node = at")
     signed = signed.select(F.col("at").alias("node"), "n", "p0", "marks", "apart")
     entries = signed.select(F.explode("p0").alias("token"), "node", "n")
-    buckets = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "buckets")
-    members = written(entries.join(buckets, "token"), "members")
+    n_entries = rows.where("own").agg(F.coalesce(F.sum(F.size("p0")), F.lit(0))).first()[0]
+    buckets = written(sized(entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), n_entries), "buckets")
+    members, n_members = write_frontier(sized(entries.join(buckets, "token"), n_entries), "members")
     stars = [F.struct(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"), F.min_by("n", F.xxhash64("node", F.lit(r))).alias("n")) for r in range(STARS)]
-    stars, n_stars = write_frontier(members.groupBy("token").agg(F.array(*stars).alias("stars")), "stars")
+    stars, n_stars = write_frontier(sized(members.groupBy("token").agg(F.array(*stars).alias("stars")), n_members), "stars")
     members = members.join(bounded(stars, n_stars), "token")
     fits = f"node != star.node and 100 * least(n, star.n) >= {PERCENT} * greatest(n, star.n)"
     pairs = members.select("node", "n", F.explode("stars").alias("star")).where(fits).select("node", F.col("star.node").alias("star")).distinct()
@@ -436,22 +440,23 @@ def linked_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         sets = sets.join(bounded(own.select("digest", "node"), n), "digest").select("node", "n", "p0", "marks", "apart", "tokens")
         return written(sets, "tokens")  # a set that several such documents have comes several times, which does no harm
 
-    def ends(links: DataFrame, *names: str) -> tuple[DataFrame, int]:
-        return write_frontier(links.select(F.explode(F.array(*names)).alias("node")).distinct(), "ends")
+    def ends(links: DataFrame, n: int, *names: str) -> tuple[DataFrame, int]:
+        return write_frontier(sized(links.select(F.explode(F.array(*names)).alias("node")).distinct(), n * len(names)), "ends")
 
-    pairs = written(pairs, "pairs")
-    possible = written(_star_links(pairs, with_marks(*ends(pairs, "node", "star"))), "possible")
+    pairs, n_pairs = write_frontier(sized(pairs, STARS * n_members), "pairs")
+    possible, n_pairs = write_frontier(_star_links(pairs, n_pairs, with_marks(*ends(pairs, n_pairs, "node", "star"))), "possible")
     pairs = possible.select(F.col("u").alias("node"), F.col("v").alias("star"))
-    links = written(_star_links(pairs, with_sets(*ends(pairs, "node", "star"))), "links")
+    links = written(_star_links(pairs, n_pairs, with_sets(*ends(pairs, n_pairs, "node", "star"))), "links")
     found = written(components(links), "components")
     labelled = _cells(members).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest, n_rest = write_frontier(sides_of(_mixed(written(labelled, "cells")), GROUP), "mixed-cells")
+    cells, n_cells = write_frontier(sized(labelled, 2 * n_members), "cells")
+    rest, n_rest = write_frontier(sides_of(_mixed(cells, n_cells), GROUP), "mixed-cells")
     if n_rest:
-        possible = _block_groups(rest, with_marks(*ends(rest, "node"))).mapInArrow(possible_rows, "token long, inside boolean, node long").distinct()
+        possible = _block_groups(rest, with_marks(*ends(rest, n_rest, "node"))).mapInArrow(possible_rows, "token long, inside boolean, node long").distinct()
         possible, n_possible = write_frontier(possible, "possible")
         if n_possible:
             less = rest.join(bounded(possible, n_possible), ["token", "inside", "node"], "left_semi")
-            further = _block_groups(less, with_sets(*ends(possible, "node"))).mapInArrow(joining_rows, LINK_SCHEMA)
+            further = _block_groups(less, with_sets(*ends(possible, n_possible, "node"))).mapInArrow(joining_rows, LINK_SCHEMA)
             further, n_further = write_frontier(further, "further")
             if n_further:
                 found = written(components(links.unionByName(further)), "components")
@@ -464,9 +469,9 @@ def components_of(docs: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"))).alias("o")
     per_set = rows.where("n > 0").groupBy("digest").agg(F.min(F.col("doc_id")).alias("doc_id"), F.count(F.lit(1)).alias("c"))
     per_set = per_set.join(nodes, "digest").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per_set = written(per_set, "components")
+    per_set, n_sets = write_frontier(sized(per_set, nodes.count()), "components")
     names = per_set.groupBy("component").agg(first, F.sum("c").alias("c")).where("c > 1").select("component", F.col("o.b").alias("name"))
-    tags, n_tags = write_frontier(per_set.join(names, "component").select(F.col("digest").alias("tag"), "name"), "tags")
+    tags, n_tags = write_frontier(sized(per_set.join(names, "component").select(F.col("digest").alias("tag"), "name"), n_sets), "tags")
     out = rows.join(bounded(tags, n_tags), (rows["digest"] == tags["tag"]) & (rows["n"] > 0), "left")
     component = F.when(F.col("tag").isNull(), F.col("doc_id")).otherwise(F.col("name"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
