@@ -63,6 +63,23 @@ def drops_white_space(spec: dict) -> bool:
     return first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and "\\s" in first["pattern"].get("Regex", "")
 
 
+def last_ids(spec: dict) -> np.ndarray | None:
+    """Whether each id ends a match of the pattern, if the ids tell: every byte has a token with the suffix, and nothing deletes letters."""
+    model, suffix, pre = spec["model"], spec["model"].get("end_of_word_suffix"), spec["pre_tokenizer"]
+    steps = (spec["normalizer"] or {}).get("normalizers", [])
+    plain = all(n["type"] in ("NFC", "Lowercase") or n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} for n in steps)
+    byte_level = [p["type"] for p in pre.get("pretokenizers") or []] == ["Split", "ByteLevel"]
+    if not (suffix and plain and byte_level and model["type"] == "BPE"):
+        return None
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    if not all(c + suffix in model["vocab"] for c in ByteLevel.alphabet()):
+        return None
+    out = np.zeros(max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1, bool)
+    out[[i for t, i in model["vocab"].items() if t.endswith(suffix)]] = True
+    return out
+
+
 class WordEncoder:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
@@ -70,8 +87,9 @@ class WordEncoder:
     its normaliser nor its pattern looks across, so a text's ids are its
     words' ids in order.  ASCII punctuation behind a letter or digit is a match of its own
     for the pattern too, and letter case is dropped by the normaliser.  New
-    words go to the library a few hundred at a time, with a mark between them.
-    Other tokenizers get every text as it is.
+    words go to the library a few hundred at a time, with a mark between them
+    unless they are letters alone and the ids tell where a match ends.  Other
+    tokenizers get every text as it is.
     """
 
     TAIL = b".,;:!?#$%&*"
@@ -93,25 +111,44 @@ class WordEncoder:
         self.mark = mark[0] if self.by_word else -1
         self.lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        self.last = last_ids(spec) if self.by_word else None
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in got]
 
+    def _keep(self, group: list[bytes], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        size, data = self.kind.itemsize, ids.astype(self.kind).tobytes()
+        cuts = zip((starts * size).tolist(), (ends * size).tolist(), strict=True)
+        self.memo.update(zip(group, [data[a:z] for a, z in cuts], strict=True))
+
     def _learn(self, new: list[bytes]) -> None:
-        memo, mark, size = self.memo, self.MARK.encode(), self.kind.itemsize
-        odd = [w for w in new if mark in w or any(t in w for t in self.added)]
-        memo.update(zip(odd, self._whole(odd)))
-        rest = [w for w in new if w not in memo]
-        if not rest:
-            return
-        groups = [rest[i : i + 256] for i in range(0, len(rest), 256)]
-        texts = [(b" \x01 ".join(g) + b" \x01").decode() for g in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(got.ids, np.int64)
-            ends = np.flatnonzero(ids == self.mark) * size
-            data = ids.astype(self.kind).tobytes()
-            memo.update((w, data[a:z]) for w, a, z in zip(group, [0, *(ends[:-1] + size).tolist()], ends.tolist(), strict=True))
+        memo, mark = self.memo, self.MARK.encode()
+        blob = b" ".join(new)
+        if mark in blob or any(t in blob for t in self.added):
+            odd = [w for w in new if mark in w or any(t in w for t in self.added)]
+            memo.update(zip(odd, self._whole(odd)))
+            new = [w for w in new if w not in memo]
+        letters, others = [], [] if self.last is not None else new
+        if self.last is not None:
+            for w in new:
+                (letters if w.decode().isalpha() else others).append(w)
+        for group, ids in self._groups(letters, " ", ""):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                self._keep(group, ids, np.append(0, ends[:-1]), ends)
+            else:  # some letters are none to the library
+                others += group
+        for group, ids in self._groups(others, f" {self.MARK} ", f" {self.MARK}"):
+            ends = np.flatnonzero(ids == self.mark)
+            self._keep(group, ids, np.append(0, ends[:-1] + 1), ends)
+
+    def _groups(self, words: list[bytes], between: str, behind: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Groups of words and their ids, encoded as one text each."""
+        groups = [words[i : i + 256] for i in range(0, len(words), 256)]
+        texts = [between.encode().join(g).decode() + behind for g in groups]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+            yield group, np.array(got.ids, np.int64)
 
     def _know(self, seen: set[bytes]) -> None:
         """Have the ids of all words in the memo; what wasn't met since it was last full is dropped."""
@@ -130,7 +167,11 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         if not self.by_word:
             return self._whole(texts)
-        lower = lambda t: t if any(x in t.lower() for x in self.added) else t.lower()
+
+        def lower(t: bytes) -> bytes:
+            low = t.lower()
+            return t if any(x in low for x in self.added) else low
+
         # bytes.split and bytes.lower know ASCII alone
         words = [(lower(t) if self.lowers else t).split() for t in texts]
         self._know(set().union(*words))

@@ -75,6 +75,31 @@ def test_word_encoder_on_random_texts():
     assert encoder.by_word and encoder.encode(given) == encoder._whole(given)
 
 
+def test_words_of_letters_are_learned_without_marks():
+    encoder = records.WordEncoder(open(WORD).read(), 2)
+    library, sent = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Seen()
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abehinorstéßüñ漢ıςǆ") for _ in range(r.randrange(1, 14))) for _ in range(1500)})
+    given = [" ".join(words[i : i + 40]).encode() for i in range(0, len(words), 40)]
+    got = encoder.encode(given)
+    assert sent and not any(encoder.MARK in t for t in sent)
+    assert got == encoder._whole(given)
+
+
+def test_letters_that_are_none_to_the_library_are_marked():
+    encoder = records.WordEncoder(open(WORD).read(), 2)
+    encoder.last[:] = False  # as if no word's end were known
+    given = [b"stone river, walk", "grün Straße".encode()]
+    assert encoder.encode(given) == encoder._whole(given)
+
+
 def test_bpe_equals_the_library():
     t, coder = Tokenizer.from_file(BYTE), bpe.ForcedBoundaryBPE(open(BYTE).read())
     r = random.Random(3)
