@@ -33,6 +33,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import num_partitions, scratch_path
-from .common import Texts, id_text, slices
+from .common import WS_BYTES, Texts, id_text, slices
 from .crc32c import crc32c_many, masked
 
 HEADER = struct.Struct("<QI")
@@ -51,8 +52,12 @@ FOOT = struct.Struct("<I")
 PREFIX = struct.Struct("<BBq")
 INDEX_SCHEMA = "shard int, file string, seq long, doc_id long, offset long, length long, n_tokens long"
 RECORD_SCHEMA = "shard int, file string, seq long, doc_id long, shard_start long, n_tokens long, ids_crc32 long"
-#: Distinct words of which a task keeps the ids (about 200 MB).
-MEMO_WORDS = 800_000
+#: Distinct words of which a task keeps the ids (about 100 MB).
+MEMO_WORDS = 400_000
+#: Fixed value: a pattern that takes letters in a row as one match.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters below U+0250 (Latin) that neither NFC nor lower-casing changes.
+LOWER = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c)
 ROWS_PER_SHARD = 50_000
 
 
@@ -80,24 +85,36 @@ def last_ids(spec: dict) -> np.ndarray | None:
     return out
 
 
+def keeps_letters(spec: dict) -> bool:
+    """Whether a word of ``LOWER`` reaches the model as its bytes, in one piece; asked of files for which ``last_ids`` are known."""
+    split, byte_level = spec["pre_tokenizer"]["pretokenizers"]
+    return split["pattern"].get("Regex") == LETTER_RUNS and not byte_level["add_prefix_space"] and not byte_level.get("use_regex", True)
+
+
 class WordEncoder:
     """Ids of whole texts through the tokenizers library, each distinct word encoded once.
 
     Words are cut at ASCII white space where the tokenizer drops that: neither
     its normaliser nor its pattern looks across, so a text's ids are its
     words' ids in order.  ASCII punctuation behind a letter or digit is a match of its own
-    for the pattern too, and letter case is dropped by the normaliser.  New
-    words go to the library a few hundred at a time, with a mark between them
-    unless they are letters alone and the ids tell where a match ends.  Other
-    tokenizers get every text as it is.
+    for the pattern too, and letter case is dropped by the normaliser.  Many
+    texts are cut, their words told apart and replaced by ids in Arrow; only
+    distinct words are looked up.  New words go to the library a few hundred
+    at a time, with a mark between them unless they are letters alone and the
+    ids tell where a match ends; lower-case Latin ones skip the normaliser and
+    the pattern if these leave them as they are.  Other tokenizers get every
+    text as it is.
     """
 
-    TAIL = b".,;:!?#$%&*"
+    SPACE, OTHER, ALNUM, TAIL = range(4)
+    #: What each byte is: white space, ASCII letter or digit, punctuation that may be cut off a word's end, or else.
+    KINDS = bytes(0 if b in WS_BYTES else 2 if bytes([b]).isalnum() else 3 if b in b".,;:!?#$%&*" else 1 for b in range(256))
     MARK = "\x01"
 
     def __init__(self, tokenizer_json: str, width: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks in parallel
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -112,6 +129,11 @@ class WordEncoder:
         self.lowers = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.last = last_ids(spec) if self.by_word else None
+        self.model = None
+        if self.last is not None and keeps_letters(spec):
+            self.model = Tokenizer(self.tokenizer.model)
+            self.model.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.is_lower = re.compile(f"[{LOWER}]+").fullmatch
 
     def _whole(self, texts: list[bytes]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
@@ -129,54 +151,92 @@ class WordEncoder:
             odd = [w for w in new if mark in w or any(t in w for t in self.added)]
             memo.update(zip(odd, self._whole(odd)))
             new = [w for w in new if w not in memo]
-        letters, others = [], [] if self.last is not None else new
+        plain, letters, others = [], [], [] if self.last is not None else new
         if self.last is not None:
-            for w in new:
-                (letters if w.decode().isalpha() else others).append(w)
-        for group, ids in self._groups(letters, " ", ""):
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(group):
-                self._keep(group, ids, np.append(0, ends[:-1]), ends)
-            else:  # some letters are none to the library
-                others += group
-        for group, ids in self._groups(others, f" {self.MARK} ", f" {self.MARK}"):
+            for w, text in zip(new, b" ".join(new).decode().split(" ")):
+                (plain if self.model is not None and self.is_lower(text) else letters if text.isalpha() else others).append(w)
+        for tokenizer, words in ((self.model, plain), (self.tokenizer, letters)):
+            for group, ids in self._groups(tokenizer, words, " ", ""):
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(group):
+                    self._keep(group, ids, np.append(0, ends[:-1]), ends)
+                else:  # some letters are none to the library
+                    others += group
+        for group, ids in self._groups(self.tokenizer, others, f" {self.MARK} ", f" {self.MARK}"):
             ends = np.flatnonzero(ids == self.mark)
             self._keep(group, ids, np.append(0, ends[:-1] + 1), ends)
 
-    def _groups(self, words: list[bytes], between: str, behind: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    def _groups(self, tokenizer, words: list[bytes], between: str, behind: str) -> Iterator[tuple[list[bytes], np.ndarray]]:
         """Groups of words and their ids, encoded as one text each."""
         groups = [words[i : i + 256] for i in range(0, len(words), 256)]
         texts = [between.encode().join(g).decode() + behind for g in groups]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
+        for group, got in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ()):
             yield group, np.array(got.ids, np.int64)
 
-    def _know(self, seen: set[bytes]) -> None:
-        """Have the ids of all words in the memo; what wasn't met since it was last full is dropped."""
+    def _known(self, words: list[bytes]) -> list[bytes]:
+        """The ids of these distinct words, kept in the memo; what wasn't met since it was last full is dropped."""
         if len(self.memo) > MEMO_WORDS // 2:
             self.older, self.memo = self.memo, {}
         memo, older = self.memo, self.older
-        new = seen.difference(memo)
-        met = new.intersection(older)
-        memo.update((w, older[w]) for w in met)
-        new.difference_update(met)
-        stems = {w: s for w in new if (s := w.rstrip(self.TAIL)) != w and s[-1:].isalnum()}
-        parts = {x for w, s in stems.items() for x in (s, w[len(s) :])}
-        self._learn([*parts.union(new.difference(stems)).difference(memo)])
-        memo.update((w, memo[s] + memo[w[len(s) :]]) for w, s in stems.items())
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+        found = list(map(memo.get, words))
+        new = [w for w, x in zip(words, found) if x is None]
+        met = list(filter(older.__contains__, new))
+        memo.update(zip(met, map(older.__getitem__, met)))
+        self._learn(list(filterfalse(older.__contains__, new)) if met else new)
+        return [memo[w] if x is None else x for w, x in zip(words, found)] if new else found
+
+    def _lowered(self, data: bytes, ends: np.ndarray) -> bytes:
+        """``data`` with A-Z lower-cased, but for the texts that then hold an added token."""
+        low = data.lower()  # bytes.lower knows ASCII alone
+        if not any(x in low for x in self.added):
+            return low
+        spans = [(low[a:z], data[a:z]) for a, z in zip([0, *ends], ends)]
+        return b"".join(t if any(x in small for x in self.added) else small for small, t in spans)
+
+    def _words(self, data: bytes, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, tails apart from their words, and how many stand before each text's start and the end."""
+        kind = np.frombuffer(data.translate(self.KINDS), np.uint8)
+        keep = kind != self.SPACE
+        first = keep.copy()
+        first[1:] &= ~keep[:-1]
+        begins = offsets[offsets < len(keep)]
+        first[begins] = keep[begins]
+        last = keep.copy()
+        last[:-1] &= ~keep[1:] | first[1:]
+        starts, lasts = np.flatnonzero(first), np.flatnonzero(last)
+        spaces = starts - np.cumsum(np.append(0, lasts - starts + 1))[:-1]  # before each word
+        ends_so = kind[lasts] == self.TAIL
+        at, start, gone = lasts[ends_so], starts[ends_so], spaces[ends_so]
+        for _ in range(8):  # words with longer tails stay whole
+            at = at - ((at > start) & (kind[at - 1] == self.TAIL))
+        cut = (at > start) & (kind[at - 1] == self.ALNUM)
+        where = np.searchsorted(starts, at[cut])
+        starts, spaces = np.insert(starts, where, at[cut]), np.insert(spaces, where, gone[cut])
+        letters = data.translate(None, WS_BYTES)
+        bounds = np.append(starts - spaces, len(letters))
+        return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]), np.searchsorted(starts, offsets)
+
+    def encode_column(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text of a string column without nulls."""
+        texts = Texts(column)
         if not self.by_word:
-            return self._whole(texts)
-
-        def lower(t: bytes) -> bytes:
-            low = t.lower()
-            return t if any(x in low for x in self.added) else low
+            return self._whole([texts.bytes(i) for i in range(texts.n)])
+        data = texts.buf.tobytes()
+        if self.lowers:
+            data = self._lowered(data, texts.offs[1:].tolist())
+        words, before = self._words(data, texts.offs)
+        if not len(words):
+            return [b""] * texts.n
+        coded = words.dictionary_encode()
+        del data, words
+        ids = pa.array(self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64)[before].tolist()
+        view = memoryview(data if data is not None else b"")
+        return [bytes(view[a:z]) for a, z in zip(at, at[1:])]
 
-        # bytes.split and bytes.lower know ASCII alone
-        words = [(lower(t) if self.lowers else t).split() for t in texts]
-        self._know(set().union(*words))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return self.encode_column(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
 
 
 @lru_cache(maxsize=1)
@@ -210,8 +270,7 @@ def write_shard(batches: Iterable[pa.RecordBatch], out_dir: str, tokenizer_json:
         if sink is None:
             fs, folder = open_fs(out_dir)
             sink = fs.open_output_stream(f"{folder}/{name}")
-        texts = Texts(batch.column("text"))
-        bodies = [b + end for b in encoder.encode([texts.bytes(i) for i in range(texts.n)])]
+        bodies = [b + end for b in encoder.encode_column(batch.column("text"))]
         ids = batch.column("doc_id").to_pylist()
         records = frame([PREFIX.pack(i is not None, width, i or 0) + b for i, b in zip(ids, bodies)])
         sizes = np.fromiter(map(len, records), np.int64, len(records))

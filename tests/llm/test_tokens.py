@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from llm_rows import docs, none, odd, odd_rows, texts_of  # noqa: F401
 from tokenizers import Tokenizer
@@ -100,6 +101,65 @@ def test_letters_that_are_none_to_the_library_are_marked():
     assert encoder.encode(given) == encoder._whole(given)
 
 
+def test_lower_case_latin_words_skip_the_normaliser():
+    encoder = records.WordEncoder(open(WORD).read(), 2)
+    full, sent = encoder.tokenizer, []
+
+    class Seen:
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return full.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Seen()
+    letters = [c for c in map(chr, range(0x250)) if c.isalpha() and c == c.lower()]
+    words = sorted({w for c in letters for w in (c, "ston" + c, c + "ing", c + c, *(c + d for d in letters[::9]))})
+    given = [" ".join(words[i : i + 50]).encode() for i in range(0, len(words), 50)]
+    got = encoder.encode(given)
+    assert sent == []
+    assert got == encoder._whole(given)
+
+
+def test_a_word_of_many_texts_is_looked_up_once():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+    encoder = records.WordEncoder(open(WORD).read(), 2)
+    encoder.memo = Counted()
+    given = [b"Stone river, walk " * 500] * 20
+    assert encoder.encode(given) == encoder._whole(given)
+    assert Counted.asked < 50
+
+
+def test_words_at_the_ends_of_texts_and_with_tails():
+    given = ["", " ", "stone", "river", ",", "a,", ",b", "c", "walk.,;: ", "\twalk" + "!" * 20, "!" * 30, "x_!", "it's!", "5,5,", "é,", "Wa\x01lk.", "<|EndOfText|>, Stone", "ab<|endoftext|>Cd, RIVER,", "\x0b\x0c", "end"]
+    r = random.Random(5)
+    given += ["".join(r.choice(["Stone", "é", "ß", "walk", "7", ",", "!", "#", "_", "'s", " ", "\n", "<|endoftext|>", " ", "ﬁ", "\x01"]) for _ in range(r.randrange(25))) for _ in range(1500)]
+    encoder, t = records.WordEncoder(open(WORD).read(), 2), Tokenizer.from_file(WORD)
+    want = [t.encode(x, add_special_tokens=False).ids for x in given]
+    ids = lambda got: [list(struct.unpack(f"<{len(x) // 2}H", x)) for x in got]
+    assert ids(encoder.encode([x.encode() for x in given])) == want
+    for kind in (pa.string(), pa.large_string()):
+        assert ids(encoder.encode_column(pa.array(given, kind).slice(3, 700))) == want[3:703]
+    assert encoder.encode([]) == [] and encoder.encode(["\u3000".encode(), b""]) == [b"", b""]
+
+
+def test_ids_are_the_same_after_words_are_dropped(monkeypatch):
+    monkeypatch.setattr(records, "MEMO_WORDS", 40)
+    encoder, r = records.WordEncoder(open(WORD).read(), 2), random.Random(6)
+    for _ in range(30):
+        given = [" ".join(r.choice("abcdefgé") * r.randrange(1, 9) + r.choice(["", ",", "."]) for _ in range(12)).encode() for _ in range(4)]
+        assert encoder.encode(given) == encoder._whole(given)
+    assert encoder.older
+
+
 def test_bpe_equals_the_library():
     t, coder = Tokenizer.from_file(BYTE), bpe.ForcedBoundaryBPE(open(BYTE).read())
     r = random.Random(3)
