@@ -185,7 +185,7 @@ def pregel_min(spark, sf_dir):
 
 def pregel_memo(spark, sf_dir):
     """The memory of every edge after a change-only run from the initial state."""
-    layout = Adjacency.build(G.prepare_edges(X.g_ps(_t(spark, sf_dir)), collapse=False))
+    layout = Adjacency.build(G.prepare_edges(X.g_ps(_t(spark, sf_dir)), collapse=False), stored=True)
     initial = G.reset_flags(G.init_state(G.vertices_from_edges(layout.base), SOURCE))
     return N.sssp_memo(layout, initial, SOURCE).memory.rows().select("dst", "src", "msg")
 

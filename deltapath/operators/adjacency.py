@@ -17,6 +17,10 @@ salt buckets by a hash of the row's other end, and its frontier row is
 replicated once per bucket.  There are fewer hot keys than partitions, so the
 hot-key table that is broadcast has a proven size bound.
 
+On disk: with ``stored`` a large table is written once, dealt out into buckets
+by ``(key, salt)``, and is neither cached nor dealt out again; frontiers of
+both sizes are joined to it where it lies.
+
 Changes: ``patched`` gives the same layout with some edges changed.  The
 changed edges are a small table beside the base that hides the base's rows of
 the same key, so a batch of updates neither shuffles nor writes the edges.
@@ -30,13 +34,51 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut, persist, write_frontier
+from ..plans.lineage import cut, delete_table, on_buckets, persist, write_buckets, write_frontier, write_table
 from ..session import num_partitions as _num_partitions
 
 # Frontiers up to this many rows are broadcast (a (BIGINT, DOUBLE) row is ~16 bytes).
 DEFAULT_BROADCAST_ROWS = 1_000_000
 # Keys with fewer rows than this are never salted, whatever the partition count.
 DEFAULT_MIN_HOT_ROWS = 100_000
+# Rows of a bucket, and rows per session partition up to which a stored table is cached instead.
+BUCKET_ROWS = 1_000_000
+# Cells by whose row counts hot keys are looked for.
+HOT_CELLS = 16_384
+
+
+def bucket_count(rows: int, partitions: int) -> int:
+    return max(partitions, -(-rows // BUCKET_ROWS))
+
+
+def hot_keys(table: DataFrame, key: str, threshold: int) -> tuple[DataFrame, int]:
+    """``(key, n_salt)`` of the keys with more than ``threshold`` rows, and their number.
+
+    Only rows of cells (by a hash of the key) with that many rows are grouped
+    by their key, so what is shuffled does not grow with the keys.
+    """
+    cell = F.pmod(F.xxhash64(F.col(key)), F.lit(HOT_CELLS)).cast("int")
+    counts = table.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    cells, n = write_frontier(counts.where(F.col("n") > F.lit(threshold)).select("cell"), "hot-cells")
+    few = table.select(key, cell.alias("cell")).join(F.broadcast(cells), "cell", "left_semi") if n else table.limit(0)
+    hot = few.groupBy(key).agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > F.lit(threshold))
+    return write_frontier(hot.select(key, F.ceil(F.col("deg") / F.lit(threshold)).cast("int").alias("n_salt")), "hot-keys")
+
+
+def with_slot(rows: DataFrame, key: str, spread: str, hot: tuple[DataFrame, int], deal: int | None = None) -> DataFrame:
+    """``rows`` with the ``slot`` that deals them out: the key, for hot keys one of its salts by ``spread``.
+
+    ``deal``: into so many partitions; the slot itself is not shuffled.
+    """
+    keys, n = hot
+    slot = F.col(key)
+    if n:
+        rows = rows.join(F.broadcast(keys), key, "left")
+        salt = F.pmod(F.xxhash64(F.col(spread)), F.col("n_salt")).cast("int")
+        slot = F.when(F.col("n_salt").isNull(), slot).otherwise(F.xxhash64(slot, salt))
+    if deal:
+        rows = rows.repartition(deal, slot)
+    return rows.withColumn("slot", slot).drop("n_salt")
 
 
 class Adjacency:
@@ -63,6 +105,9 @@ class Adjacency:
         self.changes: DataFrame | None = None
         self.n_changes = 0
         self._reverse: Adjacency | None = None
+        #: The base in buckets with its ``slot``, and its hot keys.
+        self._buckets: DataFrame | None = None
+        self._hot_slots: tuple[DataFrame, int] | None = None
 
     @classmethod
     def build(
@@ -73,13 +118,33 @@ class Adjacency:
         partitions: int | None = None,
         broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
         min_hot_rows: int = DEFAULT_MIN_HOT_ROWS,
+        stored: bool = False,
     ) -> "Adjacency":
         n = _num_partitions(table.sparkSession, partitions)
+        if stored:
+            return cls._build_stored(table, key, spread, n, broadcast_rows, min_hot_rows)
         # Materialised once as a parquet table in the shared folder (columnar,
         # durable, counted on the write); rounds then stream it from cache.
         written, rows = write_frontier(table, "adjacency")
         return cls(persist(written), key, spread, rows, n, broadcast_rows, min_hot_rows)
 
+    @classmethod
+    def _build_stored(cls, table: DataFrame, key: str, spread: str, n: int, broadcast_rows: int, min_hot_rows: int) -> "Adjacency":
+        spark = table.sparkSession
+        with on_buckets(spark):
+            # In order, the edges take a third of the space, and so do those that are dealt out.
+            path, rows = write_table(table.sortWithinPartitions(key, spread), "adjacency")
+            written = spark.read.schema(table.schema).parquet(path)
+            if rows <= n * BUCKET_ROWS:
+                return cls(persist(written), key, spread, rows, n, broadcast_rows, min_hot_rows)
+            out = cls(written, key, spread, rows, bucket_count(rows, n), broadcast_rows, min_hot_rows)
+            out._hot_slots = hot_keys(written, key, out.threshold)
+            dealt = with_slot(written, key, spread, out._hot_slots, out.partitions)
+            out._buckets, *_ = write_buckets(dealt, "adjacency", out.partitions, ["slot"], ["slot", key, spread])
+            out.base = out._buckets.drop("slot")
+            delete_table(spark, path)
+        return out
+
     @property
     def threshold(self) -> int:
         return max(int(math.ceil(self.rows / self.partitions)) if self.rows else 1, self.min_hot_rows, 1)
@@ -105,6 +170,15 @@ class Adjacency:
     def _expand_base(self, frontier: DataFrame, frontier_rows: int) -> DataFrame:
         if frontier_rows <= self.broadcast_rows:
             return self.base.join(F.broadcast(frontier), self.key, "inner")
+        if self._buckets is not None:
+            keys, n_hot = self._hot_slots
+            slotted = frontier.withColumn("slot", F.col(self.key))
+            if n_hot:
+                salts = F.sequence(F.lit(0), F.col("n_salt") - F.lit(1))
+                slots = F.transform(salts, lambda salt: F.xxhash64(F.col(self.key), salt))
+                slots = F.when(F.col("n_salt").isNull(), F.array(F.col(self.key))).otherwise(slots)
+                slotted = frontier.join(F.broadcast(keys), self.key, "left").withColumn("slot", F.explode(slots)).drop("n_salt")
+            return self._buckets.join(slotted.hint("shuffle_hash"), ["slot", self.key], "inner").drop("slot")
         self._ensure_layout()
         replicas = F.sequence(F.lit(0), F.coalesce(F.col("n_salt"), F.lit(1)) - F.lit(1))
         salted = (
@@ -178,6 +252,7 @@ class Adjacency:
             table = table.unionByName(changes.where(F.col("weight").isNotNull()).select(*table.columns))
             return Adjacency.build(table, self.key, self.spread, self.partitions, self.broadcast_rows, self.min_hot_rows)
         out._layout, out._hot = self._layout, self._hot
+        out._buckets, out._hot_slots = self._buckets, self._hot_slots
         if self._reverse is not None:
             back = Adjacency(self.base, self.spread, self.key, self.rows, self.partitions, self.broadcast_rows, self.min_hot_rows)
             back._layout, back._hot, back.changes, back.n_changes = self._reverse._layout, self._reverse._hot, changes, n_changes

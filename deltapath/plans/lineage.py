@@ -9,6 +9,7 @@ with the executor that holds them.
 
 from __future__ import annotations
 
+import uuid
 from contextlib import contextmanager, nullcontext
 
 from pyspark import StorageLevel
@@ -18,6 +19,29 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, scratch_path
 
 _AQE = "spark.sql.adaptive.enabled"
+#: The shuffle files of a query are deleted when it ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that are dealt out by some columns of a join's key are not shuffled for the others.
+_ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
+_CODEC = "spark.sql.parquet.compression.codec"
+
+
+@contextmanager
+def _held(spark: SparkSession, **settings: str):
+    """``settings`` (dots as in ``{"a.b": "c"}``) for a while, then what was there before."""
+    prev = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in prev.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def on_buckets(spark: SparkSession):
+    """For loops over large tables: queries leave no shuffle files behind, joins shuffle no rows that buckets deal out, tables are written small."""
+    return _held(spark, **{_CLEAN: "true", _ALL_KEYS: "false", _CODEC: "zstd"})
 
 
 @contextmanager
@@ -31,12 +55,8 @@ def static_plan(spark: SparkSession):
     count-checked broadcasts and salted shuffled hash joins); the setting is
     restored right after planning.
     """
-    prev = spark.conf.get(_AQE)
-    spark.conf.set(_AQE, "false")
-    try:
+    with _held(spark, **{_AQE: "false"}):
         yield
-    finally:
-        spark.conf.set(_AQE, prev)
 
 
 def persist(df: DataFrame) -> DataFrame:
@@ -110,3 +130,28 @@ def write_frontier(df: DataFrame, name: str = "frontier", static: bool = False)
     path, rows = write_table(df, name, static)
     # With the schema given, reading needs no job of its own.
     return df.sparkSession.read.schema(df.schema).parquet(path), rows
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_buckets(df: DataFrame, name: str, n: int, keys: list[str], order: list[str], only: Column | None = None) -> tuple[DataFrame, str, int, int]:
+    """Write ``df``, dealt out into ``n`` partitions by ``keys``, as a bucketed parquet table in the shared folder.
+
+    Returns the table, which joins and groups by ``keys`` without a shuffle,
+    its path, its row count and that of the rows ``only``.  Rows of a file are
+    sorted by ``order``, which keeps it small.  Spark reads buckets of tables
+    with a name only, so it has one until it is looked up; the files stay.
+    """
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"deltapath_{uuid.uuid4().hex}"
+    seen = Observation(name)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(F.lit(True) if only is None else only).alias("some")]
+    with static_plan(spark):
+        df.observe(seen, *counts).write.option("path", path).bucketBy(n, *keys).sortBy(*order).saveAsTable(table, format="parquet")
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out, path, int(seen.get["rows"]), int(seen.get["some"])
