@@ -41,8 +41,9 @@ from ..session import num_partitions as _num_partitions
 DEFAULT_BROADCAST_ROWS = 1_000_000
 # Keys with fewer rows than this are never salted, whatever the partition count.
 DEFAULT_MIN_HOT_ROWS = 100_000
-# Rows of a bucket, and rows per session partition up to which a stored table is cached instead.
+# Rows of a bucket, and rows up to which a stored table is cached instead (some 100 MB, whatever the partitions).
 BUCKET_ROWS = 1_000_000
+CACHED_ROWS = 5_000_000
 # Cells by whose row counts hot keys are looked for.
 HOT_CELLS = 16_384
 
@@ -105,7 +106,8 @@ class Adjacency:
         self.changes: DataFrame | None = None
         self.n_changes = 0
         self._reverse: Adjacency | None = None
-        #: The base in buckets with its ``slot``, and its hot keys.
+        #: The base in buckets with its ``slot``, where it is written, and its hot keys.
+        self.path: str | None = None
         self._buckets: DataFrame | None = None
         self._hot_slots: tuple[DataFrame, int] | None = None
 
@@ -135,12 +137,12 @@ class Adjacency:
             # In order, the edges take a third of the space, and so do those that are dealt out.
             path, rows = write_table(table.sortWithinPartitions(key, spread), "adjacency")
             written = spark.read.schema(table.schema).parquet(path)
-            if rows <= n * BUCKET_ROWS:
+            if rows <= CACHED_ROWS:
                 return cls(persist(written), key, spread, rows, n, broadcast_rows, min_hot_rows)
             out = cls(written, key, spread, rows, bucket_count(rows, n), broadcast_rows, min_hot_rows)
             out._hot_slots = hot_keys(written, key, out.threshold)
             dealt = with_slot(written, key, spread, out._hot_slots, out.partitions)
-            out._buckets, *_ = write_buckets(dealt, "adjacency", out.partitions, ["slot"], ["slot", key, spread])
+            out._buckets, out.path, *_ = write_buckets(dealt, "adjacency", out.partitions, ["slot"], ["slot", key, spread])
             out.base = out._buckets.drop("slot")
             delete_table(spark, path)
         return out

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import message
-from ..operators.adjacency import BUCKET_ROWS, DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency, bucket_count, hot_keys, with_slot
+from ..operators.adjacency import DEFAULT_BROADCAST_ROWS, DEFAULT_MIN_HOT_ROWS, Adjacency, bucket_count, hot_keys, with_slot
 from ..operators.graph import prepare_edges
 from ..session import num_partitions
 from .lineage import delete_table, on_buckets, write_buckets, write_frontier, write_table
@@ -367,6 +367,8 @@ def _pregel_memo(edges, state, send, digest, update, initial, memory, start, for
     memory.sweep()
     if own:
         adjacency.release()
+        if adjacency.path:
+            delete_table(spark, adjacency.path)
     return MemoRun(state.select("v", *names), memory, stats)
 
 

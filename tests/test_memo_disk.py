@@ -27,6 +27,7 @@ def hub_rows():
 
 def small_buckets(monkeypatch):
     monkeypatch.setattr(adjacency, "BUCKET_ROWS", 20)
+    monkeypatch.setattr(adjacency, "CACHED_ROWS", 20)
 
 
 def test_rounds_with_many_offers_and_hubs(edges, monkeypatch):
@@ -56,6 +57,14 @@ def test_rounds_with_many_offers_and_hubs(edges, monkeypatch):
     assert messages(returned) == before
 
 
+def test_large_tables_are_not_cached_in_many_partitions(edges, monkeypatch):
+    monkeypatch.setattr(adjacency, "CACHED_ROWS", 50)
+    e = G.prepare_edges(edges(hub_rows()))
+    assert Adjacency.build(e, "src", "dst", 40, 0, 10, stored=True)._buckets is not None
+    few = Adjacency.build(e.limit(50), "src", "dst", 40, 0, 10, stored=True)
+    assert few._buckets is None and few.base.storageLevel.useMemory
+
+
 def test_only_offers_are_shuffled(edges, monkeypatch):
     small_buckets(monkeypatch)
     e = edges(hub_rows())
@@ -109,7 +118,7 @@ def test_a_run_leaves_one_memory_and_one_state(spark, edges, monkeypatch):
         run = sssp_memo(e, state, partitions=4, broadcast_rows=bound, min_hot_rows=10)
         left = sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before)
         assert run.stats.rounds > 3
-        assert left.count("memory") <= 1 and left.count("state") == 1 and "offered" not in left, left
+        assert left.count("memory") <= 1 and left.count("state") == 1 and not {"offered", "adjacency"} & set(left), left
         assert left.count("messages") <= len(run.memory.log), left
         # Only cached edges that were dealt out may still have theirs.
         assert shuffled() <= files + 4
